@@ -59,43 +59,61 @@ def _boundaries(rows: DataFrame, spark, plans: dict) -> dict:
         sums = sums.withColumn("through", F.sum("words").over(Window.partitionBy("k").orderBy("bucket")))
         goal = spark.createDataFrame([(s, float(w)) for s, (_, _, w) in todo.items()], "k string, goal double")
         edge = sums.join(F.broadcast(goal) if len(todo) <= SMALL_TABLE else goal, "k")
-        edge = edge.where((F.col("through") >= F.col("goal")) & (F.col("through") - F.col("words") < F.col("goal"))).collect()
-        found, small, deeper = {r["k"]: r for r in edge}, {}, {}
-        for s, (prefix, _, words) in list(todo.items()):
+        edge = edge.where((F.col("through") >= F.col("goal")) & (F.col("through") - F.col("words") < F.col("goal"))).select("k", F.col("bucket").alias("at"))
+        # Around each boundary bucket: rows of the aligned runs of 2**j buckets that hold it, and words before each run.
+        near = sums.join(F.broadcast(edge) if len(todo) <= SMALL_TABLE else edge, "k")
+        same = [F.shiftright("bucket", j) == F.shiftright("at", j) for j in range(step + 1)]
+        less = [F.shiftright("bucket", j) < F.shiftright("at", j) for j in range(step + 1)]
+        runs = near.groupBy("k", "at").agg(F.array(*[F.sum(F.when(x, F.col("n")).otherwise(0)) for x in same]).alias("n"), F.array(*[F.sum(F.when(x, F.col("words")).otherwise(0)) for x in less]).alias("before"))
+        found = {r["k"]: r for r in runs.collect()}
+        small, deeper = {}, {}
+        for s, (prefix, _, words) in todo.items():
             r = found.get(s)
             if r is None:  # the whole rest fits
                 done[s] = ((prefix + 1) << (64 - depth), [])
                 continue
-            words -= r["through"] - r["words"]
-            inner = (prefix << step) | r["bucket"]
-            (small if r["n"] <= FEW or depth + step == 64 else deeper)[s] = (inner, depth + step, words)
+            wide = max((j for j in range(step + 1) if r["n"][j] <= FEW), default=-1)
+            if wide < 0 and depth + step < 64:
+                deeper[s] = ((prefix << step) | r["at"], depth + step, words - r["before"][0])
+                continue
+            wide = max(wide, 0)
+            first = ((prefix << (step - wide)) | (r["at"] >> wide)) << (64 - depth - step + wide)
+            small[s] = (first, first + (1 << (64 - depth - step + wide)), words - r["before"][wide])
         todo = deeper
         done |= _last(rows, spark, small)
     return done
 
 
 def _last(rows: DataFrame, spark, small: dict) -> dict:
-    """Settles boundary buckets by document: in order of hash, each group of equal hashes that still fits, or lessens the gap."""
+    """Settles boundary runs by document: in order of hash each group of equal hashes that fits, then one that lessens the gap."""
     if not small:
         return {}
-    depth = next(iter(small.values()))[1]
-    table = spark.createDataFrame([(s, _signed(p)) for s, (p, _, _) in small.items()], "k string, prefix long")
-    shifted = F.shiftrightunsigned(F.col("place"), 64 - depth) if depth < 64 else F.col("place")
-    here = rows.join(F.broadcast(table) if len(small) <= SMALL_TABLE else table, "k").where(shifted == F.col("prefix"))
+    table = spark.createDataFrame([(s, _flipped(a), _flipped(b - 1)) for s, (a, b, _) in small.items()], "k string, low long, high long")
+    flipped = F.col("place").bitwiseXOR(F.lit(-(1 << 63)))
+    here = rows.join(F.broadcast(table) if len(small) <= SMALL_TABLE else table, "k").where(flipped.between(F.col("low"), F.col("high")))
     groups: dict = {}
     for r in here.groupBy("k", "place").agg(F.sum("size").alias("words")).collect():
         groups.setdefault(r["k"], []).append((r["place"] % (1 << 64), r["words"]))
     out = {}
-    for s, (prefix, _, left) in small.items():
-        chosen = []
+    for s, (first, _, left) in small.items():
+        chosen, passed = [], []
         for place, words in sorted(groups.get(s, [])):
-            if words and abs(left - words) < left:
+            if words <= left:
                 chosen.append(place)
                 left -= words
-        out[s] = ((prefix % (1 << 64)) << (64 - depth), chosen)
+            else:
+                passed.append((words, place))
+        if passed and min(passed)[0] - left < left:
+            chosen.append(min(passed)[1])
+        out[s] = (first, chosen)
     return out
 
 
+def _flipped(x: int) -> int:
+    """An unsigned number as the signed one of the same rank."""
+    return _signed(x ^ (1 << 63))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -121,7 +139,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     table = []
     for k, goal in zip(names, goals, strict=True):
         edge, chosen = edges.get(k, (0, []))
-        table.append((k, totals[k], float(goal), plans[k][0], edge >= 1 << 64, _signed((edge % (1 << 64)) ^ (1 << 63)), [_signed(c) for c in chosen]))
+        table.append((k, totals[k], float(goal), plans[k][0], edge >= 1 << 64, _flipped(edge % (1 << 64)), [_signed(c) for c in chosen]))
     table = spark.createDataFrame(table, "k string, source_size long, target double, whole int, everything boolean, edge long, chosen array<long>")
     # Unsigned comparison of hashes: flip the highest bit and compare as signed numbers.
     ahead = F.col("everything") | (F.col("place").bitwiseXOR(F.lit(-(1 << 63))) < F.col("edge")) | F.array_contains("chosen", F.col("place"))

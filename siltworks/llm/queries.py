@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, license, mixing, sharding
+from siltworks.llm import chat, fingerprint, license, mixing, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(_read(spark, sf_dir, "documents"))
+
+
+def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
 
@@ -34,6 +42,8 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_winnowing": op3_winnowing,
+    "op4_repetition_coverage": op4_repetition_coverage,
     "op6_source_mix": op6_source_mix,
     "op8_histogram_sort": op8_histogram_sort,
     "op10_chat_windows": op10_chat_windows,

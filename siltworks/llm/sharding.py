@@ -4,7 +4,8 @@ Rows are ordered by a pair of 64-bit hashes: of the text, then of the id. For ea
 counted below probe keys (here: the edges of equal buckets of the interval in which the splitter lies), and the
 interval shrinks to one bucket until the splitter meets the tolerance. Equal texts share their first key, so they stay together
 unless the copies of one text alone weigh more than the tolerance; then the second key splits them. Splitters known,
-rows are exchanged once.
+rows are exchanged once. Texts that alone weigh much more than the tolerance get first keys in the middle halves of equal
+key ranges, one range per shard, so that splitters fall between small texts.
 
 Defined results: a null text has size 8 and the checksum of the empty text; repeated rows share both keys, and when they alone
 outweigh the tolerance they stay in one shard; an empty table gives an empty result. Columns of the input that
@@ -23,6 +24,8 @@ SHARDS = 24
 TOLERANCE = 0.0005
 BITS = 12
 OVERHEAD = 8
+#: Shares of a shard's bytes from which on a text is kept away from splitters.
+LARGE = 0.002
 #: Rows of a shard are numbered in so many groups at a time.
 GROUPS = 64
 
@@ -100,6 +103,11 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             F.spark_partition_id().alias("salt"),
         )
     )
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    width = (1 << 64) // shards
+    # Counted from the middle of the key space, so that no step leaves the range of signed numbers.
+    middle = (F.pmod("first", F.lit(shards)) - shards // 2) * F.lit(width) + F.lit(width // 4 - (shards % 2) * width // 2) + F.pmod(F.xxhash64("first"), F.lit(width // 2))
+    rows = rows.withColumn("first", F.when(F.col("size") > total / shards * LARGE, _unsigned(middle)).otherwise(F.col("first")))
     keys = splitters(rows, shards, tolerance)
     # A shard's number: how many splitters are not above the key, as one lookup in two sorted lists.
     flip = lambda x: (x ^ (1 << 63)) - (1 << 64) if (x ^ (1 << 63)) >= 1 << 63 else x ^ (1 << 63)
