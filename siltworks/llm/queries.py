@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, fingerprint, license, mixing, quality, sharding
+from siltworks.llm import chat, fingerprint, license, mixing, packing, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_read(spark, sf_dir, "documents"), carry=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,6 +55,7 @@ QUERIES = {
     "op3_winnowing": op3_winnowing,
     "op4_repetition_coverage": op4_repetition_coverage,
     "op6_source_mix": op6_source_mix,
+    "op7_certified_packing": op7_certified_packing,
     "op8_histogram_sort": op8_histogram_sort,
     "op10_chat_windows": op10_chat_windows,
 }
