@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, fingerprint, license, mixing, packing, quality, sharding
+from siltworks.llm import chat, fingerprint, license, mixing, packing, quality, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +59,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_winnowing": op3_winnowing,
     "op4_repetition_coverage": op4_repetition_coverage,
     "op6_source_mix": op6_source_mix,
