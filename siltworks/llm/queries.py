@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, fingerprint, license, mixing, packing, quality, sharding, toxicity
+from siltworks.llm import chat, fingerprint, license, mixing, neardup, packing, quality, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op7_certified_packing": op7_certified_packing,
     "op8_histogram_sort": op8_histogram_sort,
+    "op9_setsketch": op9_setsketch,
     "op10_chat_windows": op10_chat_windows,
 }
 
