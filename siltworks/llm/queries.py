@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, fingerprint, license, mixing, neardup, packing, quality, sharding, toxicity
+from siltworks.llm import chat, fingerprint, license, mixing, neardup, packing, quality, sharding, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_winnowing": op3_winnowing,
     "op4_repetition_coverage": op4_repetition_coverage,
+    "op5_suffix_trees": op5_suffix_trees,
     "op6_source_mix": op6_source_mix,
     "op7_certified_packing": op7_certified_packing,
     "op8_histogram_sort": op8_histogram_sort,
