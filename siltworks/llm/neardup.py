@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltworks.llm.columns import WORD
 from siltworks.llm.graph import components
 from siltworks.llm.words import hash_words, mix64, stream, window_hashes
 from siltworks.session import arrow_rows, settle
@@ -192,8 +193,8 @@ def _remaining_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where((F.col("ra") != F.col("rb")) & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, component_id, kept, root (one number per component; null without shingles)."""
     arrow_rows(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -214,8 +215,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             roots = components(links)
     named = classes.select("class", "rank").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("rank").alias("least"))
-    named = named.join(least, "root").select("class", "least")
+    named = named.join(least, "root").select("class", "root", "least")
     out = marks.select("rank", "text_hash", "n_shingles", "class").join(named, "class", "left")
     least = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("rank"))
     back = lambda c: F.when(c != LAST, c)
-    return out.select(back(F.col("rank")).alias("doc_id"), "text_hash", "n_shingles", back(least).alias("component_id"), (F.col("rank") == least).alias("kept"))
+    return out.select(back(F.col("rank")).alias("doc_id"), "text_hash", "n_shingles", back(least).alias("component_id"), (F.col("rank") == least).alias("kept"), "root")
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the least id stays (of equal ids the one with the least text
+    hash, once); rows without shingles all stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
+    rank = F.coalesce("doc_id", F.lit(LAST))
+    stay = found.where("root is not null").groupBy("root").agg(F.min(F.struct(rank.alias("rank"), "text_hash")).alias("x")).select("x.rank", "x.text_hash")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64(text).alias("text_hash"), text.rlike(WORD).alias("some"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    linked = rows.where("some").join(stay, ["rank", "text_hash"]).dropDuplicates(["rank", "text_hash"]).select("row.*")
+    return linked.unionByName(rows.where(~F.coalesce(F.col("some"), F.lit(False))).select("row.*"))

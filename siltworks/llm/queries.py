@@ -55,7 +55,7 @@ def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_read(spark, sf_dir, "documents")).drop("text_hash")
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
