@@ -85,7 +85,7 @@ def _boundaries(rows: DataFrame, spark, plans: dict) -> dict:
 
 
 def _last(rows: DataFrame, spark, small: dict) -> dict:
-    """Settles boundary runs by document: in order of hash each group of equal hashes that fits, then one that lessens the gap."""
+    """Settles boundary runs by document: of their few groups of equal hashes, those that together come nearest to the rest of the budget."""
     if not small:
         return {}
     table = spark.createDataFrame([(s, _flipped(a), _flipped(b - 1)) for s, (a, b, _) in small.items()], "k string, low long, high long")
@@ -94,19 +94,33 @@ def _last(rows: DataFrame, spark, small: dict) -> dict:
     groups: dict = {}
     for r in here.groupBy("k", "place").agg(F.sum("size").alias("words")).collect():
         groups.setdefault(r["k"], []).append((r["place"] % (1 << 64), r["words"]))
-    out = {}
-    for s, (first, _, left) in small.items():
-        chosen, passed = [], []
-        for place, words in sorted(groups.get(s, [])):
-            if words <= left:
-                chosen.append(place)
-                left -= words
-            else:
-                passed.append((words, place))
-        if passed and min(passed)[0] - left < left:
-            chosen.append(min(passed)[1])
-        out[s] = (first, chosen)
-    return out
+    return {s: (first, nearest_subset(sorted(groups.get(s, [])), left)) for s, (first, _, left) in small.items()}
+
+
+def nearest_subset(groups: list[tuple[int, int]], goal) -> list[int]:
+    """Of (place, words), places whose words come nearest to the goal; sums are marked in the bits of a number.
+
+    Sums beyond a million are told apart in steps of their millionth part.
+    """
+    unit = max(1, int(goal) >> 20)
+    sizes = [(place, round(words / unit)) for place, words in groups if words]
+    goal = float(goal) / unit
+    mask = (1 << (2 * int(goal) + 2)) - 1  # beyond that, nothing at all is nearer
+    reach = [1]
+    for _, size in sizes:
+        reach.append((reach[-1] | reach[-1] << size) & mask)
+    below = reach[-1] & ((1 << (int(goal) + 1)) - 1)
+    at = below.bit_length() - 1
+    above = reach[-1] >> (int(goal) + 1)
+    if above:
+        over = int(goal) + (above & -above).bit_length()
+        at = over if over - goal < goal - at else at
+    chosen = []
+    for (place, size), before in zip(reversed(sizes), reversed(reach[:-1]), strict=True):
+        if not before >> at & 1:
+            chosen.append(place)
+            at -= size
+    return chosen
 
 
 def _flipped(x: int) -> int:
