@@ -7,9 +7,10 @@ chance of equal registers follows the similarity. Bands of four registers are ke
 Candidates are compared by the likelihood of their registers' order relations, given the exact set sizes; those that may reach
 the threshold are verified on full sets. Linked classes form components.
 
-Buckets with up to DIRECT classes emit all their pairs. Larger ones emit pairs with a few centres and with neighbours by size; after
-these are verified and joined to components, only classes that are still apart from the bucket's main component are paired with the
-bucket's other components, so that no pair of a bucket that could join two components is left out.
+Buckets with up to DIRECT classes emit all their pairs. Larger ones are compared by their sketches inside tasks, in blocks: a spanning forest of
+the pairs that are almost certainly linked is emitted, and for each class its likeliest partners outside its tree. After these are
+verified and joined to components, classes that are still apart from the bucket's main component are compared with all its other components in
+the same way, and all pairs that may be links are emitted, so that no pair that could join two components is left out.
 
 Defined results: null or empty texts have no shingles and link with nothing; null ids count as the largest id and come back as null;
 repeated rows are documents of their own with equal sets; an empty table gives an empty result; other columns are not read.
@@ -22,8 +23,9 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.columns import WORD
@@ -32,17 +34,18 @@ from siltworks.llm.words import hash_words, mix64, stream, window_hashes
 from siltworks.session import arrow_rows, settle
 
 SHINGLE = 5
-REGISTERS, BAND = 128, 4
+REGISTERS, BAND, BANDS = 256, 4, 32
 #: Of the sketch: base of the scale, rate of the exponential variables, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 PERCENT = 75
-#: Candidates whose likeliest similarity is below this are not verified: five standard deviations under the threshold.
-ESTIMATE = 0.55
-DIRECT, CENTRES, NEIGHBOURS = 32, 4, 4
+#: Candidates whose likeliest similarity is below this are not verified: nearly four standard deviations under the threshold. From CERTAIN
+#: on, over four above it, a path of such pairs makes another pair needless; the share of equal registers of a likely pair is above EQUAL.
+ESTIMATE, CERTAIN, EQUAL = 0.65, 0.87, 0.55
+DIRECT, CENTRES, BLOCK, PARTNERS = 32, 4, 2048, 8
 LAST = (1 << 63) - 1
 
 _FACTORS = stream(21, REGISTERS) | np.uint64(1)
-_BANDS = stream(22, REGISTERS // BAND)
+_BANDS = stream(22, BANDS)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -63,7 +66,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    return mix64(np.ascontiguousarray(sketch).view("<u8") ^ _BANDS).view(np.int64)
+    return mix64(np.ascontiguousarray(sketch[: BANDS * BAND]).view("<u8") ^ _BANDS).view(np.int64)
 
 
 SIGNATURES = "doc_id long, text_hash long, n_shingles long, class long, sketch binary"
@@ -84,8 +87,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sketches = batch.column(2).to_pylist()
         keys = [band_keys(np.frombuffer(s, "<u2")) for s in sketches]
-        each = REGISTERS // BAND
-        where = pa.array(np.repeat(np.arange(len(sketches)), each))
+        where = pa.array(np.repeat(np.arange(len(sketches)), BANDS))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["class", "n", "key"])
 
 
@@ -162,35 +164,103 @@ class _Verifier:
         return settle(full.select("a", "b", as_bytes("a_text"), as_bytes("b_text")).mapInArrow(_verified(self.percent), "a long, b long"))
 
 
-def _first_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of small buckets; in large ones, pairs with centres and with neighbours by set size."""
+def _may_link(n, m):
+    """Sets of such sizes can reach the threshold."""
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
+def _likely(sketches: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row and a column class that may be links, and their likeliest similarity; with apart, only pairs that differ in it."""
+    out = []
+    for i in range(0, len(rows), 32):
+        left = rows[i : i + 32]
+        equal = (sketches[left][:, None, :] == sketches[columns][None, :, :]).sum(2)
+        size = 100 * np.minimum(n[left][:, None], n[columns]) >= PERCENT * np.maximum(n[left][:, None], n[columns])
+        keep = (equal >= EQUAL * REGISTERS) & size & (left[:, None] != columns)
+        if apart is not None:
+            keep &= apart[left][:, None] != apart[columns]
+        x, y = np.nonzero(keep)
+        if len(x):
+            a, b = left[x], columns[y]
+            more, less = (sketches[a] > sketches[b]).sum(1), (sketches[a] < sketches[b]).sum(1)
+            j = likeliest(more, less, n[a].astype(float), n[b].astype(float))
+            near = j >= ESTIMATE
+            out.append((a[near], b[near], j[near]))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (empty, empty, np.zeros(0))
+
+
+def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of one bucket: a spanning forest of almost certain links, then each class's likeliest partners in other trees."""
+    sketches, n, names = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS), block["n"].to_numpy(), block["class"].to_numpy()
+    every = np.arange(len(block))
+    a, b, j = _likely(sketches, n, every, every)
+    once = a < b
+    a, b, j = a[once], b[once], j[once]
+    root = every.copy()
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    pairs, partners = [], np.zeros(len(block), np.int64)
+    order = np.lexsort((names[b], names[a], -j))
+    for i in order.tolist():
+        x, y = int(a[i]), int(b[i])
+        p, q = find(x), find(y)
+        if p == q:
+            continue
+        if j[i] >= CERTAIN:
+            root[max(p, q)] = min(p, q)
+            pairs.append((names[x], names[y]))
+        elif min(partners[x], partners[y]) < PARTNERS:
+            partners[[x, y]] += 1
+            pairs.append((names[x], names[y]))
+    return pd.DataFrame({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, dtype="int64")
+
+
+def _outside_pairs(block: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of one bucket: all likely pairs of a class outside the main component with one of another component."""
+    sketches, n, names = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS), block["n"].to_numpy(), block["class"].to_numpy()
+    guests, own = np.flatnonzero(block["guest"]), np.flatnonzero(~block["guest"])
+    a, b, _ = _likely(sketches, n, guests, own, block["root"].to_numpy())
+    return pd.DataFrame({"a": np.minimum(names[a], names[b]), "b": np.maximum(names[a], names[b])}, dtype="int64")
+
+
+def _large(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large buckets with their sketches, dealt to blocks of about BLOCK classes."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = members.where(F.col("size") > DIRECT).withColumn("blocks", blocks).withColumn("salt", F.pmod(F.hash("class"), blocks))
+    return large.join(classes.select("class", "sketch"), "class")
+
+
+def _first_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of small buckets; of large ones those of their blocks, which meet through the bucket's centres."""
     small = members.where(F.col("size") <= DIRECT)
-    pairs = small.select("key", F.col("class").alias("a")).join(small.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b")
-    large = members.where(F.col("size") > DIRECT)
-    by_size = Window.partitionBy("key", "salt").orderBy("n", "class")
-    # Large buckets are dealt to parts of about DIRECT * 64 classes; parts meet through the bucket's centres.
-    large = large.withColumn("salt", F.pmod(F.hash("class"), F.ceil(F.col("size") / (DIRECT * 64)).cast("int")))
-    near = large.withColumn("next", F.array(*[F.lead("class", i).over(by_size) for i in range(1, NEIGHBOURS + 1)]))
-    near = near.select(F.col("class").alias("a"), F.explode("next").alias("b")).where("b is not null")
+    left, right = (small.select("key", F.col("class").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _may_link(F.col("a_n"), F.col("b_n"))).select("a", "b")
+    blocks = _large(members, classes).select("key", "salt", "class", "n", "sketch").groupBy("key", "salt").applyInPandas(_block_pairs, "a long, b long")
     # Centres are the classes with the least hashes, so that buckets of the same family agree on them.
-    lot = F.xxhash64("class")
-    centres = large.groupBy("key", "salt").agg(F.min(F.struct(lot, "class")).alias("c"))
+    several = members.where(F.col("size") > BLOCK)
+    centres = several.groupBy("key", F.pmod(F.hash("class"), F.lit(64)).alias("salt")).agg(F.min(F.struct(F.xxhash64("class"), "class")).alias("c"))
     centres = centres.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("c")), 1, CENTRES).alias("c")).select("key", F.explode("c.class").alias("b"))
-    spokes = large.select("key", F.col("class").alias("a")).join(centres, "key").where("a <> b").select("a", "b")
-    more = near.unionByName(spokes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(more).distinct()
+    spokes = several.select("key", F.col("class").alias("a")).join(centres, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(blocks).unionByName(spokes).distinct()
 
 
-def _remaining_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of large buckets between its main component and classes that are still outside it."""
-    large = members.where(F.col("size") > DIRECT).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+def _remaining_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Likely pairs of large buckets between classes outside the main component and classes of other components."""
+    large = _large(members, classes).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     counts = large.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     large = large.join(main, "key")
-    outside = large.where("root <> main").select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    pairs = outside.join(large.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb")), "key")
-    sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return pairs.where((F.col("ra") != F.col("rb")) & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    columns = ["key", "salt", "class", "n", "root", "sketch"]
+    own = large.select(*columns, F.lit(False).alias("guest"))
+    # A class outside visits every block of its bucket.
+    guests = large.where("root <> main").drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("guest"))
+    return own.unionByName(guests).groupBy("key", "salt").applyInPandas(_outside_pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -205,11 +275,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = settle(bands.join(shared, "key"))
     verify = _Verifier(base, classes, percent)
-    first = settle(_first_pairs(members))
+    first = settle(_first_pairs(members, classes))
     links = verify(first)
     roots = components(links)
     if members.where(F.col("size") > DIRECT).limit(1).count():
-        rest = settle(_remaining_pairs(members, settle(roots)).join(first, ["a", "b"], "left_anti"))
+        rest = settle(_remaining_pairs(members, classes, settle(roots)).join(first, ["a", "b"], "left_anti"))
         if rest.limit(1).count():
             links = links.unionByName(verify(rest))
             roots = components(links)

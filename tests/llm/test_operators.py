@@ -320,6 +320,7 @@ def test_shards_hold_near_equal_bytes(spark, shards):
 @pytest.mark.parametrize("seed", range(2))
 def test_near_duplicates_of_planted_copies(spark, seed, monkeypatch):
     monkeypatch.setattr(neardup, "DIRECT", 6)  # the family below takes the way of large buckets
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     r = random.Random(seed)
     fresh = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
     base, texts = fresh(150), ["", None, "a", "A", "a b"]
