@@ -39,7 +39,8 @@ SYMBOL = 25
 GRAM = 8
 #: Suffixes of one subtree group, and of one task's own tree before the exchange, about.
 GROUP = 250_000
-BITS = 12
+#: Bits by which a prefix is told apart beyond those that number the groups: 32 prefixes for each group, about.
+FINER = 5
 LAST = (1 << 63) - 1
 
 
@@ -105,17 +106,18 @@ def subtree(suffixes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Prefixes:
     """Variable-length prefixes of suffixes: groups by the first bits of the first symbol, split where they are crowded by further bits."""
 
-    def __init__(self, counts: dict[int, int], further: dict[int, dict[int, int]], group: int = GROUP):
-        self.table = np.zeros(1 << BITS, np.int64)
+    def __init__(self, bits: int, counts: dict[int, int], further: dict[int, dict[int, int]], group: int):
+        self.bits = bits
+        self.table = np.zeros(1 << bits, np.int64)
         self.inner: dict[int, np.ndarray] = {}
         self.groups, filled = 0, 0
-        for prefix in range(1 << BITS):
+        for prefix in range(1 << bits):
             n = counts.get(prefix, 0)
             if prefix in further:
                 self.groups += 1 if filled else 0
-                inner = np.zeros(1 << BITS, np.int64)
+                inner = np.zeros(1 << bits, np.int64)
                 filled = 0
-                for longer in range(1 << BITS):
+                for longer in range(1 << bits):
                     m = further[prefix].get(longer, 0)
                     if filled and filled + m > group:
                         self.groups, filled = self.groups + 1, 0
@@ -131,17 +133,21 @@ class Prefixes:
         self.groups += 1
 
     def of(self, suffixes: np.ndarray) -> np.ndarray:
-        first = (suffixes[0] >> np.uint64(64 - BITS)).astype(np.int64)
+        first = first_bits(suffixes, self.bits)
         out = self.table[first]
         for prefix, inner in self.inner.items():
             here = first == prefix
-            out[here] = inner[longer_bits(suffixes[:, here])]
+            out[here] = inner[longer_bits(suffixes[:, here], self.bits)]
         return out
 
 
-def longer_bits(suffixes: np.ndarray) -> np.ndarray:
+def first_bits(suffixes: np.ndarray, bits: int) -> np.ndarray:
+    return (suffixes[0] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def longer_bits(suffixes: np.ndarray, bits: int) -> np.ndarray:
     """The next bits of a lengthened prefix: of the first symbol mixed with the second, which keeps equal suffixes together."""
-    return (((suffixes[0] << np.uint64(BITS)) ^ suffixes[1]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (((suffixes[0] << np.uint64(bits)) ^ suffixes[1]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]):
@@ -155,16 +161,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]):
                 yield rank, text_hash, starts, symbols(words, starts)
 
 
-def _counted(within: frozenset | None):
+def _counted(bits: int, within: frozenset | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for _, _, _, s in _suffixes(batches):
-            first = (s[0] >> np.uint64(64 - BITS)).astype(np.int64)
+            first = first_bits(s, bits)
             if within is None:
-                counts[0] = counts.get(0, 0) + np.bincount(first, minlength=1 << BITS)
+                counts[0] = counts.get(0, 0) + np.bincount(first, minlength=1 << bits)
             else:
                 for prefix in within.intersection(np.unique(first).tolist()):
-                    counts[prefix] = counts.get(prefix, 0) + np.bincount(longer_bits(s[:, first == prefix]), minlength=1 << BITS)
+                    counts[prefix] = counts.get(prefix, 0) + np.bincount(longer_bits(s[:, first == prefix], bits), minlength=1 << bits)
         for prefix, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), prefix), pa.int64()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["prefix", "bits", "n"])
@@ -290,16 +296,19 @@ def redundant_windows(base: DataFrame) -> DataFrame:
     each = first.select("text_hash", F.col("least").alias("rank"), F.explode(F.arrays_zip(F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))).alias("a"))
     each = settle(each.select("rank", "text_hash", F.col("a.hash").alias("hash"), F.col("a.place").alias("place")))
     shared = each.groupBy("hash").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("hash")
+    shared = settle(shared)  # so that both sides of the join are exchanged anew and a frequent anchor's rows can be split
     hits = each.join(shared, "hash").groupBy("rank", "text_hash").agg(F.collect_list("place").alias("places"))
     candidates = settle(base.join(hits, ["rank", "text_hash"]).dropDuplicates(["rank", "text_hash"]).select("rank", "text_hash", "text", "places"))
 
-    count = lambda within: {(r["prefix"], r["bits"]): r["n"] for r in candidates.mapInArrow(_counted(within), "prefix long, bits long, n long").groupBy("prefix", "bits").agg(F.sum("n").alias("n")).collect()}
+    most = (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW - GRAM + 1)
+    bits = min(20, FINER + (most // GROUP).bit_length())
+    count = lambda within: {(r["prefix"], r["bits"]): r["n"] for r in candidates.mapInArrow(_counted(bits, within), "prefix long, bits long, n long").groupBy("prefix", "bits").agg(F.sum("n").alias("n")).collect()}
     counts = {b: n for (_, b), n in count(None).items()}
     further: dict[int, dict[int, int]] = {p: {} for p, n in counts.items() if n > GROUP}
     if further:
         for (p, b), n in count(frozenset(further)).items():
             further[p][b] = n
-    prefixes = Prefixes(counts, further)
+    prefixes = Prefixes(bits, counts, further, GROUP)
     homes = max(1, 2 * shuffle_width(spark), prefixes.groups)
     leaves = candidates.mapInArrow(_planted(prefixes, homes), ROWS)
     found = leaves.groupBy("group").applyInPandas(_grown(homes), "home int, marks binary")

@@ -210,10 +210,10 @@ def test_prefixes_keep_equal_suffixes_together():
     s[0, :2500] = s[0, 0]
     first = (s[0] >> np.uint64(52)).astype(int)
     counts = dict(Counter(first.tolist()))
-    further = {p: dict(Counter(substring.longer_bits(s[:, first == p]).tolist())) for p, n in counts.items() if n > 100}
-    groups = substring.Prefixes(counts, further, 100).of(s)
+    further = {p: dict(Counter(substring.longer_bits(s[:, first == p], 12).tolist())) for p, n in counts.items() if n > 100}
+    groups = substring.Prefixes(12, counts, further, 100).of(s)
     assert max(Counter(groups.tolist()).values()) <= 100
-    assert (substring.Prefixes(counts, further, 100).of(s[:, ::-1])[::-1] == groups).all()
+    assert (substring.Prefixes(12, counts, further, 100).of(s[:, ::-1])[::-1] == groups).all()
 
 
 # --- 6 ---
