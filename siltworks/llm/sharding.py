@@ -67,7 +67,8 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
         which = F.lit(None).cast("int")
         for n, p in enumerate(prefixes):
             which = F.when(_starts_with(p, depth), F.lit(n)).otherwise(which)
-        sums = rows.withColumn("which", which).where("which is not null").groupBy("which", _bits(depth, step).alias("bucket")).agg(F.sum("size").alias("bytes")).collect()
+        sums = rows.withColumn("which", which).where("which is not null").groupBy("which", _bits(depth, step).alias("bucket")).agg(F.sum("size").alias("bytes"), ((F.min("first") == F.max("first")) & (F.min("second") == F.max("second"))).alias("one_key")).collect()
+        whole = {(prefixes[r["which"]], r["bucket"]) for r in sums if r["one_key"]}
         buckets: dict[int, list] = {}
         for r in sorted(sums, key=lambda r: r["bucket"]):
             buckets.setdefault(prefixes[r["which"]], []).append((r["bucket"], r["bytes"]))
@@ -80,7 +81,7 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
                 below += size
             low, high = below, below + size
             start = ((prefix << step) | bucket) << (128 - depth - step)
-            if min(goal - low, high - goal) <= slack or depth + step == 128:
+            if min(goal - low, high - goal) <= slack or (prefix, bucket) in whole or depth + step == 128:
                 key = start if goal - low <= high - goal else start + (1 << (128 - depth - step))
                 found[i] = (key >> 64, key & ((1 << 64) - 1))
             else:
