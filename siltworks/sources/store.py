@@ -8,6 +8,8 @@ the second fails. Files are reached through Hadoop's file system interface only,
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -166,6 +168,21 @@ class Store:
             moved.append(key)
         return moved
 
+    @contextmanager
+    def exclusive(self, name: str) -> Iterator[bool]:
+        """Whether no other pass of this name is under way; the mark is a file that only one can create, and goes with the pass."""
+        mark = self._path(f"{self.root}/_passes/{name}")
+        self._fs.mkdirs(mark.getParent())
+        try:
+            mine = self._fs.createNewFile(mark)
+        except Exception:  # noqa: BLE001 some file systems raise where others answer
+            mine = False
+        try:
+            yield mine
+        finally:
+            if mine:
+                self._fs.delete(mark, False)
+
     def start_session(self, session: DataFrame) -> int:
         """A session becomes the current one and enters the history under its id."""
         row = session.select(F.lit("current_session").alias("key"), F.to_json(F.struct(*session.columns)).alias("value"))

@@ -83,6 +83,25 @@ def task_machine(stream: DataFrame, *, base: int = BASE_DELAY_MS, max_attempts:
     return keyed.applyInPandasWithState(advance, TASK_OUT, TASK_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
+IDLE_OUT = "session_id STRING, empty_scrolls INT, finished BOOLEAN"
+
+
+def idle_machine(stream: DataFrame, *, limit: int = 3) -> DataFrame:
+    """Sessions with their scrolls without new work in a row, from scrolls (session_id, seq, found): new work starts the count again, and a session
+    with `limit` of them is finished for good."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        empty, finished = state.get if state.exists else (0, False)
+        for found in pd.concat(list(batches)).sort_values("seq")["found"]:
+            empty = 0 if found else empty + 1
+            finished = finished or empty >= limit
+        state.update((empty, finished))
+        yield pd.DataFrame({"session_id": [key[0]], "empty_scrolls": [empty], "finished": [finished]})
+
+    keyed = stream.select("session_id", "seq", "found").groupBy("session_id")
+    return keyed.applyInPandasWithState(advance, IDLE_OUT, "empty_scrolls INT, finished BOOLEAN", "update", GroupStateTimeout.NoTimeout)
+
+
 def run_available(df: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what is there now, into a table in memory; for small results and tests."""
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

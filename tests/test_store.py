@@ -138,3 +138,10 @@ def test_sidecars_skip_what_cannot_be_read(spark):
 def test_read_blobs(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"12345")
     assert media.read_blobs(spark, str(tmp_path)).select(F.col("length")).first()[0] == 5
+
+
+def test_passes_do_not_overlap(store):
+    with store.exclusive("janitor") as first, store.exclusive("janitor") as second, store.exclusive("other") as other:
+        assert (first, second, other) == (True, False, True)
+    with store.exclusive("janitor") as again:
+        assert again

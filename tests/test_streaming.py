@@ -49,3 +49,10 @@ def test_counters(spark, tmp_path):
     write(spark, folder, [("s", "discovered"), ("s", "discovered"), ("s", "persisted")], "session_id STRING, event_type STRING")
     got = pipelines.run_available(pipelines.live_counters(pipelines.read_stream(spark, folder, "session_id STRING, event_type STRING"), "session_id"), "t_live", mode="complete").first()
     assert (got["discovered"], got["persisted"], got["skipped"]) == (2, 1, 0)
+
+
+def test_idle_sessions(spark, tmp_path):
+    folder, ddl = str(tmp_path / "in"), "session_id STRING, seq INT, found BOOLEAN"
+    write(spark, folder, [("a", 0, False), ("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 0, False), ("b", 1, False), ("b", 2, False), ("b", 3, True)], ddl)
+    got = pipelines.run_available(pipelines.idle_machine(pipelines.read_stream(spark, folder, ddl)), "t_idle", mode="update")
+    assert {r["session_id"]: (r["empty_scrolls"], r["finished"]) for r in got.collect()} == {"a": (1, False), "b": (0, True)}
