@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.llm.columns import edges_below
 from siltworks.llm.words import mix64, sliding_min, stream
 from siltworks.session import arrow_rows, settle, shuffle_width
 
+#: Parts of the ids that are dealt out, at most.
+PARTS = 8192
 K = 12
 WINDOW = 29
 _RADIX = stream(7, 1)[0] | np.uint64(1)
@@ -132,11 +135,11 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     arrow_rows(spark)
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("rank"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    parts = 4 * shuffle_width(spark)
-    edges = base.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    parts = min(4 * shuffle_width(spark), PARTS)
+    edges = base.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 4 * parts)).first()[0]  # bounds of parts, nothing else
     edges = sorted(set(edges or []))
     # Part 0 has the largest ids; a part's number counts the edges that are not below the row's rank.
-    part = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e >= F.col("rank"))) if edges else F.lit(0)
+    part = len(edges) - edges_below(edges, F.col("rank"))
     base = base.withColumn("part", part)
     tops = base.groupBy("part").agg(F.max("rank").alias("rank")).collect()  # one number per part
     order = sorted(r["part"] for r in tops)

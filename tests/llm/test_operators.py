@@ -151,6 +151,15 @@ def test_shared_passages_share_a_fingerprint():
         assert a & b
 
 
+@pytest.mark.parametrize("edges", [[], [5], [1, 2, 3], list(range(0, 200, 3)), [-(1 << 63), 0, (1 << 63) - 1]])
+def test_edges_below(spark, edges):
+    from siltworks.llm.columns import edges_below
+
+    values = sorted({-(1 << 63), -1, 0, 1, 4, 5, 6, 99, 198, 199, (1 << 63) - 1, *edges})
+    rows = spark.createDataFrame([(v,) for v in values], "x long").select("x", edges_below(edges, F.col("x")).alias("n")).collect()
+    assert [(r["x"], r["n"]) for r in rows] == [(v, sum(e < v for e in edges)) for v in values]
+
+
 # --- 4 ---
 
 
