@@ -10,14 +10,15 @@ from siltworks.llm import mixing, neardup, packing, substring, toxicity
 from siltworks.llm.queries import tokenizer_path
 
 
-def _with_whole_row(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+def _with_others(docs: DataFrame) -> DataFrame:
+    """The two columns that operators read, and the others in a struct, so that texts travel once."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("others"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(_with_whole_row(docs), model, carry=("whole_row",))
-    return scored.where("predicted = 0").select("whole_row.*")
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
+    return toxicity.score(packed, model, carry=("whole_row",)).where("predicted = 0").select("whole_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +26,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring.deduplicate(_with_whole_row(docs), carry=("whole_row",))
-    new = {"text": F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("whole_row.text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("whole_row.n_chars"))}
-    return cut.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"whole_row.`{c}`")).alias(c) for c in docs.columns])
+    cut = substring.deduplicate(_with_others(docs), carry=("others",))
+    kept = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("others.n_chars"))}
+    return cut.select(*[kept.get(c, F.col(f"others.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,7 +279,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = int(gone.sum())
             kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if n else b" ".join(words)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            out.append((text if not n else kept, len(words), n, hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]))
+            out.append((kept if n else text, len(words), n, hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()).cast(pa.string()), *[pa.array(c, k) for c, k in zip(columns[1:], [pa.int64(), pa.int64(), pa.string(), span], strict=True)]], names)
 
