@@ -8,7 +8,7 @@ Candidates are compared by the likelihood of their registers' order relations, g
 the threshold are verified on full sets. Linked classes form components.
 
 Buckets with up to DIRECT classes emit all their pairs. Larger ones are compared by their sketches inside tasks, in blocks: a spanning forest of
-the pairs that are almost certainly linked is emitted, and for each class its likeliest partners outside its tree. After these are
+the pairs that are almost certainly linked is emitted, and for each class its likeliest partner outside its tree. After these are
 verified and joined to components, classes that are still apart from the bucket's main component are compared with all its other components in
 the same way, and all pairs that may be links are emitted, so that no pair that could join two components is left out.
 
@@ -41,7 +41,7 @@ PERCENT = 75
 #: Candidates whose likeliest similarity is below this are not verified: nearly four standard deviations under the threshold. From CERTAIN
 #: on, over four above it, a path of such pairs makes another pair needless; the share of equal registers of a likely pair is above EQUAL.
 ESTIMATE, CERTAIN, EQUAL = 0.65, 0.87, 0.55
-DIRECT, CENTRES, BLOCK, PARTNERS = 32, 4, 2048, 8
+DIRECT, CENTRES, BLOCK, PARTNERS = 32, 4, 2048, 1
 LAST = (1 << 63) - 1
 
 _FACTORS = stream(21, REGISTERS) | np.uint64(1)
@@ -103,7 +103,7 @@ def likeliest(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray)
         tiny = 1e-12
         return more * np.log(np.maximum(a, tiny)) + less * np.log(np.maximum(b, tiny)) + equal * np.log(np.maximum(1 - a - b, tiny))
 
-    for _ in range(40):  # the likelihood is concave: ternary search
+    for _ in range(20):  # the likelihood is concave: ternary search, to a third of a thousandth
         third = (high - low) / 3
         left = likelihood(low + third) < likelihood(high - third)
         low, high = np.where(left, low + third, low), np.where(left, high, high - third)
@@ -144,24 +144,23 @@ def _verified(percent: int):
     return rows
 
 
-class _Verifier:
-    """Turns candidate pairs of classes into links."""
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be links, by their sketches."""
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("n").alias(f"{x}_n"))
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
+    return pairs.mapInArrow(_estimates, "a long, b long")
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
-        self.docs, self.classes, self.percent = docs, classes, percent
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.classes.select(F.col("class").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("n").alias(f"{x}_n"))
-        sizes = 100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
-        likely = settle(pairs.mapInArrow(_estimates, "a long, b long"))
-        needed = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
-        wanted = self.classes.join(needed, "class").select("class", "rank", "text_hash")
-        texts = settle(self.docs.join(wanted, ["rank", "text_hash"]).groupBy("class").agg(F.min("text").alias("text")))
-        full = likely.join(texts.withColumnRenamed("class", "b").withColumnRenamed("text", "b_text"), "b")
-        full = full.join(texts.withColumnRenamed("class", "a").withColumnRenamed("text", "a_text"), "a").sortWithinPartitions("a")
-        as_bytes = lambda c: F.col(c).cast("binary")
-        return settle(full.select("a", "b", as_bytes("a_text"), as_bytes("b_text")).mapInArrow(_verified(self.percent), "a long, b long"))
+def _links(likely: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The links among likely pairs, verified on full sets."""
+    needed = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
+    wanted = classes.join(needed, "class").select("class", "rank", "text_hash")
+    texts = settle(docs.join(wanted, ["rank", "text_hash"]).groupBy("class").agg(F.min("text").alias("text")))
+    full = likely.join(texts.withColumnRenamed("class", "b").withColumnRenamed("text", "b_text"), "b")
+    full = full.join(texts.withColumnRenamed("class", "a").withColumnRenamed("text", "a_text"), "a").sortWithinPartitions("a")
+    as_bytes = lambda c: F.col(c).cast("binary")
+    return settle(full.select("a", "b", as_bytes("a_text"), as_bytes("b_text")).mapInArrow(_verified(percent), "a long, b long"))
 
 
 def _may_link(n, m):
@@ -171,10 +170,10 @@ def _may_link(n, m):
 
 def _likely(sketches: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a row and a column class that may be links, and their likeliest similarity; with apart, only pairs that differ in it."""
-    out = []
+    out, others = [], sketches[columns][None, :, :]
     for i in range(0, len(rows), 32):
         left = rows[i : i + 32]
-        equal = (sketches[left][:, None, :] == sketches[columns][None, :, :]).sum(2)
+        equal = np.add.reduce((sketches[left][:, None, :] == others).view(np.uint8), axis=2, dtype=np.uint16)
         size = 100 * np.minimum(n[left][:, None], n[columns]) >= PERCENT * np.maximum(n[left][:, None], n[columns])
         keep = (equal >= EQUAL * REGISTERS) & size & (left[:, None] != columns)
         if apart is not None:
@@ -236,18 +235,18 @@ def _large(members: DataFrame, classes: DataFrame) -> DataFrame:
     return large.join(classes.select("class", "sketch"), "class")
 
 
-def _first_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of small buckets; of large ones those of their blocks, which meet through the bucket's centres."""
+def _first_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs: of small buckets all, of large ones those of their blocks, which meet through the bucket's centres."""
     small = members.where(F.col("size") <= DIRECT)
     left, right = (small.select("key", F.col("class").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _may_link(F.col("a_n"), F.col("b_n"))).select("a", "b")
-    blocks = _large(members, classes).select("key", "salt", "class", "n", "sketch").groupBy("key", "salt").applyInPandas(_block_pairs, "a long, b long")
     # Centres are the classes with the least hashes, so that buckets of the same family agree on them.
     several = members.where(F.col("size") > BLOCK)
     centres = several.groupBy("key", F.pmod(F.hash("class"), F.lit(64)).alias("salt")).agg(F.min(F.struct(F.xxhash64("class"), "class")).alias("c"))
     centres = centres.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("c")), 1, CENTRES).alias("c")).select("key", F.explode("c.class").alias("b"))
     spokes = several.select("key", F.col("class").alias("a")).join(centres, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(blocks).unionByName(spokes).distinct()
+    blocks = _large(members, classes).select("key", "salt", "class", "n", "sketch").groupBy("key", "salt").applyInPandas(_block_pairs, "a long, b long")
+    return _estimated(pairs.unionByName(spokes).distinct(), classes, percent).unionByName(blocks).distinct()
 
 
 def _remaining_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -274,14 +273,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bands = classes.select("class", "n", "sketch").mapInArrow(_keys, "class long, n long, key long")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = settle(bands.join(shared, "key"))
-    verify = _Verifier(base, classes, percent)
-    first = settle(_first_pairs(members, classes))
-    links = verify(first)
+    first = settle(_first_pairs(members, classes, percent))
+    links = _links(first, base, classes, percent)
     roots = components(links)
     if members.where(F.col("size") > DIRECT).limit(1).count():
         rest = settle(_remaining_pairs(members, classes, settle(roots)).join(first, ["a", "b"], "left_anti"))
         if rest.limit(1).count():
-            links = links.unionByName(verify(rest))
+            links = links.unionByName(_links(rest, base, classes, percent))
             roots = components(links)
     named = classes.select("class", "rank").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("rank").alias("least"))
