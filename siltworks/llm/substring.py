@@ -39,8 +39,8 @@ SYMBOL = 25
 GRAM = 8
 #: Suffixes of one subtree group, and of one task's own tree before the exchange, about.
 GROUP = 250_000
-#: Bits by which a prefix is told apart beyond those that number the groups: 32 prefixes for each group, about.
-FINER = 5
+#: Bits by which a prefix is told apart beyond those that number the groups: 8 prefixes for each group, about.
+FINER = 3
 LAST = (1 << 63) - 1
 
 
@@ -300,8 +300,9 @@ def redundant_windows(base: DataFrame) -> DataFrame:
     hits = each.join(shared, "hash").groupBy("rank", "text_hash").agg(F.collect_list("place").alias("places"))
     candidates = settle(base.join(hits, ["rank", "text_hash"]).dropDuplicates(["rank", "text_hash"]).select("rank", "text_hash", "text", "places"))
 
-    most = (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW - GRAM + 1)
-    bits = min(20, FINER + (most // GROUP).bit_length())
+    # Anchors are half a winnowing window apart on average, and each of the words between them starts a suffix.
+    about = (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW - GRAM + 1) // 2
+    bits = min(20, FINER + (about // GROUP).bit_length())
     count = lambda within: {(r["prefix"], r["bits"]): r["n"] for r in candidates.mapInArrow(_counted(bits, within), "prefix long, bits long, n long").groupBy("prefix", "bits").agg(F.sum("n").alias("n")).collect()}
     counts = {b: n for (_, b), n in count(None).items()}
     further: dict[int, dict[int, int]] = {p: {} for p, n in counts.items() if n > GROUP}
