@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.llm.license_texts import known_texts
+
 # Equivalent spellings, after lower-casing and removal of punctuation.
 SPELLINGS = (
     ("licence", "license"),
@@ -62,6 +64,7 @@ KNOWN = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *known_texts(),
 )
 
 #: A line that starts as a copyright statement names years and holders; it is no part of a licence's wording.
@@ -84,7 +87,7 @@ def as_one_line(x: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """license_digest, license_id, chars: one row per known text, a fixed few dozen."""
+    """license_digest, license_id, chars: one row per known text, a fixed few hundred."""
     table = spark.createDataFrame(list(KNOWN), "license_id string, text string")
     table = table.withColumn("canonical", as_one_line(canonical_lines(F.col("text"))))
     return table.groupBy(F.sha2(F.col("canonical").cast("binary"), 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"), F.max(F.char_length("canonical")).alias("chars"))
@@ -97,14 +100,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kno
     whose canonical length is no known text's cannot match and are not hashed; that loses nothing.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
-    lengths = F.array(*[F.lit(r["chars"]) for r in known.select("chars").distinct().orderBy("chars").collect()])
+    lengths = sorted(r["chars"] for r in known.select("chars").distinct().collect())
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical_lines(F.col(f"`{text_col}`")).alias("lines"))
     base = base.withColumn("whole", as_one_line(F.col("lines"))).withColumn("text_digest", F.sha2(F.col("whole").cast("binary"), 256))
-    notices = F.transform(F.split("lines", "\n", -1), as_one_line)
+    notices = F.transform(F.split(F.regexp_replace("lines", " +", " "), "\n", -1), lambda p: F.trim(p))
     paragraphs = F.transform(F.filter(F.split("lines", r"\n *\n", -1), lambda p: F.contains(F.trim(p), F.lit("\n"))), as_one_line)
-    pieces = F.filter(F.concat(notices, paragraphs, F.array("whole")), lambda p: F.array_contains(lengths, F.char_length(p)))
+    pieces = F.filter(F.concat(notices, paragraphs, F.array("whole")), lambda p: F.char_length(p).isin(lengths))
     hashed = F.transform(pieces, lambda p: F.sha2(p.cast("binary"), 256))
-    pieces = base.select("doc_id", "text_digest", hashed.alias("pieces")).where(F.size("pieces") > 0).select("doc_id", "text_digest", F.explode("pieces").alias("license_digest"))
+    # The outer form, as a filter on empty lists would compute them twice; the null digest of a text without pieces meets no licence.
+    pieces = base.select("doc_id", "text_digest", F.explode_outer(hashed).alias("license_digest"))
     hits = pieces.join(F.broadcast(known.select("license_digest", "license_id")), "license_digest")
     # Repeated rows share both keys and all their pieces, so a piece's count is divided by theirs.
     rows = base.groupBy("doc_id", "text_digest").agg(F.count("*").alias("copies"))

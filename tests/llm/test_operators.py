@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, fingerprint, license, mixing, neardup, packing, quality, queries, sharding, substring, toxicity
+from siltworks.llm import chat, fingerprint, license, license_texts, mixing, neardup, packing, quality, queries, sharding, substring, toxicity
 from tests.llm import helpers as h
 
 ODD = [None, "", " \n\t", "one", "one two three four five six", "one two three four five six", "x" * 5000, " ".join(f"w{i % 7}" for i in range(3000)), "é ß 𝄞   nb"]
@@ -70,6 +70,48 @@ def test_license_equals_sql(spark, data_dir):
     assert sorted(map(tuple, queries.op1_license_scan(spark, data_dir).collect()), key=str) == sorted(wanted, key=str)
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_license_files_whole_and_embedded(spark):
+    files = {"MIT": MIT_FILE} | {p.stem: p.read_text() for p in license_texts.FOLDER.glob("*.txt") if p.stem != "MIT"}
+    files["BSD-3-Clause"] = "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + files["BSD-3-Clause"]
+    names = sorted(files)
+    texts = [files[n] for n in names] + [f"Some software.\n\n{files[n]}\n\nThat was its licence." for n in names]
+    got = {r["doc_id"]: r for r in license.scan(h.table(spark, texts)).collect()}
+    assert [got[i]["whole_license"] for i in range(len(names))] == names
+    for i, n in enumerate(names):
+        inside = got[len(names) + i]
+        assert inside["whole_license"] is None and n in inside["licenses"].replace(" OR ", ",").split(",")
+
+
+def test_a_known_license_text_has_one_id(spark):
+    canonical = license.as_one_line(license.canonical_lines(F.col("text")))
+    table = spark.createDataFrame(list(license.KNOWN), "id string, text string")
+    assert table.groupBy(canonical.alias("c")).agg(F.countDistinct("id").alias("n")).where("n > 1 or c = ''").count() == 0
+
+
 # --- 2 ---
 
 
