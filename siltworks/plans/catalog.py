@@ -333,7 +333,7 @@ def sanitize_path(t):
 @query("SELECT doc_id, sha256(text) AS sha256, to_base64(encode(substr(text, 1, 30))) AS base64, 'media/' || CASE WHEN lang = 'en' THEN 'images' WHEN lang = 'de' THEN 'videos' ELSE 'other' END || '/' || doc_id AS blob_path FROM documents")
 def digests(t):
     kind = F.when(F.col("lang") == "en", "image").when(F.col("lang") == "de", "video")
-    return t("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.base64(F.substring("text", 1, 30).cast("binary")).alias("base64"), tx.blob_path(F.col("doc_id").cast("string"), kind).alias("blob_path"))
+    return t("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "").alias("base64"), tx.blob_path(F.col("doc_id").cast("string"), kind).alias("blob_path"))
 
 
 @query("SELECT o_custkey AS owner, list_aggregate(list_distinct(list_concat(list(o_orderkey ORDER BY o_orderkey), [0, min(o_orderkey)])), 'sum')::BIGINT AS total, len(list_distinct(list_concat(list(o_orderkey), [0, min(o_orderkey)])))::INT AS n, CASE WHEN min(o_orderkey) = 0 THEN 'single-image' ELSE 'carousel' END AS layout FROM orders GROUP BY 1")

@@ -1,5 +1,6 @@
 """Every catalogued query against its SQL on the same tables."""
 
+import base64
 import os
 
 import duckdb
@@ -29,3 +30,10 @@ def test_query_equals_sql(spark, data_dir, name):
 def test_no_article_of_the_sample_pages_is_a_post(spark, data_dir):
     found = catalog.QUERIES["extract_pages"](spark, data_dir).toPandas()
     assert len(found) and found["strategy"].isna().all() and found["failure"].notna().all()
+
+
+def test_digests_encode_whole_texts(spark, data_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["base64"] for r in catalog.QUERIES["digests"](spark, data_dir).collect()}
+    assert max(map(len, texts.values())) > 1000
+    assert got == {i: base64.b64encode(t.encode()).decode() for i, t in texts.items()}
