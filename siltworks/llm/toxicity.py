@@ -129,7 +129,8 @@ class Model:
     def features(self, text: str, machine: Machine) -> list[float]:
         text = text.lower()
         stems = self.stems
-        if not any(w[:3] in stems for w in text.split()) and not any(w.lstrip(_EDGES)[:3] in stems for w in text.split() if w[0] in _EDGES):
+        words = _CLAUSE.sub(" ", text).split()  # of all clauses; without a stem no event can be found
+        if not any(w[:3] in stems for w in words) and not any(w.lstrip(_EDGES)[:3] in stems for w in words if w[0] in _EDGES):
             return [0.0] * len(FEATURES)
         sums = dict.fromkeys(EVENTS, 0.0)
         matched = clauses = 0

@@ -153,6 +153,19 @@ def test_clauses(clause, event):
     assert model.score(model.features("a quiet river", machine)) < 0.5
 
 
+def test_skipped_texts_have_no_events():
+    class Every(frozenset):
+        __contains__ = lambda self, x: True
+
+    quick, full, machine = toxicity.base_model(), toxicity.base_model(), toxicity.Machine()
+    full.stems = Every()
+    r = random.Random(3)
+    parts = ["idiot", "Idiot", "kill", "you", "not", "said", "river", "a", *"\"“(.,;!?-\n ", ",", ".", " "]
+    texts = ["well,idiot", "Enough.Idiot", "no;(idiot)", *("".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for _ in range(3000))]
+    assert all(any(quick.features(t, machine)) for t in texts[:3])
+    assert [quick.features(t, machine) for t in texts] == [full.features(t, machine) for t in texts]
+
+
 # --- 3 ---
 
 
