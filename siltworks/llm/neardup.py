@@ -38,9 +38,9 @@ REGISTERS, BAND, BANDS = 256, 4, 32
 #: Of the sketch: base of the scale, rate of the exponential variables, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 PERCENT = 75
-#: Candidates whose likeliest similarity is below this are not verified: nearly four standard deviations under the threshold. From CERTAIN
+#: Candidates whose likeliest similarity is below this are not verified: over five standard deviations under the threshold. From CERTAIN
 #: on, over four above it, a path of such pairs makes another pair needless; the share of equal registers of a likely pair is above EQUAL.
-ESTIMATE, CERTAIN, EQUAL = 0.65, 0.87, 0.55
+ESTIMATE, CERTAIN, EQUAL = 0.60, 0.87, 0.55
 DIRECT, CENTRES, BLOCK, PARTNERS = 32, 4, 2048, 1
 LAST = (1 << 63) - 1
 

@@ -1,5 +1,6 @@
 """Each operator against a plain restatement, and on odd inputs: nulls, empty and long texts, ties, repeated rows, no rows."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -420,6 +421,12 @@ def test_sketches_merge_and_estimate():
     assert abs(found - 700 / 900) < 0.15 and len(both)
 
 
+def test_estimates_miss_fewer_links_than_bands():
+    at, n = neardup.PERCENT / 100, neardup.REGISTERS
+    below = lambda share: sum(math.comb(n, k) * at**k * (1 - at) ** (n - k) for k in range(math.ceil(share * n)))
+    assert below(neardup.ESTIMATE) + below(neardup.EQUAL) < 1e-6 < (1 - at**neardup.BAND) ** neardup.BANDS
+
+
 # --- 10 ---
 
 
