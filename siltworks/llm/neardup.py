@@ -3,7 +3,7 @@
 A document is the set of its distinct 5-word shingles (words lower-cased in A-Z; fewer words: the whole sequence as one shingle).
 Documents with equal sets form a class, and one sketch stands for a class. A sketch has REGISTERS registers: each holds the
 minimum of an exponential variable over the set, truncated to the scale base**-k, so that sketches of parts merge by maximum and the
-chance of equal registers follows the similarity. Bands of four registers are keys; classes that share a key are candidates.
+chance of equal registers follows the similarity. Bands of four registers (fewer at thresholds far below 75 percent) are keys; classes that share a key are candidates.
 Candidates are compared by the likelihood of their registers' order relations, given the exact set sizes; those that may reach
 the threshold are verified on full sets. Linked classes form components.
 
@@ -19,8 +19,10 @@ repeated rows are documents of their own with equal sets; an empty table gives a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,14 +40,42 @@ REGISTERS, BAND, BANDS = 256, 4, 32
 #: Of the sketch: base of the scale, rate of the exponential variables, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 PERCENT = 75
-#: Candidates whose likeliest similarity is below this are not verified: over five standard deviations under the threshold. From CERTAIN
+#: At PERCENT: candidates whose likeliest similarity is below this are not verified: over five standard deviations under the threshold. From CERTAIN
 #: on, over four above it, a path of such pairs makes another pair needless; the share of equal registers of a likely pair is above EQUAL.
 ESTIMATE, CERTAIN, EQUAL = 0.60, 0.87, 0.55
 DIRECT, CENTRES, BLOCK, PARTNERS = 32, 4, 2048, 1
 LAST = (1 << 63) - 1
 
 _FACTORS = stream(21, REGISTERS) | np.uint64(1)
-_BANDS = stream(22, BANDS)
+_BANDS = stream(22, REGISTERS)
+
+
+class Limits(NamedTuple):
+    """What follows from the threshold: the limits of estimates, and registers a band and bands."""
+
+    percent: int
+    estimate: float
+    certain: float
+    equal: float
+    band: int
+    bands: int
+
+
+def limits(percent: int) -> Limits:
+    """Limits as many standard deviations from the threshold, and bands that miss no more, than at PERCENT."""
+    base = PERCENT / 100
+    deviation = lambda x: math.sqrt(x * (1 - x) / (base * (1 - base)))
+    at = percent / 100
+    low = min(at, base)  # what keeps pairs at PERCENT keeps those above
+    certain = at + (CERTAIN - base) * deviation(at) if 0 < at <= 1 else 1.0
+    estimate, equal = (max(0.0, low - (base - x) * deviation(low)) if 0 < low else 0.0 for x in (ESTIMATE, EQUAL))
+    if low == base:
+        return Limits(percent, estimate, certain, equal, BAND, BANDS)
+    for band in (BAND, 2, 1):
+        bands = math.ceil(BANDS * math.log1p(-(base**BAND)) / math.log1p(-(low**band))) if low > 0 else REGISTERS + 1
+        if bands * band <= REGISTERS:
+            return Limits(percent, estimate, certain, equal, band, bands)
+    raise ValueError(f"{REGISTERS} registers do not find pairs at {percent} percent")
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -65,8 +95,8 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, TOP).astype("<u2")
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    return mix64(np.ascontiguousarray(sketch[: BANDS * BAND]).view("<u8") ^ _BANDS).view(np.int64)
+def band_keys(sketch: np.ndarray, band: int = BAND, bands: int = BANDS) -> np.ndarray:
+    return mix64(np.ascontiguousarray(sketch[: bands * band]).view(f"<u{2 * band}").astype("<u8") ^ _BANDS[:bands]).view(np.int64)
 
 
 SIGNATURES = "doc_id long, text_hash long, n_shingles long, class long, sketch binary"
@@ -83,12 +113,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary())], [x.split()[0] for x in SIGNATURES.split(", ")])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sketches = batch.column(2).to_pylist()
-        keys = [band_keys(np.frombuffer(s, "<u2")) for s in sketches]
-        where = pa.array(np.repeat(np.arange(len(sketches)), BANDS))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["class", "n", "key"])
+def _keys(to: Limits):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = batch.column(2).to_pylist()
+            keys = [band_keys(np.frombuffer(s, "<u2"), to.band, to.bands) for s in sketches]
+            where = pa.array(np.repeat(np.arange(len(sketches)), to.bands))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["class", "n", "key"])
+
+    return rows
 
 
 def likeliest(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -110,14 +143,17 @@ def likeliest(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray)
     return (low + high) / 2
 
 
-def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 4))
-        n, m = (batch.column(i).to_numpy().astype(float) for i in (3, 5))
-        near = likeliest((a > b).sum(1), (a < b).sum(1), n, m) >= ESTIMATE
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+def _estimates(to: Limits):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 4))
+            n, m = (batch.column(i).to_numpy().astype(float) for i in (3, 5))
+            near = likeliest((a > b).sum(1), (a < b).sum(1), n, m) >= to.estimate
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+
+    return rows
 
 
 def _verified(percent: int):
@@ -144,12 +180,12 @@ def _verified(percent: int):
     return rows
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, to: Limits) -> DataFrame:
     """Pairs that may be links, by their sketches."""
     side = lambda x: classes.select(F.col("class").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("n").alias(f"{x}_n"))
-    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    sizes = _may_link(F.col("a_n"), F.col("b_n"), to.percent)
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
-    return pairs.mapInArrow(_estimates, "a long, b long")
+    return pairs.mapInArrow(_estimates(to), "a long, b long")
 
 
 def _links(likely: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -163,19 +199,19 @@ def _links(likely: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     return settle(full.select("a", "b", as_bytes("a_text"), as_bytes("b_text")).mapInArrow(_verified(percent), "a long, b long"))
 
 
-def _may_link(n, m):
+def _may_link(n, m, percent: int):
     """Sets of such sizes can reach the threshold."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _likely(sketches: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likely(sketches: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray, to: Limits, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a row and a column class that may be links, and their likeliest similarity; with apart, only pairs that differ in it."""
     out, others = [], sketches[columns][None, :, :]
     for i in range(0, len(rows), 32):
         left = rows[i : i + 32]
         equal = np.add.reduce((sketches[left][:, None, :] == others).view(np.uint8), axis=2, dtype=np.uint16)
-        size = 100 * np.minimum(n[left][:, None], n[columns]) >= PERCENT * np.maximum(n[left][:, None], n[columns])
-        keep = (equal >= EQUAL * REGISTERS) & size & (left[:, None] != columns)
+        size = 100 * np.minimum(n[left][:, None], n[columns]) >= to.percent * np.maximum(n[left][:, None], n[columns])
+        keep = (equal >= to.equal * REGISTERS) & size & (left[:, None] != columns)
         if apart is not None:
             keep &= apart[left][:, None] != apart[columns]
         x, y = np.nonzero(keep)
@@ -183,17 +219,17 @@ def _likely(sketches: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.n
             a, b = left[x], columns[y]
             more, less = (sketches[a] > sketches[b]).sum(1), (sketches[a] < sketches[b]).sum(1)
             j = likeliest(more, less, n[a].astype(float), n[b].astype(float))
-            near = j >= ESTIMATE
+            near = j >= to.estimate
             out.append((a[near], b[near], j[near]))
     empty = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (empty, empty, np.zeros(0))
 
 
-def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(block: pd.DataFrame, to: Limits) -> pd.DataFrame:
     """Of a block of one bucket: a spanning forest of almost certain links, then each class's likeliest partners in other trees."""
     sketches, n, names = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS), block["n"].to_numpy(), block["class"].to_numpy()
     every = np.arange(len(block))
-    a, b, j = _likely(sketches, n, every, every)
+    a, b, j = _likely(sketches, n, every, every, to)
     once = a < b
     a, b, j = a[once], b[once], j[once]
     root = every.copy()
@@ -211,7 +247,7 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
         p, q = find(x), find(y)
         if p == q:
             continue
-        if j[i] >= CERTAIN:
+        if j[i] >= to.certain:
             root[max(p, q)] = min(p, q)
             pairs.append((names[x], names[y]))
         elif min(partners[x], partners[y]) < PARTNERS:
@@ -220,11 +256,11 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, dtype="int64")
 
 
-def _outside_pairs(block: pd.DataFrame) -> pd.DataFrame:
+def _outside_pairs(block: pd.DataFrame, to: Limits) -> pd.DataFrame:
     """Of a block of one bucket: all likely pairs of a class outside the main component with one of another component."""
     sketches, n, names = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS), block["n"].to_numpy(), block["class"].to_numpy()
     guests, own = np.flatnonzero(block["guest"]), np.flatnonzero(~block["guest"])
-    a, b, _ = _likely(sketches, n, guests, own, block["root"].to_numpy())
+    a, b, _ = _likely(sketches, n, guests, own, to, block["root"].to_numpy())
     return pd.DataFrame({"a": np.minimum(names[a], names[b]), "b": np.maximum(names[a], names[b])}, dtype="int64")
 
 
@@ -235,21 +271,21 @@ def _large(members: DataFrame, classes: DataFrame) -> DataFrame:
     return large.join(classes.select("class", "sketch"), "class")
 
 
-def _first_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _first_pairs(members: DataFrame, classes: DataFrame, to: Limits) -> DataFrame:
     """Likely pairs: of small buckets all, of large ones those of their blocks, which meet through the bucket's centres."""
     small = members.where(F.col("size") <= DIRECT)
     left, right = (small.select("key", F.col("class").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _may_link(F.col("a_n"), F.col("b_n"))).select("a", "b")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _may_link(F.col("a_n"), F.col("b_n"), to.percent)).select("a", "b")
     # Centres are the classes with the least hashes, so that buckets of the same family agree on them.
     several = members.where(F.col("size") > BLOCK)
     centres = several.groupBy("key", F.pmod(F.hash("class"), F.lit(64)).alias("salt")).agg(F.min(F.struct(F.xxhash64("class"), "class")).alias("c"))
     centres = centres.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("c")), 1, CENTRES).alias("c")).select("key", F.explode("c.class").alias("b"))
     spokes = several.select("key", F.col("class").alias("a")).join(centres, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    blocks = _large(members, classes).select("key", "salt", "class", "n", "sketch").groupBy("key", "salt").applyInPandas(_block_pairs, "a long, b long")
-    return _estimated(pairs.unionByName(spokes).distinct(), classes, percent).unionByName(blocks).distinct()
+    blocks = _large(members, classes).select("key", "salt", "class", "n", "sketch").groupBy("key", "salt").applyInPandas(lambda block: _block_pairs(block, to), "a long, b long")
+    return _estimated(pairs.unionByName(spokes).distinct(), classes, to).unionByName(blocks).distinct()
 
 
-def _remaining_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _remaining_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, to: Limits) -> DataFrame:
     """Likely pairs of large buckets between classes outside the main component and classes of other components."""
     large = _large(members, classes).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     counts = large.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -259,25 +295,26 @@ def _remaining_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame) -
     own = large.select(*columns, F.lit(False).alias("guest"))
     # A class outside visits every block of its bucket.
     guests = large.where("root <> main").drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("guest"))
-    return own.unionByName(guests).groupBy("key", "salt").applyInPandas(_outside_pairs, "a long, b long").distinct()
+    return own.unionByName(guests).groupBy("key", "salt").applyInPandas(lambda block: _outside_pairs(block, to), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id, kept, root (one number per component; null without shingles)."""
+    to = limits(percent)
     arrow_rows(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     marks = settle(base.mapInArrow(_signatures, SIGNATURES)).withColumnRenamed("doc_id", "rank")
     one = F.struct("rank", "text_hash", F.col("n_shingles").alias("n"), "sketch")
     classes = settle(marks.where("n_shingles > 0").groupBy("class").agg(F.min(one).alias("x")).select("class", "x.*"))
-    bands = classes.select("class", "n", "sketch").mapInArrow(_keys, "class long, n long, key long")
+    bands = classes.select("class", "n", "sketch").mapInArrow(_keys(to), "class long, n long, key long")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = settle(bands.join(shared, "key"))
-    first = settle(_first_pairs(members, classes, percent))
+    first = settle(_first_pairs(members, classes, to))
     links = _links(first, base, classes, percent)
     roots = components(links)
     if members.where(F.col("size") > DIRECT).limit(1).count():
-        rest = settle(_remaining_pairs(members, classes, settle(roots)).join(first, ["a", "b"], "left_anti"))
+        rest = settle(_remaining_pairs(members, classes, settle(roots), to).join(first, ["a", "b"], "left_anti"))
         if rest.limit(1).count():
             links = links.unionByName(_links(rest, base, classes, percent))
             roots = components(links)

@@ -421,6 +421,32 @@ def test_sketches_merge_and_estimate():
     assert abs(found - 700 / 900) < 0.15 and len(both)
 
 
+@pytest.mark.parametrize(("percent", "direct"), [(50, 32), (50, 6), (60, 32), (90, 32)])
+def test_near_duplicates_at_other_thresholds(spark, percent, direct, monkeypatch):
+    monkeypatch.setattr(neardup, "DIRECT", direct)
+    r, texts = random.Random(percent), []
+    fresh = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    for _ in range(12):  # the first part of a text: the share of common shingles is that of the sizes
+        w = fresh(204)
+        texts += [" ".join(w[: 4 + round(200 * share)]) for share in (1, percent / 100 + 0.02)]
+        texts += [" ".join(w[:100] + fresh(20) + w[100:])]
+    family = fresh(154)  # neighbours have a share of shingles near the threshold
+    texts += [" ".join(family[: 4 + round(150 * (percent / 100 + 0.04) ** k)]) for k in range(4)]
+    pairs = list(enumerate(texts))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(h.table(spark, pairs), percent=percent).collect()}
+    assert got == h.near_components(pairs, percent)
+
+
+def test_limits_follow_the_threshold():
+    n = neardup.REGISTERS
+    for percent in range(5, 101):
+        x, at = neardup.limits(percent), percent / 100
+        below = lambda share: sum(math.comb(n, k) * at**k * (1 - at) ** (n - k) for k in range(math.ceil(share * n)))  # noqa: B023, E731
+        assert max(below(x.estimate), below(x.equal)) < 1e-6 and (1 - at**x.band) ** x.bands < 6e-6 and x.band * x.bands <= n
+    with pytest.raises(ValueError):
+        neardup.limits(4)
+
+
 def test_estimates_miss_fewer_links_than_bands():
     at, n = neardup.PERCENT / 100, neardup.REGISTERS
     below = lambda share: sum(math.comb(n, k) * at**k * (1 - at) ** (n - k) for k in range(math.ceil(share * n)))
