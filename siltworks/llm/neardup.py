@@ -1,16 +1,18 @@
 """Near-duplicate detection with SetSketch registers.
 
 A document is the set of its distinct 5-word shingles (words lower-cased in A-Z; fewer words: the whole sequence as one shingle).
-Documents with equal sets form a class, and one sketch stands for a class. A sketch has REGISTERS registers: each holds the
+Documents with equal sets (by a 128-bit digest) form a class, and one sketch stands for a class. A sketch has REGISTERS registers: each holds the
 minimum of an exponential variable over the set, truncated to the scale base**-k, so that sketches of parts merge by maximum and the
-chance of equal registers follows the similarity. Bands of four registers (fewer at thresholds far below 75 percent) are keys; classes that share a key are candidates.
-Candidates are compared by the likelihood of their registers' order relations, given the exact set sizes; those that may reach
-the threshold are verified on full sets. Linked classes form components.
+chance of equal registers follows the similarity. Bands of four registers (fewer at thresholds far below 75 percent) are keys; classes that share
+a key are candidates. Candidates are compared by the likelihood of their registers' order relations, given the exact set sizes; those that
+may reach the threshold are verified on full sets. Linked classes form components.
 
-Buckets with up to DIRECT classes emit all their pairs. Larger ones are compared by their sketches inside tasks, in blocks: a spanning forest of
-the pairs that are almost certainly linked is emitted, and for each class its likeliest partner outside its tree. After these are
-verified and joined to components, classes that are still apart from the bucket's main component are compared with all its other components in
-the same way, and all pairs that may be links are emitted, so that no pair that could join two components is left out.
+1. Hubs. Each class is compared with one class of each of its buckets, the hub, which is the least in a random order, so that buckets
+   of one family agree on it. Rows grow with the buckets' members, never with their pairs. This is repeated with another order
+   while it still joins components.
+2. The rest. Buckets whose members still lie in several components are compared exhaustively inside tasks: members of the bucket's
+   largest component stay in blocks of bounded size, all others visit every block. A pair is looked at in the first band that it
+   shares, verified there on full sets, and only links that join two components leave the task.
 
 Defined results: null or empty texts have no shingles and link with nothing; null ids count as the largest id and come back as null;
 repeated rows are documents of their own with equal sets; an empty table gives an empty result; other columns are not read.
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,10 +41,13 @@ REGISTERS, BAND, BANDS = 256, 4, 32
 #: Of the sketch: base of the scale, rate of the exponential variables, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 PERCENT = 75
-#: At PERCENT: candidates whose likeliest similarity is below this are not verified: over five standard deviations under the threshold. From CERTAIN
-#: on, over four above it, a path of such pairs makes another pair needless; the share of equal registers of a likely pair is above EQUAL.
-ESTIMATE, CERTAIN, EQUAL = 0.60, 0.87, 0.55
-DIRECT, CENTRES, BLOCK, PARTNERS = 32, 4, 2048, 1
+#: At PERCENT: candidates whose likeliest similarity is below this are not verified: over five standard deviations under the threshold; the share of
+#: equal registers of a likely pair is above EQUAL.
+ESTIMATE, EQUAL = 0.60, 0.55
+#: Classes and shingles of one block of a bucket, about; parts in which hubs of large buckets are chosen, and the size from which on they are.
+BLOCK, BLOCK_SHINGLES, PARTS, LARGE = 2048, 1 << 22, 64, 4096
+#: Hubs are chosen anew while this share of the compared pairs are links.
+WORTH = 0.02
 LAST = (1 << 63) - 1
 
 _FACTORS = stream(21, REGISTERS) | np.uint64(1)
@@ -55,7 +59,6 @@ class Limits(NamedTuple):
 
     percent: int
     estimate: float
-    certain: float
     equal: float
     band: int
     bands: int
@@ -65,16 +68,14 @@ def limits(percent: int) -> Limits:
     """Limits as many standard deviations from the threshold, and bands that miss no more, than at PERCENT."""
     base = PERCENT / 100
     deviation = lambda x: math.sqrt(x * (1 - x) / (base * (1 - base)))
-    at = percent / 100
-    low = min(at, base)  # what keeps pairs at PERCENT keeps those above
-    certain = at + (CERTAIN - base) * deviation(at) if 0 < at <= 1 else 1.0
+    low = min(percent / 100, base)  # what keeps pairs at PERCENT keeps those above
     estimate, equal = (max(0.0, low - (base - x) * deviation(low)) if 0 < low else 0.0 for x in (ESTIMATE, EQUAL))
     if low == base:
-        return Limits(percent, estimate, certain, equal, BAND, BANDS)
+        return Limits(percent, estimate, equal, BAND, BANDS)
     for band in (BAND, 2, 1):
         bands = math.ceil(BANDS * math.log1p(-(base**BAND)) / math.log1p(-(low**band))) if low > 0 else REGISTERS + 1
         if bands * band <= REGISTERS:
-            return Limits(percent, estimate, certain, equal, band, bands)
+            return Limits(percent, estimate, equal, band, bands)
     raise ValueError(f"{REGISTERS} registers do not find pairs at {percent} percent")
 
 
@@ -99,31 +100,30 @@ def band_keys(sketch: np.ndarray, band: int = BAND, bands: int = BANDS) -> np.nd
     return mix64(np.ascontiguousarray(sketch[: bands * band]).view(f"<u{2 * band}").astype("<u8") ^ _BANDS[:bands]).view(np.int64)
 
 
-SIGNATURES = "doc_id long, text_hash long, n_shingles long, class long, sketch binary"
+SIGNATURES = "rank long, text_hash long, n_shingles long, digest binary, keys array<long>"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, classes, sketches = [], [], []
-        for text in batch.column(2).cast(pa.binary()).to_pylist():
-            found = shingles(text or b"")
-            n.append(len(found))
-            classes.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
-            sketches.append(registers(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary())], [x.split()[0] for x in SIGNATURES.split(", ")])
-
-
-def _keys(to: Limits):
+def _signatures(to: Limits):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = batch.column(2).to_pylist()
-            keys = [band_keys(np.frombuffer(s, "<u2"), to.band, to.bands) for s in sketches]
-            where = pa.array(np.repeat(np.arange(len(sketches)), to.bands))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["class", "n", "key"])
+            n, digests, keys = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                found = shingles(text or b"")
+                n.append(len(found))
+                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                keys.append(band_keys(registers(found), to.band, to.bands) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [x.split()[0] for x in SIGNATURES.split(", ")])
 
     return rows
 
 
+def _shelved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+        sketches = [registers(x).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "sketch", "shingles"])
+
+
 def likeliest(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The similarity that maximises the likelihood of so many registers being greater and less, sets having n and m elements."""
     u, v = n / (n + m), m / (n + m)
@@ -143,159 +143,140 @@ def likeliest(more: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray)
     return (low + high) / 2
 
 
-def _estimates(to: Limits):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 4))
-            n, m = (batch.column(i).to_numpy().astype(float) for i in (3, 5))
-            near = likeliest((a > b).sum(1), (a < b).sum(1), n, m) >= to.estimate
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """Entries that two sorted sets share."""
+    if len(p) < len(q):
+        p, q = q, p
+    return int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
 
-    return rows
 
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = _common(p, q)
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
-def _verified(percent: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def of(key: int, text: bytes) -> np.ndarray:
-            if key not in sets:
-                sets[key] = shingles(text)
-                if len(sets) > 32:
-                    sets.popitem(last=False)
-            sets.move_to_end(key)
-            return sets[key]
+def _may_link(n, m, percent: int):
+    """Sets of such sizes can reach the threshold."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
+
+def _verified(to: Limits):
+    """Of pairs (root, sketch and set of both) the roots of those that are links: by the estimate first, then on full sets."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            a, b, at, bt = (batch.column(i).to_pylist() for i in range(4))
-            for x, y, s, t in zip(a, b, at, bt, strict=True):
-                p, q = of(x, s), of(y, t)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(100 * both >= percent * (len(p) + len(q) - both))
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 4))
+            sets = [[np.frombuffer(x, "<u8") for x in batch.column(i).to_pylist()] for i in (3, 5)]
+            n, m = (np.array([len(x) for x in side], float) for side in sets)
+            near = likeliest((a > b).sum(1), (a < b).sum(1), n, m) >= to.estimate
+            linked = [bool(e) and _linked(p, q, to.percent) for e, p, q in zip(near, *sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return rows
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, to: Limits) -> DataFrame:
-    """Pairs that may be links, by their sketches."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("n").alias(f"{x}_n"))
-    sizes = _may_link(F.col("a_n"), F.col("b_n"), to.percent)
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n")
-    return pairs.mapInArrow(_estimates(to), "a long, b long")
-
-
-def _links(likely: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The links among likely pairs, verified on full sets."""
-    needed = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
-    wanted = classes.join(needed, "class").select("class", "rank", "text_hash")
-    texts = settle(docs.join(wanted, ["rank", "text_hash"]).groupBy("class").agg(F.min("text").alias("text")))
-    full = likely.join(texts.withColumnRenamed("class", "b").withColumnRenamed("text", "b_text"), "b")
-    full = full.join(texts.withColumnRenamed("class", "a").withColumnRenamed("text", "a_text"), "a").sortWithinPartitions("a")
-    as_bytes = lambda c: F.col(c).cast("binary")
-    return settle(full.select("a", "b", as_bytes("a_text"), as_bytes("b_text")).mapInArrow(_verified(percent), "a long, b long"))
-
-
-def _may_link(n, m, percent: int):
-    """Sets of such sizes can reach the threshold."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
-def _likely(sketches: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray, to: Limits, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a row and a column class that may be links, and their likeliest similarity; with apart, only pairs that differ in it."""
-    out, others = [], sketches[columns][None, :, :]
-    for i in range(0, len(rows), 32):
-        left = rows[i : i + 32]
+def _likely(sketches: np.ndarray, n: np.ndarray, roots: np.ndarray, guests: np.ndarray, own: np.ndarray, band: int, to: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a guest and a class of the block in different components that may be links and share no band before this one, with their
+    likeliest similarity; a few guests at a time."""
+    others = sketches[own][None, :, :]
+    for i in range(0, len(guests), 32):
+        left = guests[i : i + 32]
         equal = np.add.reduce((sketches[left][:, None, :] == others).view(np.uint8), axis=2, dtype=np.uint16)
-        size = 100 * np.minimum(n[left][:, None], n[columns]) >= to.percent * np.maximum(n[left][:, None], n[columns])
-        keep = (equal >= to.equal * REGISTERS) & size & (left[:, None] != columns)
-        if apart is not None:
-            keep &= apart[left][:, None] != apart[columns]
-        x, y = np.nonzero(keep)
-        if len(x):
-            a, b = left[x], columns[y]
-            more, less = (sketches[a] > sketches[b]).sum(1), (sketches[a] < sketches[b]).sum(1)
-            j = likeliest(more, less, n[a].astype(float), n[b].astype(float))
+        size = 100 * np.minimum(n[left][:, None], n[own]) >= to.percent * np.maximum(n[left][:, None], n[own])
+        x, y = np.nonzero((equal >= to.equal * REGISTERS) & size & (roots[left][:, None] != roots[own]))
+        a, b = left[x], own[y]
+        if band and len(a):
+            width = band * to.band
+            earlier = (sketches[a, :width] == sketches[b, :width]).reshape(len(a), band, to.band).all(2).any(1)
+            a, b = a[~earlier], b[~earlier]
+        if len(a):
+            j = likeliest((sketches[a] > sketches[b]).sum(1), (sketches[a] < sketches[b]).sum(1), n[a].astype(float), n[b].astype(float))
             near = j >= to.estimate
-            out.append((a[near], b[near], j[near]))
-    empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (empty, empty, np.zeros(0))
+            yield a[near], b[near], j[near]
 
 
-def _block_pairs(block: pd.DataFrame, to: Limits) -> pd.DataFrame:
-    """Of a block of one bucket: a spanning forest of almost certain links, then each class's likeliest partners in other trees."""
-    sketches, n, names = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS), block["n"].to_numpy(), block["class"].to_numpy()
-    every = np.arange(len(block))
-    a, b, j = _likely(sketches, n, every, every, to)
-    once = a < b
-    a, b, j = a[once], b[once], j[once]
-    root = every.copy()
+def _block_links(block: pd.DataFrame, to: Limits) -> pd.DataFrame:
+    """Of one block of a bucket: pairs of roots that a link joins, as a spanning forest."""
+    sketches = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS)
+    sets = [np.frombuffer(x, "<u8") for x in block["shingles"]]
+    n, guest = np.array([len(x) for x in sets]), block["guest"].to_numpy()
+    names, roots = np.unique(block["root"].to_numpy(), return_inverse=True)
+    parent = list(range(len(names)))
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
-    pairs, partners = [], np.zeros(len(block), np.int64)
-    order = np.lexsort((names[b], names[a], -j))
-    for i in order.tolist():
-        x, y = int(a[i]), int(b[i])
-        p, q = find(x), find(y)
-        if p == q:
-            continue
-        if j[i] >= to.certain:
-            root[max(p, q)] = min(p, q)
-            pairs.append((names[x], names[y]))
-        elif min(partners[x], partners[y]) < PARTNERS:
-            partners[[x, y]] += 1
-            pairs.append((names[x], names[y]))
-    return pd.DataFrame({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, dtype="int64")
-
-
-def _outside_pairs(block: pd.DataFrame, to: Limits) -> pd.DataFrame:
-    """Of a block of one bucket: all likely pairs of a class outside the main component with one of another component."""
-    sketches, n, names = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS), block["n"].to_numpy(), block["class"].to_numpy()
-    guests, own = np.flatnonzero(block["guest"]), np.flatnonzero(~block["guest"])
-    a, b, _ = _likely(sketches, n, guests, own, to, block["root"].to_numpy())
-    return pd.DataFrame({"a": np.minimum(names[a], names[b]), "b": np.maximum(names[a], names[b])}, dtype="int64")
-
-
-def _large(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of large buckets with their sketches, dealt to blocks of about BLOCK classes."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = members.where(F.col("size") > DIRECT).withColumn("blocks", blocks).withColumn("salt", F.pmod(F.hash("class"), blocks))
-    return large.join(classes.select("class", "sketch"), "class")
-
-
-def _first_pairs(members: DataFrame, classes: DataFrame, to: Limits) -> DataFrame:
-    """Likely pairs: of small buckets all, of large ones those of their blocks, which meet through the bucket's centres."""
-    small = members.where(F.col("size") <= DIRECT)
-    left, right = (small.select("key", F.col("class").alias(c), F.col("n").alias(f"{c}_n")) for c in "ab")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & _may_link(F.col("a_n"), F.col("b_n"), to.percent)).select("a", "b")
-    # Centres are the classes with the least hashes, so that buckets of the same family agree on them.
-    several = members.where(F.col("size") > BLOCK)
-    centres = several.groupBy("key", F.pmod(F.hash("class"), F.lit(64)).alias("salt")).agg(F.min(F.struct(F.xxhash64("class"), "class")).alias("c"))
-    centres = centres.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("c")), 1, CENTRES).alias("c")).select("key", F.explode("c.class").alias("b"))
-    spokes = several.select("key", F.col("class").alias("a")).join(centres, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    blocks = _large(members, classes).select("key", "salt", "class", "n", "sketch").groupBy("key", "salt").applyInPandas(lambda block: _block_pairs(block, to), "a long, b long")
-    return _estimated(pairs.unionByName(spokes).distinct(), classes, to).unionByName(blocks).distinct()
-
-
-def _remaining_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, to: Limits) -> DataFrame:
-    """Likely pairs of large buckets between classes outside the main component and classes of other components."""
-    large = _large(members, classes).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    counts = large.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    large = large.join(main, "key")
-    columns = ["key", "salt", "class", "n", "root", "sketch"]
-    own = large.select(*columns, F.lit(False).alias("guest"))
-    # A class outside visits every block of its bucket.
-    guests = large.where("root <> main").drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("guest"))
-    return own.unionByName(guests).groupBy("key", "salt").applyInPandas(lambda block: _outside_pairs(block, to), "a long, b long").distinct()
+    links = []
+    for a, b, j in _likely(sketches, n, roots, np.flatnonzero(guest), np.flatnonzero(~guest), int(block["band"].iloc[0]), to):
+        order = np.argsort(-j, kind="stable")
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            p, q = find(int(roots[x])), find(int(roots[y]))
+            if p != q and _linked(sets[x], sets[y], to.percent):
+                parent[max(p, q)] = min(p, q)
+                links.append((names[roots[x]], names[roots[y]]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("class"))
+    return members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """Buckets (key) whose members lie in several components."""
+    return members.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
+
+
+def _hub_pairs(members: DataFrame, number: int, to: Limits) -> DataFrame:
+    """a, b, their roots: each class and its bucket's hub. Large buckets choose a hub in each of PARTS parts, and these meet the bucket's."""
+    part = F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int")
+    own = F.struct(F.xxhash64("class", F.lit(number)).alias("order"), "class", "root", "n")
+    parts = members.groupBy("key", part.alias("part")).agg(F.min(own).alias("own"), F.count("*").alias("c"), F.min("root").alias("p"), F.max("root").alias("q"))
+    whole = parts.groupBy("key").agg(F.min("own").alias("all"), F.sum("c").alias("size"), F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("key", "all", "size")
+    parts = parts.select("key", "part", "own").join(whole, "key")
+    hub = F.when(F.col("size") > LARGE, F.col("own")).otherwise(F.col("all"))
+    spokes = members.withColumn("part", part).join(parts.select("key", "part", hub.alias("hub")), ["key", "part"]).select("hub", F.struct("class", "root", "n").alias("x"))
+    between = parts.where(F.col("size") > LARGE).select(F.col("all").alias("hub"), F.struct("own.class", "own.root", "own.n").alias("x"))
+    pairs = spokes.unionByName(between).where((F.col("hub.root") != F.col("x.root")) & _may_link(F.col("hub.n"), F.col("x.n"), to.percent))
+    return pairs.select(F.col("hub.class").alias("a"), F.col("x.class").alias("b"), F.col("hub.root").alias("a_root"), F.col("x.root").alias("b_root")).distinct()
+
+
+def _compared(pairs: DataFrame, shelf: DataFrame, to: Limits) -> DataFrame:
+    """Roots (a, b) that links among pairs join."""
+    side = lambda x: shelf.select(F.col("class").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("shingles").alias(f"{x}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_root", "b_root", "a_sketch", "a_set", "b_sketch", "b_set")
+    return both.mapInArrow(_verified(to), "a long, b long").distinct()
+
+
+def _rest(members: DataFrame, shelf: DataFrame, to: Limits) -> DataFrame:
+    """Roots (a, b) that links join in buckets whose members lie in several components."""
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = F.max(F.struct("c", "root"))["root"].alias("main")
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    buckets = counts.groupBy("key").agg(most, F.count("*").alias("roots"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "root", "s")).alias("x")).where("roots > 1")
+    buckets = buckets.select("key", "main", blocks(F.col("c"), F.col("s")).alias("blocks"), blocks(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("companies"))
+    rows = members.join(buckets, "key")
+    block, company = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("companies")).cast("int")
+    # Every class stands in its block for each company of guests; a class outside the largest component visits every block with its company.
+    own = rows.select("key", "band", "class", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("companies") - 1)).alias("company"), F.lit(False).alias("guest"))
+    guests = rows.where("root <> main").select("key", "band", "class", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), company.alias("company"), F.lit(True).alias("guest"))
+    dealt = own.unionByName(guests).join(shelf, "class")
+    return dealt.groupBy("key", "block", "company").applyInPandas(lambda block: _block_links(block, to), "a long, b long").distinct()
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after links between roots."""
+    new = components(links)
+    if roots is None:
+        return settle(new)
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return settle(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -304,24 +285,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     arrow_rows(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marks = settle(base.mapInArrow(_signatures, SIGNATURES)).withColumnRenamed("doc_id", "rank")
-    one = F.struct("rank", "text_hash", F.col("n_shingles").alias("n"), "sketch")
-    classes = settle(marks.where("n_shingles > 0").groupBy("class").agg(F.min(one).alias("x")).select("class", "x.*"))
-    bands = classes.select("class", "n", "sketch").mapInArrow(_keys(to), "class long, n long, key long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    marks = settle(base.mapInArrow(_signatures(to), SIGNATURES))
+    one = F.struct("rank", "text_hash", F.col("n_shingles").alias("n"), "keys")
+    classes = marks.where("n_shingles > 0").groupBy("digest").agg(F.min(one).alias("x"))
+    classes = settle(classes.select("digest", "x.*", F.monotonically_increasing_id().alias("class")))
+    bands = classes.select("class", "n", F.posexplode("keys").alias("band", "key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = settle(bands.join(shared, "key"))
-    first = settle(_first_pairs(members, classes, to))
-    links = _links(first, base, classes, percent)
-    roots = components(links)
-    if members.where(F.col("size") > DIRECT).limit(1).count():
-        rest = settle(_remaining_pairs(members, classes, settle(roots), to).join(first, ["a", "b"], "left_anti"))
-        if rest.limit(1).count():
-            links = links.unionByName(_links(rest, base, classes, percent))
-            roots = components(links)
-    named = classes.select("class", "rank").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    wanted = classes.join(members.select("class").distinct(), "class").select("class", "rank", "text_hash")
+    texts = base.join(wanted, ["rank", "text_hash"]).groupBy("class").agg(F.min("text").alias("text"))
+    shelf = settle(texts.mapInArrow(_shelved, "class long, sketch binary, shingles binary"))
+
+    roots, number = None, 0
+    while True:
+        pairs = settle(_hub_pairs(_with_roots(members, roots), number, to))
+        links = settle(_compared(pairs, shelf, to))
+        found, number = links.count(), number + 1
+        if found:
+            roots = _merged(roots, links)
+        if found <= WORTH * pairs.count():
+            break
+    placed = _with_roots(members, roots)
+    links = settle(_rest(settle(placed.join(_apart(placed), "key")), shelf, to))
+    if links.limit(1).count():
+        roots = _merged(roots, links)
+    named = classes.select("digest", "class", "rank")
+    named = _with_roots(named, roots)
     least = named.groupBy("root").agg(F.min("rank").alias("least"))
-    named = named.join(least, "root").select("class", "root", "least")
-    out = marks.select("rank", "text_hash", "n_shingles", "class").join(named, "class", "left")
+    named = named.join(least, "root").select("digest", "root", "least")
+    out = marks.select("rank", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     least = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("rank"))
     back = lambda c: F.when(c != LAST, c)
     return out.select(back(F.col("rank")).alias("doc_id"), "text_hash", "n_shingles", back(least).alias("component_id"), (F.col("rank") == least).alias("kept"), "root")

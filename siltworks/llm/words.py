@@ -26,7 +26,7 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-#: One multiplier per place in a word; places repeat in words longer than this.
+#: One multiplier per place in a word; from then on, multipliers are computed.
 _PLACES = stream(1, 1 << 12) | _ONE
 
 
@@ -44,8 +44,12 @@ def hash_words(text: bytes) -> np.ndarray:
     sizes = np.diff(np.append(begins, len(b)))
     place = np.arange(len(b)) - np.repeat(begins, sizes)
     if sizes.max() > len(_PLACES):
-        place %= len(_PLACES)
-    sums = np.add.reduceat((b.astype(np.uint64) + _ONE) * _PLACES[place], begins)
+        far = place >= len(_PLACES)
+        factors = _PLACES[np.where(far, 0, place)]
+        factors[far] = mix64((place[far].astype(np.uint64) + _ONE) * np.uint64(0x9E3779B97F4A7C15)) | _ONE
+    else:
+        factors = _PLACES[place]
+    sums = np.add.reduceat((b.astype(np.uint64) + _ONE) * factors, begins)
     return mix64(sums + sizes.astype(np.uint64))
 
 

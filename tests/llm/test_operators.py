@@ -384,8 +384,8 @@ def test_shards_hold_near_equal_bytes(spark, shards):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_near_duplicates_of_planted_copies(spark, seed, monkeypatch):
-    monkeypatch.setattr(neardup, "DIRECT", 6)  # the family below takes the way of large buckets
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "LARGE", 6)  # the family below takes the way of large buckets
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     r = random.Random(seed)
     fresh = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
     base, texts = fresh(150), ["", None, "a", "A", "a b"]
@@ -402,6 +402,14 @@ def test_near_duplicates_of_planted_copies(spark, seed, monkeypatch):
     assert got == h.near_components(pairs)
 
 
+def test_words_that_differ_beyond_their_first_bytes_differ(spark):
+    a, b = "a" * 4096, "b" * 4096
+    docs = h.table(spark, [a + b, b + a, *(" ".join([x, *(f"w{i}" for i in range(60))]) for x in (a + b, b + a))])
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
+    docs = h.table(spark, [" ".join([*(f"w{i}" for i in range(30)), x, *(f"v{i}" for i in range(30))]) for x in (a + b, b + a)])
+    assert [r["n_removed"] for r in substring.deduplicate(docs).collect()] == [0, 0]
+
+
 def test_near_duplicates_of_the_sample(spark, sample):
     docs, pairs = sample
     wanted = h.near_components(pairs)
@@ -421,9 +429,9 @@ def test_sketches_merge_and_estimate():
     assert abs(found - 700 / 900) < 0.15 and len(both)
 
 
-@pytest.mark.parametrize(("percent", "direct"), [(50, 32), (50, 6), (60, 32), (90, 32)])
-def test_near_duplicates_at_other_thresholds(spark, percent, direct, monkeypatch):
-    monkeypatch.setattr(neardup, "DIRECT", direct)
+@pytest.mark.parametrize(("percent", "block"), [(50, 2048), (50, 4), (60, 2048), (90, 2048)])
+def test_near_duplicates_at_other_thresholds(spark, percent, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     r, texts = random.Random(percent), []
     fresh = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
     for _ in range(12):  # the first part of a text: the share of common shingles is that of the sizes
