@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from siltworks.session import settle
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").bitwiseAND((1 << 40) - 1)).alias("s")).first()
-    return r["n"], r["s"]
+def _only_stars(edges: DataFrame) -> bool:
+    """Every greater node (a) has one lesser neighbour (b), which is no node's greater one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    ends = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.count("*").alias("n"))
+    return not ends.where("up > 1 or (up = 1 and n > 1)").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,18 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour, until only stars are left. Sums of neighbours are formed before the exchange, so a hub is no one task's work.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(edges)
-    while state[0]:
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = settle(small)
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
-    roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -8,8 +8,8 @@ a key are candidates. Candidates are compared by the likelihood of their registe
 may reach the threshold are verified on full sets. Linked classes form components.
 
 1. Hubs. Each class is compared with one class of each of its buckets, the hub, which is the least in a random order, so that buckets
-   of one family agree on it. Rows grow with the buckets' members, never with their pairs. This is repeated with another order
-   while it still joins components.
+   of one family agree on it. Rows grow with the buckets' members, never with their pairs. Large buckets have hubs of their parts,
+   which meet the bucket's, and are given other hubs while that still joins components.
 2. The rest. Buckets whose members still lie in several components are compared exhaustively inside tasks: members of the bucket's
    largest component stay in blocks of bounded size, all others visit every block. A pair is looked at in the first band that it
    shares, verified there on full sets, and only links that join two components leave the task.
@@ -46,7 +46,7 @@ PERCENT = 75
 ESTIMATE, EQUAL = 0.60, 0.55
 #: Classes and shingles of one block of a bucket, about; parts in which hubs of large buckets are chosen, and the size from which on they are.
 BLOCK, BLOCK_SHINGLES, PARTS, LARGE = 2048, 1 << 22, 64, 4096
-#: Hubs are chosen anew while this share of the compared pairs are links.
+#: Hubs of large buckets are chosen anew while this share of the compared pairs are links.
 WORTH = 0.02
 LAST = (1 << 63) - 1
 
@@ -201,7 +201,7 @@ def _block_links(block: pd.DataFrame, to: Limits) -> pd.DataFrame:
     """Of one block of a bucket: pairs of roots that a link joins, as a spanning forest."""
     sketches = np.frombuffer(b"".join(block["sketch"]), "<u2").reshape(-1, REGISTERS)
     sets = [np.frombuffer(x, "<u8") for x in block["shingles"]]
-    n, guest = np.array([len(x) for x in sets]), block["guest"].to_numpy()
+    n, guest, home = np.array([len(x) for x in sets]), block["guest"].to_numpy(), block["home"].to_numpy()
     names, roots = np.unique(block["root"].to_numpy(), return_inverse=True)
     parent = list(range(len(names)))
 
@@ -212,7 +212,7 @@ def _block_links(block: pd.DataFrame, to: Limits) -> pd.DataFrame:
         return x
 
     links = []
-    for a, b, j in _likely(sketches, n, roots, np.flatnonzero(guest), np.flatnonzero(~guest), int(block["band"].iloc[0]), to):
+    for a, b, j in _likely(sketches, n, roots, np.flatnonzero(guest), np.flatnonzero(home), int(block["band"].iloc[0]), to):
         order = np.argsort(-j, kind="stable")
         for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
             p, q = find(int(roots[x])), find(int(roots[y]))
@@ -233,12 +233,13 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
 
 
-def _hub_pairs(members: DataFrame, number: int, to: Limits) -> DataFrame:
-    """a, b, their roots: each class and its bucket's hub. Large buckets choose a hub in each of PARTS parts, and these meet the bucket's."""
+def _hub_pairs(members: DataFrame, number: int, least: int, to: Limits) -> DataFrame:
+    """a, b, their roots: each class and its bucket's hub. Large buckets choose a hub in each of PARTS parts, and these meet the bucket's.
+    Only buckets of more than `least` classes in several components are looked at."""
     part = F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int")
     own = F.struct(F.xxhash64("class", F.lit(number)).alias("order"), "class", "root", "n")
     parts = members.groupBy("key", part.alias("part")).agg(F.min(own).alias("own"), F.count("*").alias("c"), F.min("root").alias("p"), F.max("root").alias("q"))
-    whole = parts.groupBy("key").agg(F.min("own").alias("all"), F.sum("c").alias("size"), F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("key", "all", "size")
+    whole = parts.groupBy("key").agg(F.min("own").alias("all"), F.sum("c").alias("size"), F.min("p").alias("p"), F.max("q").alias("q")).where((F.col("p") < F.col("q")) & (F.col("size") > least)).select("key", "all", "size")
     parts = parts.select("key", "part", "own").join(whole, "key")
     hub = F.when(F.col("size") > LARGE, F.col("own")).otherwise(F.col("all"))
     spokes = members.withColumn("part", part).join(parts.select("key", "part", hub.alias("hub")), ["key", "part"]).select("hub", F.struct("class", "root", "n").alias("x"))
@@ -264,10 +265,13 @@ def _rest(members: DataFrame, shelf: DataFrame, to: Limits) -> DataFrame:
     rows = members.join(buckets, "key")
     block, company = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("companies")).cast("int")
     # Every class stands in its block for each company of guests; a class outside the largest component visits every block with its company.
-    own = rows.select("key", "band", "class", "root", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("companies") - 1)).alias("company"), F.lit(False).alias("guest"))
-    guests = rows.where("root <> main").select("key", "band", "class", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), company.alias("company"), F.lit(True).alias("guest"))
-    dealt = own.unionByName(guests).join(shelf, "class")
-    return dealt.groupBy("key", "block", "company").applyInPandas(lambda block: _block_links(block, to), "a long, b long").distinct()
+    rows = rows.select("key", "band", "class", "root", (F.col("root") != F.col("main")).alias("outside"), "blocks", "companies", block.alias("block"), company.alias("company"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("companies") - 1)).alias("meets")
+    own = rows.select("key", "band", "class", "root", "block", meets, F.lit(True).alias("home"), "outside", "company").withColumn("guest", F.col("outside") & (F.col("meets") == F.col("company")))
+    visited = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))).alias("block")
+    guests = rows.where("outside and blocks > 1").select("key", "band", "class", "root", visited, F.col("company").alias("meets"), F.lit(False).alias("home"), F.lit(True).alias("guest"))
+    dealt = own.select(guests.columns).unionByName(guests).join(shelf, "class")
+    return dealt.groupBy("key", "block", "meets").applyInPandas(lambda block: _block_links(block, to), "a long, b long").distinct()
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -296,14 +300,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = base.join(wanted, ["rank", "text_hash"]).groupBy("class").agg(F.min("text").alias("text"))
     shelf = settle(texts.mapInArrow(_shelved, "class long, sketch binary, shingles binary"))
 
-    roots, number = None, 0
-    while True:
-        pairs = settle(_hub_pairs(_with_roots(members, roots), number, to))
+    links = settle(_compared(_hub_pairs(_with_roots(members, None), 0, 1, to), shelf, to))
+    roots, number = _merged(None, links), 1
+    while True:  # parts of a large bucket may still lie apart
+        pairs = settle(_hub_pairs(_with_roots(members, roots), number, LARGE, to))
+        n = pairs.count()
+        if not n:
+            break
         links = settle(_compared(pairs, shelf, to))
         found, number = links.count(), number + 1
         if found:
             roots = _merged(roots, links)
-        if found <= WORTH * pairs.count():
+        if found <= WORTH * n:
             break
     placed = _with_roots(members, roots)
     links = settle(_rest(settle(placed.join(_apart(placed), "key")), shelf, to))
