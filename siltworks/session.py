@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -30,6 +31,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the exchanged and settled rows of tables that nothing refers to any more; else they stay until the driver needs memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
