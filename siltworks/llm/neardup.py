@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from siltworks.llm.columns import WORD
 from siltworks.llm.graph import components
 from siltworks.llm.words import hash_words, mix64, stream, window_hashes
-from siltworks.session import arrow_rows, settle
+from siltworks.session import arrow_rows, settle, tidy
 
 SHINGLE = 5
 REGISTERS, BAND, BANDS = 256, 4, 32
@@ -299,9 +299,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = classes.join(members.select("class").distinct(), "class").select("class", "rank", "text_hash")
     texts = base.join(wanted, ["rank", "text_hash"]).groupBy("class").agg(F.min("text").alias("text"))
     shelf = settle(texts.mapInArrow(_shelved, "class long, sketch binary, shingles binary"))
+    tidy(docs.sparkSession)
 
     links = settle(_compared(_hub_pairs(_with_roots(members, None), 0, 1, to), shelf, to))
     roots, number = _merged(None, links), 1
+    tidy(docs.sparkSession)
     while True:  # parts of a large bucket may still lie apart
         pairs = settle(_hub_pairs(_with_roots(members, roots), number, LARGE, to))
         n = pairs.count()
@@ -314,7 +316,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if found <= WORTH * n:
             break
     placed = _with_roots(members, roots)
-    links = settle(_rest(settle(placed.join(_apart(placed), "key")), shelf, to))
+    placed = settle(placed.join(_apart(placed), "key"))
+    tidy(docs.sparkSession)
+    links = settle(_rest(placed, shelf, to))
+    tidy(docs.sparkSession)
     if links.limit(1).count():
         roots = _merged(roots, links)
     named = classes.select("digest", "class", "rank")

@@ -1,19 +1,25 @@
 """Sharding by histogram sort, with DataFrame functions only.
 
-Rows are ordered by a pair of 64-bit hashes: of the text, then of the id. For each splitter between shards, exact bytes are
-counted below probe keys (here: the edges of equal buckets of the interval in which the splitter lies), and the
-interval shrinks to one bucket until the splitter meets the tolerance. Equal texts share their first key, so they stay together
-unless the copies of one text alone weigh more than the tolerance; then the second key splits them. Splitters known,
-rows are exchanged once. Texts that alone weigh much more than the tolerance get first keys in the middle halves of equal
-key ranges, one range per shard, so that splitters fall between small texts.
-
-Defined results: a null text has size 8 and the checksum of the empty text; repeated rows share both keys, and when they alone
-outweigh the tolerance they stay in one shard; an empty table gives an empty result. Columns of the input that
-are carried live in a struct until the end, so no name can clash.
+Rows are ordered by a 64-bit hash of the text. For each splitter between shards, exact bytes are counted below probe keys
+(here: the edges of equal buckets of the interval in which the splitter lies), and the interval shrinks to one bucket
+until the splitter meets the tolerance. Splitters known, rows are exchanged once.
+
+Equal texts have one key, so they lie in one shard. Texts that with their copies weigh more than LARGE of a shard (fewer than shards / LARGE,
+whatever the input) are dealt to shards first, heaviest first, each to the lightest shard; the splitters then deal the light texts so that
+all shards come out level. Only a text whose copies outweigh a shard is divided, over as few shards as hold it, because sizes
+near equal are the law. Shards differ by the tolerance and a light text, unless whole texts are so heavy that no dealing is level; then by
+the heaviest text that is not divided.
+
+Defined results: a null text has size 8 and the checksum of the empty text and lies with empty texts; an empty table gives an empty
+result. Columns of the input that are carried live in a struct until the end, so no name can clash.
 """
 
 from __future__ import annotations
 
+import math
+from heapq import heappop, heappush
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +30,7 @@ SHARDS = 24
 TOLERANCE = 0.0005
 BITS = 12
 OVERHEAD = 8
-#: Shares of a shard's bytes from which on a text is kept away from splitters.
+#: Share of a shard's bytes from which on a text and its copies are dealt to a shard by themselves.
 LARGE = 0.002
 #: Rows of a shard are numbered in so many groups at a time.
 GROUPS = 64
@@ -35,59 +41,72 @@ def _unsigned(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _bits(depth: int, step: int) -> Column:
-    """The step bits after the first depth bits of the pair (first, second)."""
-    column, at = (F.col("first"), depth) if depth < 64 else (F.col("second"), depth - 64)
-    return F.shiftrightunsigned(column, 64 - at - step).bitwiseAND((1 << step) - 1)
-
-
-def _starts_with(prefix: int, depth: int) -> Column:
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >= 1 << 63 else x
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
-    if depth <= 64:
-        return F.lit(True) if not depth else F.shiftrightunsigned(F.col("first"), 64 - depth) == signed(prefix)
-    low = depth - 64
-    return (F.col("first") == signed(prefix >> low)) & (F.shiftrightunsigned(F.col("second"), 64 - low) == prefix & ((1 << low) - 1))
 
-
-def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """Keys (first, second), unsigned; a row belongs to the shard whose number is the count of splitters not above its key.
+def splitters(rows: DataFrame, shares: list[float], tolerance: float = TOLERANCE) -> list[int]:
+    """Keys, unsigned; a row belongs to the shard whose number is the count of splitters not above its key; shards get such shares of the bytes.
 
     The driver reads at most 2**BITS sums for each splitter that is not yet settled, whatever the input's size.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
+    shards = len(shares)
+    goals = [total * x for x in accumulate(shares)]
     slack = total / shards * tolerance
-    found: list[tuple[int, int] | None] = [None] * (shards - 1)
+    found: list[int | None] = [None] * (shards - 1)
     todo = {i: (0, 0) for i in range(shards - 1)}  # interval as a prefix of the key, bytes below it
     depth = 0
-    while todo and depth < 128 and total:
-        step = min(BITS, (64 if depth < 64 else 128) - depth)
+    while todo and total:
+        step = min(BITS, 64 - depth)
         prefixes = sorted({p for p, _ in todo.values()})
-        which = F.lit(None).cast("int")
-        for n, p in enumerate(prefixes):
-            which = F.when(_starts_with(p, depth), F.lit(n)).otherwise(which)
-        sums = rows.withColumn("which", which).where("which is not null").groupBy("which", _bits(depth, step).alias("bucket")).agg(F.sum("size").alias("bytes"), ((F.min("first") == F.max("first")) & (F.min("second") == F.max("second"))).alias("one_key")).collect()
+        which = F.lit(None).cast("int") if depth else F.lit(0)
+        for n, p in enumerate(prefixes if depth else ()):
+            which = F.when(F.shiftrightunsigned(F.col("key"), 64 - depth) == _signed(p), F.lit(n)).otherwise(which)
+        bucket = F.shiftrightunsigned(F.col("key"), 64 - depth - step).bitwiseAND((1 << step) - 1)
+        sums = rows.withColumn("which", which).where("which is not null").groupBy("which", bucket.alias("bucket")).agg(F.sum("size").alias("bytes"), (F.min("key") == F.max("key")).alias("one_key")).collect()
         whole = {(prefixes[r["which"]], r["bucket"]) for r in sums if r["one_key"]}
         buckets: dict[int, list] = {}
         for r in sorted(sums, key=lambda r: r["bucket"]):
             buckets.setdefault(prefixes[r["which"]], []).append((r["bucket"], r["bytes"]))
         left = {}
         for i, (prefix, below) in todo.items():
-            goal = total * (i + 1) / shards
+            goal = goals[i]
             for bucket, size in buckets[prefix]:
                 if below + size >= goal or bucket == buckets[prefix][-1][0]:
                     break
                 below += size
             low, high = below, below + size
-            start = ((prefix << step) | bucket) << (128 - depth - step)
-            if min(goal - low, high - goal) <= slack or (prefix, bucket) in whole or depth + step == 128:
-                key = start if goal - low <= high - goal else start + (1 << (128 - depth - step))
-                found[i] = (key >> 64, key & ((1 << 64) - 1))
+            start = ((prefix << step) | bucket) << (64 - depth - step)
+            if min(goal - low, high - goal) <= slack or (prefix, bucket) in whole or depth + step == 64:
+                found[i] = start if goal - low <= high - goal else start + (1 << (64 - depth - step))
             else:
                 left[i] = ((prefix << step) | bucket, below)
         todo, depth = left, depth + step
-    return [x or (1 << 64, 0) for x in found]
+    return [1 << 64 if x is None else x for x in found]
+
+
+def deal(pieces: list[tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
+    """For each of (key, bytes) its shard, heaviest first to the lightest shard, and the shards' bytes."""
+    loads = [(0, n) for n in range(shards)]
+    where = [0] * len(pieces)
+    for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][1], pieces[i][0], i)):
+        load, n = heappop(loads)
+        where[i] = n
+        heappush(loads, (load + pieces[i][1], n))
+    return where, [load for load, _ in sorted(loads, key=lambda x: x[1])]
+
+
+def fill_level(loads: list[int], more: int) -> list[float]:
+    """Shares of `more` that bring shards with these loads to one level, as far as it goes."""
+    if not more:
+        return [1 / len(loads)] * len(loads)
+    rising, level = sorted(loads), 0.0
+    for n in range(1, len(rising) + 1):
+        level = (sum(rising[:n]) + more) / n
+        if n == len(rising) or level <= rising[n]:
+            break
+    return [max(0.0, level - x) / more for x in loads]
 
 
 def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, tolerance: float = TOLERANCE, carry: list[str] | None = None) -> DataFrame:
@@ -99,30 +118,42 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
             (utf8_size(F.col(f"`{text_col}`")) + OVERHEAD).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("first"),
-            F.xxhash64(F.col(f"`{id_col}`"), F.lit(5)).alias("second"),
-            F.spark_partition_id().alias("salt"),
+            F.xxhash64(text).alias("key"),
+            F.xxhash64(F.col(f"`{id_col}`"), F.lit(5)).alias("order"),
+            F.monotonically_increasing_id().alias("row_id"),
         )
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    width = (1 << 64) // shards
-    if shards > 1:
-        # Counted from the middle of the key space, so that no step leaves the range of signed numbers.
-        middle = (F.pmod("first", F.lit(shards)) - shards // 2) * F.lit(width) + F.lit(width // 4 - (shards % 2) * width // 2) + F.pmod(F.xxhash64("first"), F.lit(width // 2))
-        rows = rows.withColumn("first", F.when(F.col("size") > total / shards * LARGE, _unsigned(middle)).otherwise(F.col("first")))
-    keys = splitters(rows, shards, tolerance)
-    # A shard's number: how many splitters are not above the key, as one lookup in two sorted lists.
-    flip = lambda x: (x ^ (1 << 63)) - (1 << 64) if (x ^ (1 << 63)) >= 1 << 63 else x ^ (1 << 63)
+    mean = (rows.agg(F.sum("size")).first()[0] or 0) / shards
+    # Fewer than shards / LARGE rows, whatever the input's size.
+    heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > mean * LARGE)
+    heavy = sorted((r["key"], r["bytes"]) for r in heavy.collect())
+    parts = {key: min(shards, math.ceil(size / mean)) if size > mean else 1 for key, size in heavy}
+    piece = lambda n: F.pmod(F.xxhash64("row_id"), n).cast("int")
+    divided = [k for k in parts if parts[k] > 1]  # fewer than shards
+    if divided:
+        n = F.lit(1)
+        for k in divided:
+            n = F.when(F.col("key") == k, F.lit(parts[k])).otherwise(n)
+        sums = rows.where(F.col("key").isin(divided)).groupBy("key", piece(n).alias("piece")).agg(F.sum("size").alias("bytes")).collect()
+        pieces = sorted((r["key"], r["piece"], r["bytes"]) for r in sums) + [(k, 0, size) for k, size in heavy if parts[k] == 1]
+    else:
+        pieces = [(k, 0, size) for k, size in heavy]
+    where, loads = deal([(k, size) for k, _, size in pieces], shards)
+    homes = {k: [0] * n for k, n in parts.items()}
+    for (k, p, _), shard in zip(pieces, where, strict=True):
+        homes[k][p] = shard
+    table = rows.sparkSession.createDataFrame([(k, x) for k, x in homes.items()], "heavy long, homes array<int>")
+    rows = rows.join(F.broadcast(table), F.col("key") == F.col("heavy"), "left")
+    light = rows.where("heavy is null")
     shard = F.lit(0)
-    for high, low in keys:
-        if high >> 64:
-            continue  # a splitter above every key
-        above = (_unsigned(F.col("first")) > flip(high)) | ((_unsigned(F.col("first")) == flip(high)) & (_unsigned(F.col("second")) >= flip(low)))
-        shard = shard + above.cast("int")
-    placed = rows.select("row", "size", "text_crc32", shard.alias("shard"), F.pmod(F.hash("second", "salt"), F.lit(GROUPS)).alias("part"), "first", "second")
+    for key in splitters(light, fill_level(loads, light.agg(F.sum("size")).first()[0] or 0), tolerance) if shards > 1 else ():
+        if not key >> 64:  # else a splitter above every key
+            shard = shard + (_unsigned(F.col("key")) >= _signed(key ^ (1 << 63))).cast("int")
+    home = F.get("homes", piece(F.size("homes")))
+    placed = rows.select("row", "size", "text_crc32", F.when(F.col("heavy").isNotNull(), home).otherwise(shard).alias("shard"), F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(GROUPS)).alias("part"), "key", "order")
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "part", before.alias("before"))  # shards x GROUPS rows
-    order = Window.partitionBy("shard", "part").orderBy("first", "second")
+    order = Window.partitionBy("shard", "part").orderBy("key", "order")
     out = placed.join(F.broadcast(starts), ["shard", "part"]).withColumn("slot", (F.col("before") + F.row_number().over(order) - 1).cast("long"))
     return out.select("row.*", F.col("size"), F.col("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot")

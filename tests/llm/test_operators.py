@@ -379,6 +379,21 @@ def test_shards_hold_near_equal_bytes(spark, shards):
     assert all(sorted(x) == list(range(len(x))) for _, x in by["slot"])
 
 
+@pytest.mark.parametrize("shards", [24, 7])
+def test_equal_texts_share_a_shard(spark, shards):
+    r = random.Random(8)
+    texts = [f"text {r.randrange(50)} " * 20 for _ in range(2000)] + ["the hottest " * 9] * 900 + [None, ""] * 30
+    got = sharding.shard_documents(h.table(spark, texts), shards=shards).toPandas()
+    got["text"] = got["text"].fillna("")
+    hot = got["text"] == "the hottest " * 9
+    assert len(got) == len(texts) and (got[~hot].groupby("text")["shard"].nunique() == 1).all()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
+    by, mean = got.groupby("shard")["size"].sum(), got["size"].sum() / shards
+    heaviest = got[~hot].groupby("text")["size"].sum().max()
+    assert len(by) == shards and (by - mean).abs().max() <= heaviest
+    assert got[hot]["shard"].nunique() <= math.ceil(got[hot]["size"].sum() / mean)  # divided only as far as it must be
+
+
 # --- 9 ---
 
 
@@ -491,9 +506,22 @@ def test_chat_reads_back(spark, budget, history):
     assert len(got) == len(by)
     text = windows.select("formatted", "n_turns").collect()
     assert all(w["formatted"].count("</s>") == w["n_turns"] == w["formatted"].count("<s>") and "[INST]" not in w["formatted"] for w in text)
+    for w in windows.select("tokens", "repeated", "n_turns").collect():
+        assert w["tokens"] <= budget or (w["n_turns"], w["repeated"]) == (1, 0)
     if budget == 40:
         assert any(w["repeated"] > 1 for w in windows.select("repeated").collect())
 
 
+def test_windows_of_a_long_conversation_keep_the_budget(spark):
+    rows = [(1, i, "system" if not i else ("user", "assistant")[i % 2], "w " * (60 if not i else (300, 40, 700, 5, 5, 2000)[i % 6])) for i in range(2500)]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "conv_id long, turn long, role string, text string, span string, nth int, tokens string")
+    windows = chat.format_windows(df).orderBy("span").collect()
+    size = lambda w: w["formatted"].count("w ") + 4 * w["n_turns"]
+    assert all(size(w) == w["tokens"] and (w["tokens"] <= chat.BUDGET or (w["n_turns"], w["repeated"]) == (1, 0)) for w in windows)
+    assert sum(w["n_turns"] - w["repeated"] for w in windows) == len(rows)
+    whole = [w for w in windows[1:] if w["tokens"] <= chat.BUDGET]
+    assert all(w["formatted"].startswith("<s>system") for w in whole if w["tokens"] > 300) and sum(w["tokens"] for w in whole) > 0.4 * chat.BUDGET * len(whole)
+
+
 def test_no_conversation(spark):
     assert chat.read_back(chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
