@@ -1,12 +1,14 @@
 """A keyed table store on Parquet snapshots.
 
-Each table is a folder of snapshots, one per commit, and a pointer to the current one. A commit writes a new snapshot and then
-creates a numbered pointer file: readers see the whole old or the whole new state, and of two writers at the same number
-the second fails. Files are reached through Hadoop's file system interface only, so any store that Spark reads will do.
+Each table is a folder of snapshots. A commit writes new snapshots of the tables that it changes and then one numbered record that
+names them all: readers see the whole old or the whole new state. Only one writer can create a number, and one that finds that
+a table it has read was changed meanwhile fails with Conflict. Files are reached through Hadoop's file system interface only, so any
+store that Spark reads and that can create a file only if it is not there will do.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,9 +51,9 @@ def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with new's rows in place of those with their keys; of several new rows of a key any equal or the last given by `_seq` counts."""
-    if "_seq" in new.columns:
-        new = latest(new, key, F.col("_seq")).drop("_seq")
+    """old with new's rows in place of those with their keys; of several new rows of a key one counts: the last by `_seq`, without it the one
+    with the greatest hash."""
+    new = latest(new, key, F.col("_seq") if "_seq" in new.columns else F.xxhash64(*new.columns)).drop("_seq")
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -81,44 +83,88 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self, table: str) -> dict[int, str]:
-        folder = self._path(f"{self.root}/{table}/_commits")
-        if not self._fs.exists(folder):
-            return {}
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return {int(n.split("-")[0]): n.split("-", 1)[1] for n in names}
+        self._records: dict[int, dict[str, str]] = {}
+
+    def _numbers(self) -> list[int]:
+        folder = self._path(f"{self.root}/_commits")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if not s.getPath().getName().startswith(".")) if self._fs.exists(folder) else []
+
+    def _record(self, number: int) -> dict[str, str] | None:
+        """Snapshots by table; null while the record is being written."""
+        if number not in self._records:
+            stream = self._fs.open(self._path(f"{self.root}/_commits/{number:09d}"))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if not text.endswith("\n"):
+                return None
+            self._records[number] = json.loads(text)
+        return self._records[number]
+
+    def _current(self, table: str, upto: int | None = None) -> tuple[int, str | None]:
+        for number in reversed(self._numbers()):
+            if (upto is None or number <= upto) and (name := (self._record(number) or {}).get(table)):
+                return number, name
+        return 0, None
+
+    def latest_number(self) -> int:
+        """The number of the last commit to any table; what is read at it is one state."""
+        return max((n for n in self._numbers() if self._record(n) is not None), default=0)
 
     def version(self, table: str) -> int:
-        return max(self._versions(table), default=0)
+        """The number of the last commit that changed the table."""
+        return self._current(table)[0]
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """All rows of a table, as it is now or was at a version."""
-        found = self._versions(table)
-        at = max(found, default=0) if version is None else version
+        _, name = self._current(table, version)
         wanted = schema.struct(schema.TABLES[table]) if table in schema.TABLES else None
-        if at not in found:
+        if name is None:
             if wanted is None:
                 raise KeyError(table)
             return self.spark.createDataFrame([], wanted)
         reader = self.spark.read
-        df = (reader.schema(wanted) if wanted is not None else reader).parquet(f"{self.root}/{table}/{found[at]}")
+        df = (reader.schema(wanted) if wanted is not None else reader).parquet(f"{self.root}/{table}/{name}")
         return df.select(*wanted.names) if wanted is not None else df
 
-    def commit(self, table: str, df: DataFrame, *, partition_by: tuple[str, ...] | None = None) -> int:
-        """Writes df as the table's next snapshot and makes it current."""
-        base = self.version(table)
-        name = f"snapshot-{base + 1:09d}-{uuid.uuid4().hex}"
-        by = partition_by if partition_by is not None else (("state",) if table == "resources" else ())
-        writer = df.write.mode("errorifexists")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{table}/{name}")
-        if self.version(table) != base:
-            raise Conflict(table)
-        pointer = self._path(f"{self.root}/{table}/_commits/{base + 1:09d}-{name}")
-        self._fs.mkdirs(pointer.getParent())
-        if not self._fs.createNewFile(pointer):
-            raise Conflict(table)
-        return base + 1
+    def commit(self, table: str, df: DataFrame, *, base: int | None = None, partition_by: tuple[str, ...] | None = None) -> int:
+        """Writes df as the table's next snapshot and makes it current; base is the version that df was made from."""
+        return self.commit_all({table: df}, base=base, partition_by=partition_by)
+
+    def commit_all(self, tables: dict[str, DataFrame], *, base: int | None = None, partition_by: tuple[str, ...] | None = None) -> int:
+        """The tables' next snapshots become current together, or none of them, if one of them was changed after base (by default: now)."""
+        base = self.latest_number() if base is None else base
+        names = {}
+        for table, df in tables.items():
+            names[table] = f"snapshot-{base + 1:09d}-{uuid.uuid4().hex}"
+            by = partition_by if partition_by is not None else (("state",) if table == "resources" else ())
+            writer = df.write.mode("errorifexists")
+            (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{table}/{names[table]}")
+        self._fs.mkdirs(self._path(f"{self.root}/_commits"))
+        while True:
+            later = [n for n in self._numbers() if n > base]
+            for n in later:
+                record = self._record(n)
+                if record is None or record.keys() & names.keys():
+                    raise Conflict(", ".join(names))
+            number = max(later, default=base) + 1
+            try:
+                stream = self._fs.create(self._path(f"{self.root}/_commits/{number:09d}"), False)
+            except Exception:  # noqa: BLE001 another writer has the number: see what it changed
+                if number not in self._numbers():
+                    raise
+                continue
+            stream.write(bytearray((json.dumps(names) + "\n").encode()))
+            stream.close()
+            return number
+
+    def clear_unfinished(self) -> int:
+        """Removes records that a crashed writer has left without an end; only while no other writer is at work."""
+        left = [n for n in self._numbers() if self._record(n) is None]
+        for n in left:
+            self._fs.delete(self._path(f"{self.root}/_commits/{n:09d}"), False)
+        return len(left)
 
     def get(self, table: str, key) -> DataFrame:
         """The row of a key, or none; the comparison reaches the Parquet scan."""
@@ -131,10 +177,12 @@ class Store:
         return query_page(self.read("resources"), size, state=state, cursor=cursor)
 
     def save(self, table: str, rows: DataFrame) -> int:
-        return self.commit(table, upsert(self.read(table), rows, schema.KEYS[table]))
+        base = self.latest_number()
+        return self.commit(table, upsert(self.read(table, base), rows, schema.KEYS[table]), base=base)
 
     def remove(self, table: str, keys: DataFrame) -> int:
-        return self.commit(table, delete(self.read(table), keys, schema.KEYS[table]))
+        base = self.latest_number()
+        return self.commit(table, delete(self.read(table, base), keys, schema.KEYS[table]), base=base)
 
     def transaction(self) -> Transaction:
         return Transaction(self)
@@ -155,7 +203,8 @@ class Store:
         for number in sorted(schema.MIGRATIONS):
             if number > at:
                 if number == 2 and self.version("resources"):
-                    self.commit("resources", self.read("resources"), partition_by=("state",))
+                    base = self.latest_number()
+                    self.commit("resources", self.read("resources", base), base=base, partition_by=("state",))
                 self.put_state("schema_version", str(number))
         return schema.SCHEMA_VERSION
 
@@ -169,10 +218,14 @@ class Store:
         return moved
 
     @contextmanager
-    def exclusive(self, name: str) -> Iterator[bool]:
-        """Whether no other pass of this name is under way; the mark is a file that only one can create, and goes with the pass."""
+    def exclusive(self, name: str, *, lease_seconds: int = 3600) -> Iterator[bool]:
+        """Whether no other pass of this name is under way; the mark is a file that only one can create, and goes with the pass. A mark that
+        is older than the lease was left by a crash and may be taken over."""
         mark = self._path(f"{self.root}/_passes/{name}")
         self._fs.mkdirs(mark.getParent())
+        now = self.spark._jvm.java.lang.System.currentTimeMillis()
+        if self._fs.exists(mark) and now - self._fs.getFileStatus(mark).getModificationTime() > 1000 * lease_seconds:
+            self._fs.delete(mark, False)
         try:
             mine = self._fs.createNewFile(mark)
         except Exception:  # noqa: BLE001 some file systems raise where others answer
@@ -186,15 +239,16 @@ class Store:
     def start_session(self, session: DataFrame) -> int:
         """A session becomes the current one and enters the history under its id."""
         row = session.select(F.lit("current_session").alias("key"), F.to_json(F.struct(*session.columns)).alias("value"))
-        self.save("control_state", row)
-        return self.save("sessions", session)
+        base = self.latest_number()
+        after = {t: upsert(self.read(t, base), rows, schema.KEYS[t]) for t, rows in (("control_state", row), ("sessions", session))}
+        return self.commit_all(after, base=base)
 
 
 class Transaction:
-    """Buffered puts and deletes that are committed together, a table at a time, or not at all."""
+    """Buffered puts and deletes that are committed together, or not at all; they apply to the state at which the transaction began."""
 
     def __init__(self, store: Store):
-        self.store, self.buffer, self.open = store, {}, True
+        self.store, self.buffer, self.open, self.base = store, {}, True, store.latest_number()
 
     def _check(self) -> None:
         if not self.open:
@@ -210,7 +264,7 @@ class Transaction:
 
     def commit(self) -> None:
         self._check()
-        self.open = False
+        self.open, after = False, {}
         for table, steps in self.buffer.items():
             key, names = schema.KEYS[table], schema.struct(schema.TABLES[table]).names
             operations = None
@@ -218,7 +272,9 @@ class Transaction:
                 row = F.struct(*[F.col(c) for c in names]) if kind == "put" else F.lit(None).cast(schema.struct(schema.TABLES[table]))
                 step = rows.select(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.col(key), row.alias("row"))
                 operations = step if operations is None else operations.unionByName(step)
-            self.store.commit(table, apply_operations(self.store.read(table), operations, key))
+            after[table] = apply_operations(self.store.read(table, self.base), operations, key)
+        if after:
+            self.store.commit_all(after, base=self.base)
 
     def rollback(self) -> None:
         self._check()

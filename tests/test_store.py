@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from siltworks import schema
 from siltworks.sources import media
-from siltworks.sources.store import Store, delete, page, query_page, upsert
+from siltworks.sources.store import Conflict, Store, delete, page, query_page, upsert
 
 TASK = schema.TASK
 
@@ -88,6 +88,49 @@ def test_transaction_keeps_the_last_operation_and_ends(spark, store):
     assert store.count("tasks") == 1
 
 
+def test_one_row_a_key(spark):
+    new = table(spark, "a", "a").unionByName(table(spark, "a", "b", state="t"))
+    assert ids(upsert(table(spark, "a"), new, "id")) == ["a", "b"]
+    assert upsert(table(spark, "a"), new, "id").collect() == upsert(table(spark, "a"), new, "id").collect()
+
+
+def test_a_second_writer_fails_and_nothing_is_lost(spark, store):
+    store.save("tasks", task(spark, "a"))
+    base = store.latest_number()
+    mine = upsert(store.read("tasks", base), task(spark, "x"), "target_uri")
+    Store(spark, store.root).save("tasks", task(spark, "z"))
+    with pytest.raises(Conflict):
+        store.commit("tasks", mine, base=base)
+    assert sorted(r["id"] for r in store.read("tasks").collect()) == ["a", "z"]
+    store.commit("control_state", spark.createDataFrame([("k", "v")], schema.CONTROL_STATE), base=base)  # another table: no conflict
+    assert store.get_state("k") == "v" and store.count("tasks") == 2
+
+
+def test_tables_change_together_or_not_at_all(spark, store):
+    store.put_state("k", "1")
+    t = store.transaction()
+    t.put("tasks", task(spark, "a"))
+    t.put("control_state", spark.createDataFrame([("k", "2")], schema.CONTROL_STATE))
+    store.put_state("k", "9")
+    with pytest.raises(Conflict):
+        t.commit()
+    assert store.count("tasks") == 0 and store.get_state("k") == "9"
+    t = store.transaction()
+    t.put("tasks", task(spark, "a"))
+    t.put("control_state", spark.createDataFrame([("k", "3")], schema.CONTROL_STATE))
+    t.commit()
+    assert store.version("tasks") == store.version("control_state") and store.get_state("k") == "3"
+
+
+def test_records_without_an_end(spark, store):
+    store.put_state("k", "1")
+    store._fs.create(store._path(f"{store.root}/_commits/000000002"), False).close()
+    assert store.get_state("k") == "1"
+    with pytest.raises(Conflict):
+        store.put_state("k", "2")
+    assert store.clear_unfinished() == 1 and store.put_state("k", "2") == 2
+
+
 def test_control_state_sessions_and_migration(spark, store):
     assert store.get_state("k") is None
     store.put_state("k", "1")
@@ -145,3 +188,6 @@ def test_passes_do_not_overlap(store):
         assert (first, second, other) == (True, False, True)
     with store.exclusive("janitor") as again:
         assert again
+    store._fs.createNewFile(store._path(f"{store.root}/_passes/crashed"))
+    with store.exclusive("crashed") as early, store.exclusive("crashed", lease_seconds=-1) as late:
+        assert (early, late) == (False, True)
