@@ -13,6 +13,8 @@ as such; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from array import array
@@ -32,62 +34,86 @@ END = 2
 #: Pieces in one partition of a packing round, about.
 PER_PARTITION = 50_000
 #: Remembered parts of texts in one generation.
-MEMORY = 150_000
+MEMORY = 400_000
+#: Texts whose unknown parts are encoded together.
+TOGETHER = 32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Where a blank stands between white space, or behind it at the end, tokens can span it.
 _SPANNED = re.compile(r"\s (?:\s|\Z)")
+#: Parts that can be encoded one behind the other, as one text.
+_SIMPLE = re.compile(r"\S+\Z")
 
-# Fixed value: how byte-level vocabularies of this kind split a text before merging.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+def cuts_at_blanks(settings: dict) -> bool:
+    """Whether a tokenizer never joins what lies before a single blank with the blank: byte-level words without normalisation."""
+    before = settings.get("pre_tokenizer") or {}
+    words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", False)
+    return words and settings.get("normalizer") is None and settings.get("model", {}).get("type") == "BPE" and not any(t.get("lstrip") or t.get("rstrip") for t in settings.get("added_tokens", ()))
 
-def byte_alphabet() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write bytes: printable Latin-1 as it is, the others from 256 on in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
+class Encoder:
+    """Ids of whole texts as little-endian 32-bit numbers, by tokenizers.
 
-class Encoder(dict):
-    """Ids of whole texts as little-endian 32-bit numbers, equal to those of tokenizers for the same file.
-
-    A token never spans the place before a single blank, so texts are cut there and each part's ids are remembered, the
-    last ones in two generations of bounded size. Parts that are not remembered go through tiktoken over the same vocabulary, which
-    is several times as fast. Texts with longer white space go through it whole, and texts with a special token's string through
-    tokenizers itself.
+    Where the file's settings say that a token never spans the place before a single blank, texts are cut there and the parts' ids are
+    remembered, the last ones in two generations of bounded size; the parts of a batch that are not remembered are encoded together. Texts with
+    longer white space or with the string of a special token, and all texts under other settings, are encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        letters = byte_alphabet()
-        ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.specials}
-        self.plain = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.in_parts = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level vocabularies write each byte as one letter
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            ids = array("I", self.plain(" " + part)).tobytes()
-        if len(self) >= MEMORY:
-            self.older = dict(self)
-            self.clear()
-        self[part] = ids
-        return ids
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remembers the ids of parts, each with the blank before it."""
+        if len(self.known) + len(parts) > MEMORY:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        known.update((p, older[p]) for p in parts if p in older)
+        new = [p for p in parts if p not in known]
+        run = [p for p in new if _SIMPLE.match(p)]
+        if run:
+            # One text of all these parts; the bytes that its tokens cover tell which belong to which part.
+            ids = np.frombuffer(self.plain([" " + " ".join(run)])[0], "<u4")
+            ends = np.cumsum([len(p.encode()) + 1 for p in run])
+            covered = np.cumsum(self.n_bytes[ids])
+            cuts = np.searchsorted(covered, ends) + 1
+            if (covered[cuts - 1] == ends).all():
+                raw, at = ids.tobytes(), 0
+                for part, cut in zip(run, (4 * cuts).tolist(), strict=True):
+                    known[part], at = raw[at:cut], cut
+                new = [p for p in new if p not in known]
+        known.update(zip(new, self.plain([" " + p for p in new]), strict=True))
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, in order."""
+        whole = [not self.in_parts or bool(_SPANNED.search(t)) or any(s in t for s in self.specials) for t in texts]
+        others = iter(self.plain([t for t, w in zip(texts, whole, strict=True) if w]))
+        for at in range(0, len(texts), TOGETHER):
+            some = [None if w else t.split(" ") for t, w in zip(texts[at : at + TOGETHER], whole[at : at + TOGETHER], strict=True)]
+            firsts = iter(self.plain([parts[0] for parts in some if parts]))
+            found = [parts and list(map(self.known.get, parts[1:])) for parts in some]
+            unknown = {p for parts, ids in zip(some, found, strict=True) if parts and None in ids for p, x in zip(parts[1:], ids, strict=True) if x is None}
+            if unknown:
+                self._learn(sorted(unknown))
+                found = [ids and [self.known[p] if x is None else x for p, x in zip(parts[1:], ids, strict=True)] if ids and None in ids else ids for parts, ids in zip(some, found, strict=True)]
+            for ids in found:
+                yield next(others) if ids is None else next(firsts) + b"".join(ids)
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if _SPANNED.search(text):
-            return array("I", self.plain(text)).tobytes()
-        first, *rest = text.split(" ")
-        return array("I", self.plain(first)).tobytes() + b"".join(map(self.__getitem__, rest))
+        return next(self.encode_batch([text]))
 
 
 @lru_cache(maxsize=2)
@@ -106,12 +132,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     end = np.asarray([END], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        encode = encoder(tokenizer_path).encode_batch
         names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 starts = cut(n, length)
                 for i, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
@@ -220,8 +248,6 @@ def pack(rows: DataFrame, *, length: int = LENGTH, per_partition: int = PER_PART
             break
         left = packed.where("opened").drop("sequence_id", "offset", "opened")
         n, before, number = left.count(), n, number + 1
-        if n > before * 0.8:  # too many gaps to shrink the pool: pack what is left in larger partitions
-            per_partition *= 2
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
