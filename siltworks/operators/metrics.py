@@ -78,7 +78,7 @@ def session_report(metrics: DataFrame, failed: DataFrame, strategies: DataFrame,
     return packed.join(failed, session, "left").join(used, session, "left")
 
 
-def smoke_verdict(metrics: DataFrame) -> DataFrame:
-    """Whether anything was discovered, extracted and persisted."""
+def smoke_verdict(metrics: DataFrame, *, by: list[str] = []) -> DataFrame:  # noqa: B006 never changed
+    """Whether anything was discovered, extracted and persisted, in all or beside the columns of by."""
     names = ("discovered", "extracted", "persisted")
-    return metrics.select(*[(F.col(n) > 0).alias(f"any_{n}") for n in names]).withColumn("passed", F.expr(" AND ".join(f"any_{n}" for n in names)))
+    return metrics.select(*by, *[(F.col(n) > 0).alias(f"any_{n}") for n in names]).withColumn("passed", F.expr(" AND ".join(f"any_{n}" for n in names)))

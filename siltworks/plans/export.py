@@ -223,7 +223,8 @@ def crc32(data: bytes) -> int:
 
 
 def data_url(content: Column, mime_type: Column) -> Column:
-    return F.concat(F.lit("data:"), mime_type, F.lit(";base64,"), F.base64(content))
+    """One line; Spark's own encoding is broken into lines."""
+    return F.concat(F.lit("data:"), mime_type, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 @dataclass

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from siltworks.plans import catalog
+from siltworks.plans import catalog, operator_catalog
 
 
 def rows(frame):
@@ -32,6 +32,11 @@ def test_no_article_of_the_sample_pages_is_a_post(spark, data_dir):
     assert len(found) and found["strategy"].isna().all() and found["failure"].notna().all()
 
 
+def test_more_operators_are_catalogued():
+    added = {n for n in catalog.QUERIES if hasattr(operator_catalog, n)}
+    assert len(added) >= 24 and added <= set(catalog.SQL)
+
+
 def test_digests_encode_whole_texts(spark, data_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()}
     got = {r["doc_id"]: r["base64"] for r in catalog.QUERIES["digests"](spark, data_dir).collect()}
