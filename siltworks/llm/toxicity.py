@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer turns words into classes (insult, threat, target, negation, report) and weights. Four small machines read the
-classes of a clause: negation (active for a few words after a negation), reported speech (from a reporting verb or an opening quote to
-the clause's end), target (a person named shortly before or after) and threat (a threatening verb, then a target). They are
-composed into one deterministic machine, built state by state as needed, whose outputs are matched events: an insult's
+A lexicon transducer turns words into classes (insult, threat, target, negation, report, determiner) and weights; quotes and clause and
+sentence ends are symbols too. Five small transducers read these symbols, each with a flag that is up while it is active: negation (for
+a few words after a negation, within its clause), reported speech (from a reporting verb to the sentence's end, or between quotes), target
+(a person named shortly before), insult (a target may still follow it) and threat (a threatening verb whose object, unless a determiner begins it, may follow).
+`compose` makes one deterministic machine of them, built arc by arc as needed, and RULES turn its flags into matched events: an insult's
 weight together with whether it is targeted, negated or reported, or a threat. Sums of these events over the clauses of a text,
-not single words, are what the score is made from.
+not single words, are what the score is made from; negated and reported events never raise it.
 
 The lexicon has a fixed part and a part induced from labelled rows: whole words and beginnings of words that occur in a much larger share
 of the toxic documents than of the others. The weights of the events come from a logistic regression on the same rows. Both
@@ -21,8 +22,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,58 +47,82 @@ TARGETS = ("you", "your", "yours", "he", "she", "him", "her", "they", "them", "t
 NEGATIONS = ("not", "no", "never", "nobody", "isn't", "aren't", "don't", "won't", "pas", "jamais", "ne", "nicht", "nie", "kein", "keine", "nunca", "jamás", "ni")
 REPORTS = ("said", "says", "say", "wrote", "writes", "called", "calls", "claimed", "claims", "quoted", "quotes", "reported", "dit", "écrit", "sagte", "schrieb", "behauptet", "dijo", "dice", "escribió")
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+DETERMINERS = ("the", "a", "an", "this", "that", "these", "those", "le", "les", "un", "une", "der", "die", "das", "den", "einen", "eine", "el", "los", "las", "una")
+
+INSULT, THREAT, TARGET, NEGATION, REPORT, DETERMINER, OTHER, OPEN, CLOSE, BREAK = range(10)
 _CLAUSE = re.compile(r"[.!?;,\n]+")
+_ENDS = re.compile(r"([.!?\n]+|[;,]+)")
 _EDGES = "\"'“”„«»()[]{}<>*#$%&|:!?.,;-_/\\"
-_QUOTES = ("\"", "“", "„", "«")
+_OPENING, _CLOSING = ("\"", "“", "„", "«"), ("\"", "”", "“", "»")
 
 EVENTS = ("plain", "targeted", "negated", "reported", "threat")
+NEVER_RAISE = ("negated", "reported")
 FEATURES = (*EVENTS, "clauses", "distinct", "density")
 
 
-class Machine:
-    """The composition of the four machines. A state is (negation left, reported, target left, threat left, insult waiting)."""
+class Transducer(NamedTuple):
+    """States are small numbers, 0 at the start; the flag is up in all others. A move gives the state after a symbol."""
+
+    flag: str
+    move: Callable[[int, int], int]
+
+
+def within_reach(flag: str, opener: int, *ends: int) -> Transducer:
+    """Active for SPAN words after the opener, unless one of the other symbols comes before."""
+
+    def move(state: int, symbol: int) -> int:
+        if symbol == opener:
+            return SPAN
+        if symbol in ends or symbol == BREAK:
+            return 0
+        return state if symbol in (OPEN, CLOSE) else max(0, state - 1)
+
+    return Transducer(flag, move)
+
+
+def _speech(state: int, symbol: int) -> int:
+    """1 after a reporting verb, 2 between quotes; the end of a quote ends both."""
+    if symbol == OPEN:
+        return 2
+    if symbol == CLOSE and state == 2:
+        return 0
+    return max(state, 1) if symbol == REPORT else state
+
+
+PARTS = (
+    within_reach("negated", NEGATION),
+    Transducer("reported", _speech),
+    within_reach("target", TARGET),
+    within_reach("insult", INSULT, TARGET),
+    within_reach("threat", THREAT, TARGET, DETERMINER),
+)
+#: Symbol, flags that must be up, flags that must be down, event. The flags are those before the symbol.
+RULES = (
+    (INSULT, {"reported"}, set(), "reported"),
+    (INSULT, {"negated"}, {"reported"}, "negated"),
+    (INSULT, {"target"}, {"reported", "negated"}, "targeted"),
+    (INSULT, set(), {"reported", "negated", "target"}, "plain"),
+    (TARGET, {"insult"}, {"reported", "negated"}, "targeted"),
+    (TARGET, {"threat"}, {"reported", "negated"}, "threat"),
+)
 
-    start = (0, False, 0, 0, 0)
 
-    def __init__(self):
+class Machine:
+    """The composition of transducers: a state is the tuple of theirs, an arc's events follow from the flags by the rules."""
+
+    def __init__(self, parts: tuple[Transducer, ...] = PARTS, rules=RULES):
+        self.parts, self.rules, self.start = parts, rules, (0,) * len(parts)
         self.arcs: dict = {}
 
     def arc(self, state: tuple, symbol: int) -> tuple[tuple, tuple[str, ...]]:
-        """Next state and events of reading symbol; events carry the weight of the insult at hand or waiting."""
+        """Next state and events of reading a symbol; events carry the weight of the insult at hand or before."""
         known = self.arcs.get((state, symbol))
         if known is None:
-            known = self.arcs[state, symbol] = self._compose(state, symbol)
+            up = {p.flag for p, s in zip(self.parts, state, strict=True) if s}
+            events = tuple(event for on, needs, without, event in self.rules if on == symbol and needs <= up and not without & up)
+            known = self.arcs[state, symbol] = tuple(p.move(s, symbol) for p, s in zip(self.parts, state, strict=True)), events
         return known
 
-    @staticmethod
-    def _compose(state: tuple, symbol: int) -> tuple[tuple, tuple[str, ...]]:
-        negated, reported, target, threat, waiting = state
-        events: tuple[str, ...] = ()
-        if symbol == INSULT:
-            if reported:
-                events = ("reported",)
-            elif negated:
-                events = ("negated",)
-            elif target:
-                events = ("targeted",)
-            else:
-                events, waiting = ("plain",), SPAN + 1
-        elif symbol == TARGET:
-            if threat and not negated and not reported:
-                events += ("threat",)
-            if waiting:
-                events += ("targeted",)
-            target, waiting, threat = SPAN + 1, 0, 0
-        elif symbol == THREAT:
-            threat = SPAN + 1
-        elif symbol == NEGATION:
-            negated = SPAN + 1
-        elif symbol == REPORT:
-            reported = True
-        less = lambda n: max(0, n - 1)
-        return (less(negated), reported, less(target), less(threat), less(waiting)), events
-
 
 @dataclass
 class Model:
@@ -105,7 +131,7 @@ class Model:
     whole: dict[str, float]
     beginnings: dict[str, float]
     bias: float = -3.0
-    weights: tuple[float, ...] = (1.2, 2.0, 0.2, 0.4, 1.5, 0.8, 0.8, 2.0)
+    weights: tuple[float, ...] = (1.2, 2.0, 0.0, 0.0, 1.5, 0.8, 0.8, 2.0)
     center: tuple[float, ...] = (0.0,) * len(FEATURES)
     scale: tuple[float, ...] = (1.0,) * len(FEATURES)
     classes: dict[str, int] = field(init=False, repr=False)
@@ -113,7 +139,7 @@ class Model:
     lengths: tuple[int, ...] = field(init=False, repr=False)
 
     def __post_init__(self):
-        self.classes = {w: c for c, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
+        self.classes = {w: c for c, words in ((DETERMINER, DETERMINERS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
         self.lengths = tuple(sorted({len(b) for b in self.beginnings}, reverse=True))
         self.stems = frozenset(x[:3] for x in (*self.whole, *self.beginnings, *THREATS))
 
@@ -127,7 +153,7 @@ class Model:
         return weight
 
     def features(self, text: str, machine: Machine) -> list[float]:
-        text = text.lower()
+        text = text.lower().replace("’", "'")
         stems = self.stems
         words = _CLAUSE.sub(" ", text).split()  # of all clauses; without a stem no event can be found
         if not any(w[:3] in stems for w in words) and not any(w.lstrip(_EDGES)[:3] in stems for w in words if w[0] in _EDGES):
@@ -135,25 +161,29 @@ class Model:
         sums = dict.fromkeys(EVENTS, 0.0)
         matched = clauses = 0
         distinct: set[str] = set()
-        for clause in _CLAUSE.split(text):
-            words = clause.split()
-            if not words:
+        state, held = machine.start, 0.0
+        for i, clause in enumerate(_ENDS.split(text)):
+            if i % 2:  # what ends a clause or, unless it is a comma or semicolon, the sentence
+                state = machine.arc(state, BREAK)[0] if clause[0] in ",;" else machine.start
                 continue
-            clauses += 1
-            state, hit, held = machine.start, False, 0.0
+            words = clause.split()
+            clauses += bool(words)
+            hit = False
             for raw in words:
                 word = raw.strip(_EDGES)
-                if raw[0] in _QUOTES:
-                    state, _ = machine.arc(state, REPORT)
+                if raw[0] in _OPENING and raw != '"':  # a straight quote that stands alone ends speech
+                    state, _ = machine.arc(state, OPEN)
                 weight = self.insult(word) if word[:3] in stems else None
                 symbol = INSULT if weight is not None else self.classes.get(word, OTHER)
-                state, events = machine.arc(state, symbol)
                 if weight is not None:
-                    held = weight
                     distinct.add(word)
+                    held = weight
+                state, events = machine.arc(state, symbol)
                 for event in events:
                     hit = True
                     sums[event] += 1.0 if event == "threat" else held
+                if raw[-1] in _CLOSING:
+                    state, _ = machine.arc(state, CLOSE)
             matched += hit
         found = [math.log1p(max(0.0, sums[e])) for e in EVENTS]
         return [*found, math.log1p(matched), math.log1p(len(distinct)), matched / clauses if clauses else 0.0]
@@ -251,7 +281,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     order = np.lexsort((*x.T, y))  # sums of floats in one order, so that runs agree
     x, y = x[order], y[order]
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    w = _regress(np.column_stack([np.ones(len(y)), (x - center) / scale]), y)
+    table = np.column_stack([np.ones(len(y)), (x - center) / scale])
+    used = np.ones(table.shape[1], bool)
+    while True:  # an event that must not raise the score counts for nothing where it would
+        w = np.zeros(len(used))
+        w[used] = _regress(table[:, used], y)
+        raising = [1 + FEATURES.index(e) for e in NEVER_RAISE if w[1 + FEATURES.index(e)] > 0]
+        if not raising:
+            break
+        used[raising] = False
     return Model(model.whole, model.beginnings, float(w[0]), tuple(map(float, w[1:])), tuple(map(float, center)), tuple(map(float, scale)))
 
 
