@@ -16,9 +16,15 @@ def enrich(posts: DataFrame) -> DataFrame:
     return posts.withColumn("layout", F.when(F.col("layout") == "unknown", inferred).otherwise(F.col("layout")))
 
 
-def widen(posts: DataFrame, slides: Column) -> DataFrame:
-    """Media found while walking through the slides, after those known; with any new one the post is a carousel."""
+#: Slides that are walked through beyond the first.
+ADVANCES = 20
+
+
+def widen(posts: DataFrame, slides: Column, *, advances: int | None = None) -> DataFrame:
+    """Media found while walking through the slides, after those known; with any new one the post is a carousel. `advances` ends the walk
+    after the first slide and so many more."""
     known = F.col("media_uris")
+    slides = slides if advances is None else F.slice(slides, 1, advances + 1)
     more = F.filter(F.array_distinct(slides), lambda u: ~F.array_contains(known, u))
     more = F.coalesce(more, F.array().cast("array<string>"))
     return posts.withColumn("layout", F.when(F.size(more) > 0, "carousel").otherwise(F.col("layout"))).withColumn("media_uris", F.concat(known, more))
@@ -79,11 +85,12 @@ def adjacency(resources: DataFrame) -> DataFrame:
 
 
 def descendants(edges: DataFrame) -> DataFrame:
-    """id, ancestor, depth of all ancestors of each row of an adjacency table (id, parent_id) of any depth."""
-    edges.select("id", "parent_id").createOrReplaceTempView("_silt_edges")
+    """id, ancestor, depth of all ancestors of each row of an adjacency table (id, parent_id), as deep as Spark's limits for recursion
+    (spark.sql.cteRecursionLevelLimit and cteRecursionRowLimit, which raise an error when they are passed) allow."""
     return edges.sparkSession.sql(
         """WITH RECURSIVE up(id, ancestor, depth) AS (
-             SELECT id, parent_id, 1 FROM _silt_edges WHERE parent_id IS NOT NULL
-             UNION ALL SELECT up.id, e.parent_id, up.depth + 1 FROM up JOIN _silt_edges e ON e.id = up.ancestor WHERE e.parent_id IS NOT NULL)
-           SELECT * FROM up"""
+             SELECT id, parent_id, 1 FROM {edges} WHERE parent_id IS NOT NULL
+             UNION ALL SELECT up.id, e.parent_id, up.depth + 1 FROM up JOIN {edges} e ON e.id = up.ancestor WHERE e.parent_id IS NOT NULL)
+           SELECT * FROM up""",
+        edges=edges.select("id", "parent_id"),
     )

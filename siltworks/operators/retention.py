@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.ranges import running_before
+
 ELIGIBLE = ("enriched", "exported")
 
 
@@ -24,27 +26,18 @@ def decide(media: DataFrame, resource_media: DataFrame, pinned: DataFrame, *, re
     return rows.withColumn("decision", decision).drop("is_pinned")
 
 
-def _freed_before(rows: DataFrame, buckets: int) -> DataFrame:
-    """Evictable bytes before each row in the order of last access and id, as a sum over buckets of time plus a sum within the bucket.
-
-    Buckets are ranges of last_access with about equal row counts, so no task holds more than one of them.
-    """
-    edges = rows.agg(F.percentile_approx(F.unix_millis(F.try_to_timestamp("last_access")), [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else None
+def _freed_before(rows: DataFrame, buckets: int | None) -> DataFrame:
+    """Evictable bytes before each row in the order of last access and id; a last access that is no time comes first."""
     at = F.unix_millis(F.try_to_timestamp("last_access"))
-    edges = sorted(set(edges or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < at)) if edges else F.lit(0)
-    rows = rows.withColumn("_bucket", F.when(at.isNull(), -1).otherwise(bucket)).withColumn("_size", F.when(F.col("decision") == "evictable", F.col("size_bytes")).otherwise(0))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_bucket").agg(F.sum("_size").alias("_bytes"))  # one row per bucket
-    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_bytes").over(before.orderBy("_bucket")), F.lit(0))).select("_bucket", "_earlier")
-    inside = F.coalesce(F.sum("_size").over(before.partitionBy("_bucket").orderBy("last_access", "media_id")), F.lit(0))
-    return rows.join(F.broadcast(sums), "_bucket").withColumn("freed_before", F.col("_earlier") + inside).drop("_bucket", "_size", "_earlier")
+    size = F.when(F.col("decision") == "evictable", F.col("size_bytes")).otherwise(0)
+    return running_before(rows.withColumn("_at", at), ["_at", "last_access", "media_id"], size, "freed_before", parts=buckets).drop("_at")
 
 
-def plan(media: DataFrame, resource_media: DataFrame, pinned: DataFrame, *, policy: str = "cache", max_bytes: int | None = None, retain_video: bool = False, failed: DataFrame | None = None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+def plan(media: DataFrame, resource_media: DataFrame, pinned: DataFrame, *, policy: str = "cache", max_bytes: int | None = None, retain_video: bool = False, failed: DataFrame | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Decisions with inspected and evicted flags, and the one-row report.
 
-    failed (media_id): deletions known to fail; they free nothing and are not counted.
+    failed (media_id): deletions known to fail; they free nothing and are not counted. buckets: ranges of time and id into which rows are
+    dealt, by default as many as there are shuffle partitions.
     """
     rows = decide(media, resource_media, pinned, retain_video=retain_video)
     total = media.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]

@@ -419,7 +419,7 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return pipelines.read_stream(spark, sf_dir, EVENTS, names="events.parquet")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import zipfile
 import zlib
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from siltworks import schema
 from siltworks.functions import text as tx
 from siltworks.operators.enrich import media_links
+from siltworks.plans import passes
+from siltworks.plans.passes import Cancelled
 from siltworks.sources.store import Store
 
 INCLUSIONS = ("none", "link-local", "embed-remote")
@@ -172,11 +175,16 @@ def bundle(parts: DataFrame) -> DataFrame:
     return texts.select("path", F.array_join(F.transform("x", lambda p: p["text"]), "").alias("text")).withColumn("size_bytes", F.octet_length("text").cast("long"))
 
 
-def entries(parts: DataFrame, blobs: DataFrame) -> DataFrame:
-    """path, content of an archive: texts, and media whose bytes are there; of entries of one path the first counts."""
+def entries(parts: DataFrame, blobs: DataFrame, direct: DataFrame | None = None) -> DataFrame:
+    """path, content of an archive: texts, and media whose bytes are there; of entries of one path the first counts.
+
+    direct (media_id, content) are bytes fetched for this archive; they come before those in blobs."""
     texts = bundle(parts).select("path", F.encode("text", "UTF-8").alias("content"))
-    media = parts.where("kind = 'binary'").select("path", "media_id").dropDuplicates(["path"]).join(blobs.select("media_id", "content"), "media_id")
-    return texts.unionByName(media.select("path", "content"))
+    media = parts.where("kind = 'binary'").groupBy("path").agg(F.min_by("media_id", F.struct("id", "pos")).alias("media_id"))
+    media = media.join(blobs.select("media_id", "content"), "media_id", "left")
+    if direct is not None:
+        media = media.join(direct.select("media_id", F.col("content").alias("_direct")), "media_id", "left").withColumn("content", F.coalesce("_direct", "content"))
+    return texts.unionByName(media.where(F.col("content").isNotNull()).select("path", "content"))
 
 
 def write_ndjson(lines: DataFrame, folder: str) -> None:
@@ -237,12 +245,12 @@ class Result:
     delivered: bool
 
 
-class Cancelled(RuntimeError):
-    """The run was cancelled before it delivered anything."""
-
-
 class Coordinator:
-    """Export runs over a store: at most one at a time, the manifest moves only after delivery."""
+    """Export runs over a store: at most one at a time, the manifest moves only after delivery.
+
+    A run is a pass over pages of resources (passes.run_pass). The parts of each page are staged under the store's folder, and the artifact is
+    put together from them at the end, so a run that was interrupted goes on with the page it was at.
+    """
 
     def __init__(self, store: Store):
         self.store, self.running = store, False
@@ -259,58 +267,102 @@ class Coordinator:
         self.store.put_state(f"export_cancelled:{request_id}", "1")
         self.spark.sparkContext.cancelJobGroup(request_id)
 
-    def progress(self) -> str | None:
-        return self.store.get_state("export_progress")
-
-    def resume(self, path: str, blobs: DataFrame, now: str) -> Result | None:
-        """Runs the stored request again, if one was begun and not finished."""
-        import json
+    def _cancelled(self, request_id: str) -> bool:
+        return self.store.get_state(f"export_cancelled:{request_id}") is not None
 
-        stored = self.store.get_state("export_request")
-        if stored is None or self.progress() in (None, "done"):
+    def progress(self) -> dict | None:
+        """The last run: request_id, target, done, and the number of pages that are done."""
+        stored = self.store.get_state("export_progress")
+        if stored is None:
+            return None
+        found = json.loads(stored)
+        page = passes.checkpoint_of(self.store, f"export:{found['request_id']}")
+        return {**found, "pages_done": page["done"] if page else found.get("pages_done", 0)}
+
+    def _clear(self, request_id: str, path: str) -> None:
+        for key in ("export_progress", "export_request", f"export:{request_id}_cursor", f"export_cancelled:{request_id}"):
+            self.store.delete_state(key)
+        self.store.remove_folder(self._stage(request_id))
+        if os.path.exists(f"{path}.partial"):
+            os.remove(f"{path}.partial")
+
+    def _stage(self, request_id: str) -> str:
+        return f"{self.store.root}/_exports/{request_id}"
+
+    def resume(self, path: str, blobs: DataFrame, now: str, *, direct: DataFrame | None = None) -> Result | None:
+        """Goes on with the stored request, if one was begun and not finished; progress without a request is cleared."""
+        progress, stored = self.progress(), self.store.get_state("export_request")
+        if self.running or progress is None or progress["done"]:
             return None
-        return self.run(path=path, blobs=blobs, now=now, **json.loads(stored))
+        if stored is None:
+            self.store.delete_state("export_progress")
+            return None
+        request = json.loads(stored)
+        return self.run(path=path, blobs=blobs, direct=direct, **{**request, "now": request.get("now", now)})
 
-    def run(self, *, request_id: str, target: str, path: str, blobs: DataFrame, now: str, inclusion: str = "link-local", incremental: bool = False, state: str | None = None) -> Result:
+    def run(self, *, request_id: str, target: str, path: str, blobs: DataFrame, now: str, inclusion: str = "link-local", incremental: bool = False, state: str | None = None, direct: DataFrame | None = None, page_rows: int = passes.PAGE_ROWS) -> Result:
         """Delivers the export at path. `now` is when the snapshot is taken and becomes the watermark, so that resources saved while the run
         goes on belong to the next one."""
-        import json
-
+        if target not in SERIALIZERS:
+            raise KeyError(target)
         if self.running:
             raise RuntimeError("an export is running")
         self.running = True
         try:
-            self.store.put_state("export_request", json.dumps({"request_id": request_id, "target": target, "inclusion": inclusion, "incremental": incremental, "state": state}))
-            self.store.put_state("export_progress", "running")
-            self.spark.sparkContext.setJobGroup(request_id, f"export {target}")
-            before = self.manifest(target) if incremental else None
-            resources = self.store.read("resources")
-            if state is not None:
-                resources = resources.where(F.col("state") == state)
-            later = above_watermark(F.col("source.extracted_at"), before["last_exported_at"] if before else None)
-            counts = resources.agg(F.count_if(later).alias("exported"), F.count_if(~later).alias("skipped")).first()
-            items = present_media(resources.where(later), self.store.read("media_metadata").where("state = 'complete'"), inclusion)
-            included = missing = 0
-            if self.store.get_state(f"export_cancelled:{request_id}"):
-                raise Cancelled(request_id)
-            if target == "json":
-                size = write_single_ndjson(json_lines(items, inclusion), path)
-            else:
-                parts = SERIALIZERS[target](items, inclusion)
-                write_zip(entries(parts, blobs), path)
-                size = os.path.getsize(path)
-                media = parts.where("kind = 'binary'").join(blobs.select("media_id", F.lit(True).alias("there")), "media_id", "left").agg(F.count_if(F.col("there")).alias("i"), F.count_if(F.col("there").isNull()).alias("m")).first()
-                included, missing = media["i"], media["m"]
-            if incremental:
-                self.store.save("export_manifest", next_manifest(self.spark, before, target, request_id, counts["exported"], now))
-            self.store.put_state("export_progress", "done")
-            return Result(counts["exported"], counts["skipped"], included, missing, size, True)
-        except Cancelled:
-            self.store.delete_state("export_progress")
-            raise
+            request = {"request_id": request_id, "target": target, "inclusion": inclusion, "incremental": incremental, "state": state, "now": now, "page_rows": page_rows}
+            self.store.put_state("export_request", json.dumps(request))
+            self.store.put_state("export_progress", json.dumps({"request_id": request_id, "target": target, "done": False}))
+            return self._drive(path, blobs, direct, **request)
+        except Exception as error:
+            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            if not self._cancelled(request_id):
+                raise
+            self._clear(request_id, path)
+            raise Cancelled(request_id) from error
         finally:
+            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
             self.running = False
 
+    def _drive(self, path: str, blobs: DataFrame, direct: DataFrame | None, *, request_id: str, target: str, inclusion: str, incremental: bool, state: str | None, now: str, page_rows: int) -> Result:
+        self.spark.sparkContext.setJobGroup(request_id, f"export {target}")
+        before = self.manifest(target) if incremental else None
+        later = above_watermark(F.col("source.extracted_at"), before["last_exported_at"] if before else None)
+
+        def rows(snapshot: int) -> DataFrame:
+            resources = self.store.read("resources", snapshot)
+            return resources if state is None else resources.where(F.col("state") == state)
+
+        def serialize(page: DataFrame, number: int) -> None:
+            items = present_media(page.where(later), facts, inclusion)
+            parts = json_lines(items, inclusion).select("id", "line") if target == "json" else SERIALIZERS[target](items, inclusion)
+            parts.write.mode("overwrite").parquet(f"{self._stage(request_id)}/page={number}")
+
+        name, stop = f"export:{request_id}", lambda: self._cancelled(request_id)
+        begun = passes.checkpoint_of(self.store, name)
+        snapshot = begun["snapshot"] if begun else self.store.latest_number()
+        if begun is None:
+            self.store.remove_folder(self._stage(request_id))
+        facts = self.store.read("media_metadata", snapshot).where("state = 'complete'")
+        report = passes.run_pass(self.store, name, rows, serialize, page_rows=page_rows, stop=stop, at=snapshot)
+        if not report.completed_cleanly:
+            raise RuntimeError(report.error)
+        counts = rows(snapshot).agg(F.count_if(later).alias("exported"), F.count_if(~later).alias("skipped")).first()
+        parts, included, missing = self.spark.read.parquet(self._stage(request_id)), 0, 0
+        if target == "json":
+            size = write_single_ndjson(parts, path)
+        else:
+            write_zip(entries(parts, blobs, direct), path)
+            size = os.path.getsize(path)
+            there = blobs.select("media_id") if direct is None else blobs.select("media_id").union(direct.select("media_id"))
+            media = parts.where("kind = 'binary'").join(there.distinct().withColumn("there", F.lit(True)), "media_id", "left").agg(F.count_if(F.col("there")).alias("i"), F.count_if(F.col("there").isNull()).alias("m")).first()
+            included, missing = media["i"], media["m"]
+        if incremental:
+            self.store.save("export_manifest", next_manifest(self.spark, before, target, request_id, counts["exported"], now))
+        self.store.put_state("export_progress", json.dumps({"request_id": request_id, "target": target, "done": True, "pages_done": report.pages}))
+        self.store.delete_state("export_request")
+        self.store.remove_folder(self._stage(request_id))
+        return Result(counts["exported"], counts["skipped"], included, missing, size, True)
+
 
 def next_manifest(spark: SparkSession, before, target: str, request_id: str, exported: int, now: str) -> DataFrame:
     """The manifest row after a delivered incremental run: totals grow, the creation time stays."""

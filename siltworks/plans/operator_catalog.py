@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from siltworks import schema
 from siltworks.functions import text as tx
-from siltworks.operators import connector, dedup, enrich, extract, metrics, normalize, scheduler
-from siltworks.plans import export
+from siltworks.operators import connector, dedup, enrich, extract, metrics, normalize, ranges, scheduler
+from siltworks.plans import export, passes
 from siltworks.plans.catalog import QUERIES, SQL, _items, _note_sql, _HERE, query
 from siltworks.session import shared_folder
-from siltworks.sources import media
+from siltworks.sources import media, sessions
 from siltworks.sources.store import Store
 
 SITE = "https://www.instagram.com/"
@@ -315,3 +315,79 @@ def export_manifest(t):
 def whole_digests(t):
     url = export.data_url(F.col("text").cast("binary"), F.lit("text/plain"))
     return t("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(url, 256).alias("data_url"))
+
+
+# --- pages, passes, sessions ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 20 AS page_number FROM orders")
+def numbered_pages(t):
+    return ranges.page_numbers(t("orders").select("o_orderkey"), 20, key="o_orderkey")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def last_events(t):
+    return sessions.last_events(t("events"), seq="event_id").select("event_id", "event_type")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' OR event_id % 3 = 0 THEN event_id + CASE WHEN event_type = 'view' THEN 1800000 ELSE 300000 END END AS due FROM events")
+def next_passes(t):
+    always = F.col("event_type") == "view"
+    return t("events").select("event_id", passes.next_due(F.col("event_id"), F.when(always, 30).otherwise(5), F.col("event_id") % 3 == 0, always).alias("due"))
+
+
+@query("SELECT o_custkey AS owner, least(count(*), 21)::INT AS n FROM orders GROUP BY 1")
+def walked_slides(t):
+    posts = t("orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))).alias("slides"))
+    posts = posts.withColumn("media_uris", F.array().cast("array<string>")).withColumn("layout", F.lit("single-image"))
+    return normalize.widen(posts, F.col("slides"), advances=normalize.ADVANCES).select("owner", F.size("media_uris").alias("n"))
+
+
+@query("SELECT 'media/' || o_orderkey AS path, md5(CASE WHEN o_orderkey % 2 = 0 THEN 'fetched ' ELSE 'stored ' END || o_orderkey) AS digest FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def fetched_before_stored(t):
+    """Media whose bytes were fetched for an archive come before those that are stored."""
+    part = t("orders").select(_key().alias("id"), F.lit(1).alias("pos"), _text("media/", _key()).alias("path"), F.lit("binary").alias("kind"), F.lit(None).cast("string").alias("text"), _key().alias("media_id"))
+    given = lambda word, n: t("orders").where(F.col("o_orderkey") % n == 0).select(_key().alias("media_id"), _text(word, _key()).cast("binary").alias("content"))
+    return export.entries(part, given("stored ", 3), given("fetched ", 2)).select("path", F.md5("content").alias("digest"))
+
+
+def paged_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass over stored tasks that fails on its second page, and goes on there when it is run again: what each run handed over."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.save("tasks", _tasks(spark.read.parquet(f"{sf_dir}/orders.parquet"), "queued"))
+    n, broken, out = store.count("tasks"), [True], f"{store.root}/handed"
+
+    def hand(page: DataFrame, number: int) -> None:
+        if number == 1 and broken.pop():
+            raise RuntimeError("interrupted")
+        page.select("target_uri").write.mode("overwrite").parquet(f"{out}/page={number}")
+
+    rows = lambda snapshot: store.read("tasks", snapshot)
+    first = passes.run_pass(store, "tasks", rows, hand, key="target_uri", page_rows=max(1, n // 5))
+    store.remove("tasks", store.read("tasks").select("target_uri"))  # the pass keeps to the rows that it began with
+    broken.append(False)
+    second = passes.run_pass(store, "tasks", rows, hand, key="target_uri", page_rows=max(1, n // 5))
+    seen = spark.read.parquet(out).select("target_uri")
+    resumed = not first.completed_cleanly and second.completed_cleanly and second.done_before == 1 and passes.checkpoint_of(store, "tasks") is None
+    return seen.withColumn("resumed", F.lit(resumed))
+
+
+QUERIES["paged_pass"] = paged_pass
+SQL["paged_pass"] = "SELECT o_orderkey::VARCHAR AS target_uri, true AS resumed FROM orders"
+
+
+def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of all events, of which the least user's is started, synced and stopped; the counters are taken from the log."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kept = sessions.Sessions(Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"))
+    user = events.agg(F.min("user_id")).first()[0]
+    kept.start(str(user), "1")
+    kept.sync(7, "2")
+    kind = F.when(F.col("event_type") == "view", "discovered").otherwise(F.col("event_type"))
+    kept.log.append(events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("session_id"), "ts", kind.alias("event_type"), "value", F.lit("").alias("payload")))
+    kept.update("3", status="stopped")
+    return kept.history().select("id", "status", "started_at", "updated_at", "queue_depth", F.get_json_object("metrics", "$.discovered").cast("long").alias("discovered"))
+
+
+QUERIES["session_history"] = session_history
+SQL["session_history"] = "SELECT user_id::VARCHAR AS id, 'stopped' AS status, '1' AS started_at, '3' AS updated_at, 7::BIGINT AS queue_depth, count(*) FILTER (event_type = 'view') AS discovered FROM events WHERE user_id = (SELECT min(user_id) FROM events) GROUP BY 1"

@@ -166,6 +166,10 @@ class Store:
             self._fs.delete(self._path(f"{self.root}/_commits/{n:09d}"), False)
         return len(left)
 
+    def remove_folder(self, folder: str) -> None:
+        """Deletes a folder of working files; one that is not there changes nothing."""
+        self._fs.delete(self._path(folder), True)
+
     def get(self, table: str, key) -> DataFrame:
         """The row of a key, or none; the comparison reaches the Parquet scan."""
         return self.read(table).where(F.col(schema.KEYS[table]) == F.lit(key))
@@ -188,7 +192,13 @@ class Store:
         return Transaction(self)
 
     def put_state(self, key: str, value: str) -> int:
-        return self.save("control_state", self.spark.createDataFrame([(key, value)], schema.CONTROL_STATE))
+        """Sets one control value; other writers' values are kept, so a conflict is no reason to give up."""
+        for _ in range(9):
+            try:
+                return self.save("control_state", self.spark.createDataFrame([(key, value)], schema.CONTROL_STATE))
+            except Conflict:
+                continue
+        raise Conflict("control_state")
 
     def get_state(self, key: str) -> str | None:
         row = self.get("control_state", key).first()

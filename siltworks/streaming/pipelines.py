@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltworks.operators.metrics import COUNTERS
 from siltworks.operators.scheduler import BASE_DELAY_MS, MAX_ATTEMPTS
+from siltworks.session import shared_folder
 
 
-def read_stream(spark: SparkSession, folder: str, ddl: str, *, files_per_batch: int | None = None) -> DataFrame:
-    """A folder of Parquet files as an unbounded table."""
-    reader = spark.readStream.schema(ddl)
+def read_stream(spark: SparkSession, folder: str, ddl: str, *, files_per_batch: int | None = None, names: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder whose names match as an unbounded table."""
+    reader = spark.readStream.schema(ddl).option("pathGlobFilter", names)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
@@ -102,8 +105,27 @@ def idle_machine(stream: DataFrame, *, limit: int = 3) -> DataFrame:
     return keyed.applyInPandasWithState(advance, IDLE_OUT, "empty_scrolls INT, finished BOOLEAN", "update", GroupStateTimeout.NoTimeout)
 
 
+def micro_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, *, delay_ms: int = 150, mode: str = "append") -> StreamingQuery:
+    """Starts a stream that gathers for a fixed delay and then hands over what has come as one batch; handle must take a batch again after a
+    crash."""
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=f"{delay_ms} milliseconds")
+    return writer.foreachBatch(handle).start()
+
+
 def run_available(df: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now, into a table in memory; for small results and tests."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over what is there now and gives what it put out, read from Parquet in the shared folder, where each micro-batch has a folder
+    of its own that a repeated batch overwrites; in mode complete only the last batch counts."""
+    spark = df.sparkSession
+    out = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    last = [-1]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        last[0] = max(last[0], number)
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{out}/checkpoint")
+    writer.foreachBatch(keep).start().awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], df.schema)
+    rows = f"{out}/rows/batch={last[0]}" if mode == "complete" else f"{out}/rows"
+    return spark.read.schema(df.schema).parquet(rows).select(*df.columns)
