@@ -13,7 +13,7 @@ redundant window's words are removed from its document.
    The same is done before the exchange within each task, where all but the least document's leaves of a node are settled at once, so
    that a passage that countless documents share arrives as one leaf per task.
 
-Exact copies of a text are settled by a hash of the text and do not enter the trees.
+Exact copies of a text are settled by two 64-bit hashes of the text with different seeds and do not enter the trees.
 
 Defined results: null and empty texts have no words; null ids count as the largest id and come back as null; rows with equal
 ids do not make each other's windows redundant; texts shorter than a window stay whole; an empty table gives an empty result; carried columns
@@ -67,7 +67,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(words))
             hashes.append(h.view(np.int64))
             places.append(at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["rank", "text_hash", "n_words", "hashes", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["rank", "text_hash", "check", "n_words", "hashes", "places"])
 
 
 def candidate_starts(n_words: int, places: np.ndarray) -> np.ndarray:
@@ -286,12 +286,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redundant_windows(base: DataFrame) -> DataFrame:
     """rank, text_hash, starts (little-endian 32-bit numbers), copy: for each document with redundant windows; copies of a whole text of a
-    smaller id have copy set and no starts. base has rank, text_hash and text."""
+    smaller id have copy set and no starts. base has rank, text_hash, text and check, a second hash of the text: copies agree in both."""
     spark = base.sparkSession
-    marks = settle(base.mapInArrow(_anchored, "rank long, text_hash long, n_words long, hashes array<long>, places array<long>").where(f"n_words >= {WINDOW}"))
-    first = marks.groupBy("text_hash").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.min(F.struct("rank", "hashes", "places")).alias("x"))
-    several = first.where("most > least").select(F.col("text_hash").alias("h"), "least")
-    copies = marks.select("rank", "text_hash").join(several, (F.col("text_hash") == F.col("h")) & (F.col("rank") > F.col("least")))
+    marks = settle(base.mapInArrow(_anchored, "rank long, text_hash long, check long, n_words long, hashes array<long>, places array<long>").where(f"n_words >= {WINDOW}"))
+    first = marks.groupBy("text_hash", "check").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.min(F.struct("rank", "hashes", "places")).alias("x"))
+    several = first.where("most > least").select("text_hash", "check", "least")
+    copies = marks.select("rank", "text_hash", "check").join(several, ["text_hash", "check"]).where("rank > least")
     copies = copies.select("rank", "text_hash", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("copy")).distinct()
     each = first.select("text_hash", F.col("least").alias("rank"), F.explode(F.arrays_zip(F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))).alias("a"))
     each = settle(each.select("rank", "text_hash", F.col("a.hash").alias("hash"), F.col("a.place").alias("place")))
@@ -323,7 +323,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     arrow_rows(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    base = docs.select(rank.alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    base = docs.select(rank.alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("check"))
     marks = settle(redundant_windows(base)).select("rank", "text_hash", "starts", "copy")
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     rows = docs.select(rank.alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"), carried.alias("carried")).join(marks, ["rank", "text_hash"], "left")

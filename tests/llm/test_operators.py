@@ -577,3 +577,10 @@ def test_windows_of_a_long_conversation_keep_the_budget(spark):
 
 def test_no_conversation(spark):
     assert chat.read_back(chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_texts_of_one_hash_are_no_copies(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, 5, a, 1), (2, 5, b, 2), (3, 5, a, 1)]  # all of one hash; the second hash tells them apart
+    found = substring.redundant_windows(spark.createDataFrame(rows, "rank long, text_hash long, text string, check long")).collect()
+    assert [(r["rank"], r["copy"], r["starts"]) for r in found] == [(3, True, None)]
