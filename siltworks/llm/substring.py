@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.words import hash_words, sliding_min, window_hashes
-from siltworks.session import arrow_rows, settle, shuffle_width
+from siltworks.session import arrow_rows, settle, shuffle_width, tidy
 
 WINDOW = 50
 SYMBOL = 25
@@ -293,12 +293,15 @@ def redundant_windows(base: DataFrame) -> DataFrame:
     several = first.where("most > least").select("text_hash", "check", "least")
     copies = marks.select("rank", "text_hash", "check").join(several, ["text_hash", "check"]).where("rank > least")
     copies = copies.select("rank", "text_hash", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("copy")).distinct()
+    copies = settle(copies)  # the trees below need nothing of what these were made from
     each = first.select("text_hash", F.col("least").alias("rank"), F.explode(F.arrays_zip(F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))).alias("a"))
     each = settle(each.select("rank", "text_hash", F.col("a.hash").alias("hash"), F.col("a.place").alias("place")))
     shared = each.groupBy("hash").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("hash")
     shared = settle(shared)  # so that both sides of the join are exchanged anew and a frequent anchor's rows can be split
     hits = each.join(shared, "hash").groupBy("rank", "text_hash").agg(F.collect_list("place").alias("places"))
     candidates = settle(base.join(hits, ["rank", "text_hash"]).dropDuplicates(["rank", "text_hash"]).select("rank", "text_hash", "text", "places"))
+    del marks, first, several, each, shared, hits
+    tidy(spark)
 
     # Anchors are half a winnowing window apart on average, and each of the words between them starts a suffix.
     about = (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW - GRAM + 1) // 2
@@ -325,6 +328,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
     base = docs.select(rank.alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("check"))
     marks = settle(redundant_windows(base)).select("rank", "text_hash", "starts", "copy")
+    tidy(docs.sparkSession)
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     rows = docs.select(rank.alias("rank"), F.xxhash64(text).alias("text_hash"), text.alias("text"), carried.alias("carried")).join(marks, ["rank", "text_hash"], "left")
     packed = rows.select(F.struct("rank", "carried").alias("row"), "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
