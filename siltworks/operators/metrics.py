@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import js_round
+from siltworks.operators.ranges import scan
 
 #: Counter: the event type that it counts.
 COUNTERS = {
@@ -45,9 +46,8 @@ def snapshot(events: DataFrame, *, by: list[str], kind: str = "event_type", valu
 
 
 def peak_depth(changes: DataFrame, *, by: list[str], order: list[str], delta: str = "delta") -> DataFrame:
-    """Greatest running sum of queue changes per group."""
-    running = F.sum(delta).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return changes.withColumn("_depth", running).groupBy(*by).agg(F.max("_depth").alias("peak_queue_depth"))
+    """Greatest running sum of queue changes per group; one group of most rows is spread over ranges of its order."""
+    return scan(changes, order, by=by, sums={"_depth": F.col(delta)}).groupBy(*by).agg(F.max("_depth").alias("peak_queue_depth"))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltworks.operators.ranges import scan
+
 MAX_ATTEMPTS = 3
 BASE_DELAY_MS = 1000
 
@@ -76,11 +78,13 @@ def failure_category(stage: Column) -> Column:
 
 
 def empty_streaks(scrolls: DataFrame, *, session: str, order: list[str], found: Column) -> DataFrame:
-    """Each scroll with the number of scrolls without new work in a row up to it: islands that begin at each scroll with new work."""
-    by = Window.partitionBy(session).orderBy(*order)
-    rows = scrolls.withColumn("_island", F.sum(found.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(session, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("empty_scrolls", F.sum((~found).cast("int")).over(inside)).drop("_island")
+    """Each scroll with the number of scrolls without new work in a row up to it; one session of most scrolls is spread over ranges.
+
+    The scrolls without new work up to a scroll, less as many as there were at the last scroll with new work: the greatest such number so far, as it never falls.
+    """
+    rows = scan(scrolls, order, by=[session], sums={"_empty": (~found).cast("long")})
+    rows = scan(rows.withColumn("_found", found), order, by=[session], maxima={"_reset": F.when(F.col("_found"), F.col("_empty"))})
+    return rows.withColumn("empty_scrolls", F.col("_empty") - F.coalesce("_reset", F.lit(0))).drop("_empty", "_reset", "_found")
 
 
 def is_idle(streaks: DataFrame, *, session: str, limit: int = 3) -> DataFrame:

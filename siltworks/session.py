@@ -6,6 +6,9 @@ import atexit
 import gc
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Written(NamedTuple):
+    """Rows in a folder of their own, and what deletes it once they are no longer needed."""
+
+    rows: DataFrame
+    drop: Callable[[], None]
+
+
+def written(df: DataFrame) -> Written:
+    """df, computed once and written to the shared folder as Parquet; unlike settle(), its files go when the caller says so."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return Written(spark.read.schema(df.schema).parquet(folder), lambda: files.delete(path, True))
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the exchanged and settled rows of tables that nothing refers to any more; else they stay until the driver needs memory."""
     gc.collect()
