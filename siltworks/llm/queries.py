@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, fingerprint, license, mixing, neardup, packing, quality, sharding, substring, toxicity
+from siltworks.llm import centroids, chat, fingerprint, license, mixing, neardup, packing, prefixes, quality, sharding, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,14 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.labelled(centroids.cluster(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_preorder_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.prefixes(prefixes.rebuilt(prefixes.turns_in_order(_read(spark, sf_dir, "conversations")))))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +84,8 @@ QUERIES = {
     "op8_histogram_sort": op8_histogram_sort,
     "op9_setsketch": op9_setsketch,
     "op10_chat_windows": op10_chat_windows,
+    "op11_delta_lloyd": op11_delta_lloyd,
+    "op13_preorder_trie": op13_preorder_trie,
 }
 
 
@@ -101,4 +111,24 @@ SELECT doc_id, sha256({one.format('lines')}) AS text_digest, known.license_id AS
 FROM base LEFT JOIN hits USING (r) LEFT JOIN known ON known.piece = {one.format('lines')}"""
 
 
-SQL = {"op1_license_scan": _license_sql()}
+def _lloyd_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS, dims: int = centroids.DIMS, scale: int = centroids.SCALE) -> str:
+    """All vectors against all centroids in every round."""
+    nearest = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, w)])::BIGINT"
+    steps = [
+        f"""x AS (SELECT row_number() OVER () AS r, vec_id, [floor({scale} * e::DOUBLE)::BIGINT FOR e IN embedding] AS v FROM embeddings
+WHERE len(embedding) = {dims} AND len([1 FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0)""",
+        f"c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS cluster, v AS w FROM x QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) <= {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT r, min(struct_pack(distance := {nearest}, cluster := cluster)) AS best FROM x, c{i} GROUP BY r)")
+        if i < rounds:
+            steps.append(f"p{i} AS (SELECT best.cluster AS cluster, unnest(v) AS e, generate_subscripts(v, 1) AS place FROM x JOIN a{i} USING (r))")
+            steps.append(f"m{i} AS (SELECT cluster, place, sum(e) AS s, count(*) AS n FROM p{i} GROUP BY ALL)")
+            steps.append(f"n{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS w FROM m{i} GROUP BY cluster)")
+            steps.append(f"c{i + 1} AS (SELECT cluster, coalesce(n{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN n{i} USING (cluster))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.cluster AS cluster, best.distance AS distance, sum(best.distance) OVER (PARTITION BY best.cluster)::BIGINT AS cluster_inertia, sum(best.distance) OVER ()::BIGINT AS inertia,
+sha256(array_to_string(w, ',')) AS centroid_sha256, count(*) OVER (PARTITION BY best.cluster) AS cluster_size FROM x JOIN a{rounds} USING (r) JOIN c{rounds} ON c{rounds}.cluster = best.cluster"""
+
+
+SQL = {"op1_license_scan": _license_sql(), "op11_delta_lloyd": _lloyd_sql()}
