@@ -41,11 +41,11 @@ class Written(NamedTuple):
     drop: Callable[[], None]
 
 
-def written(df: DataFrame) -> Written:
-    """df, computed once and written to the shared folder as Parquet; unlike settle(), its files go when the caller says so."""
+def written(df: DataFrame, **options: str) -> Written:
+    """df, computed once and written to the shared folder as Parquet; unlike settle(), its files go when the caller says so. Options are those of the writer."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     return Written(spark.read.schema(df.schema).parquet(folder), lambda: files.delete(path, True))
