@@ -112,6 +112,14 @@ class Encoder:
             for ids in found:
                 yield next(others) if ids is None else next(firsts) + b"".join(ids)
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a blank before it; only where the settings cut texts at blanks do they add up to those of a text."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn([w for w, x in zip(words, found, strict=True) if x is None])
+            found = [self.known[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
+
     def encode(self, text: str) -> bytes:
         return next(self.encode_batch([text]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import centroids, chat, fingerprint, license, mixing, neardup, packing, prefixes, quality, sharding, substring, toxicity
+from siltworks.llm import centroids, chat, fingerprint, license, lm, mixing, neardup, packing, prefixes, quality, sharding, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.labelled(centroids.cluster(_read(spark, sf_dir, "embeddings")))
 
 
+def op12_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op13_preorder_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(prefixes.prefixes(prefixes.rebuilt(prefixes.turns_in_order(_read(spark, sf_dir, "conversations")))))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_setsketch": op9_setsketch,
     "op10_chat_windows": op10_chat_windows,
     "op11_delta_lloyd": op11_delta_lloyd,
+    "op12_attention_lm": op12_attention_lm,
     "op13_preorder_trie": op13_preorder_trie,
 }
 
