@@ -4,8 +4,14 @@ Documents become pieces of at most a sequence's length. Pieces are dealt to part
 decreasing. For each partition, dual-feasible functions give a lower bound of its number of sequences. Where the packing
 meets the bound, it is certified and only its emptiest sequence is opened again; where there is a gap, all
 sequences with more free space than the gap explains are opened. Opened sequences hand their pieces to a pool, which is dealt
-anew to fewer partitions and packed again, until one partition has packed what is left. Partitions hold a bounded number of
-pieces, whatever the input.
+anew and packed again.
+
+Why the rounds end. A round of exchange is followed by another only if it packed the pool into fewer sequences than were opened for it, by one in
+SAVING at least; the number of all sequences falls with each, so there are finitely many, and EXCHANGES at most. After that every partition
+keeps all but its emptiest sequence. Such a sequence holds `length` pieces at most, so as long as partitions hold `per_partition` pieces the pool shrinks to
+length / per_partition of its size from round to round, until one partition packs what is left; if a pool does not shrink to half, its packing
+stands. Partitions hold a bounded number of pieces, whatever the input. Each row names its partition's bound and number of sequences;
+`certificate` compares all sequences with the bound of all pieces.
 
 Defined results: null texts are empty texts, of one piece with the end token alone; repeated rows are documents of their own and packed
 as such; an empty table gives an empty result; other columns are not read.
@@ -33,6 +39,8 @@ LENGTH = 1024
 END = 2
 #: Pieces in one partition of a packing round, about.
 PER_PARTITION = 50_000
+#: A round of exchange must save one of so many opened sequences for another to follow, and there are so many at most.
+SAVING, EXCHANGES = 200, 12
 #: Remembered parts of texts in one generation.
 MEMORY = 400_000
 #: Texts whose unknown parts are encoded together.
@@ -159,14 +167,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
 
 
 def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
-    """No packing of these sizes has fewer sequences: the best of two families of dual-feasible functions.
+    """No packing of these sizes has fewer sequences."""
+    return bound_of_counts(np.bincount(sizes, minlength=length + 1), length)
+
+
+def bound_of_counts(counts: np.ndarray, length: int = LENGTH) -> int:
+    """The best of two families of dual-feasible functions, from the number of pieces of each size.
 
     Rounding functions u_k: sizes times k + 1, in lengths, count whole if divisible, else rounded down, over k. Threshold functions:
     sizes above length - t count as a full sequence, those below t as nothing, others as they are.
     """
-    if not len(sizes):
-        return 0
-    counts = np.bincount(sizes, minlength=length + 1)
     s = np.arange(length + 1)
     best = int(-(-(counts * s).sum() // length))
     for t in range(1, length // 2 + 1):
@@ -205,14 +215,19 @@ def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.nda
     return where, np.asarray(free, np.int64)
 
 
+def emptiest(free: np.ndarray) -> np.ndarray:
+    """Marks the emptiest sequence, unless it is full."""
+    opened = np.zeros(len(free), bool)
+    if len(free) and free.max() > 0:
+        opened[int(free.argmax())] = True
+    return opened
+
+
 def to_open(free: np.ndarray, bound: int, length: int = LENGTH) -> np.ndarray:
-    """Which sequences of a packed partition give their pieces back."""
+    """Which sequences of a packed partition give their pieces back for an exchange."""
     gap = len(free) - bound
     if gap <= 0:
-        opened = np.zeros(len(free), bool)
-        if len(free) and free.max() > 0:
-            opened[int(free.argmax())] = True
-        return opened
+        return emptiest(free)
     # The emptiest sequences, until their free space would hold the sequences too many twice over.
     order = np.argsort(-free, kind="stable")
     enough = int(np.searchsorted(np.cumsum(free[order]), 2 * gap * length)) + 1
@@ -221,47 +236,79 @@ def to_open(free: np.ndarray, bound: int, length: int = LENGTH) -> np.ndarray:
     return opened & (free > 0)
 
 
-ROUND = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long, sequence_id long, offset long, opened boolean"
+ROUND = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long, sequence_id long, offset long, partition_bound long, partition_sequences long, opened boolean"
 
 
-def _pack_partition(number: int, last: bool, length: int):
+def _pack_partition(number: int, step: str, length: int):
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "tie", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
         sizes = rows["length"].to_numpy()
         where, free = best_fit_decreasing(sizes, length)
-        opened = np.zeros(len(free), bool) if last else to_open(free, lower_bound(sizes, length), length)
+        bound = lower_bound(sizes, length)
+        opened = np.zeros(len(free), bool) if step == "last" else to_open(free, bound, length) if step == "exchange" else emptiest(free)
         order = np.argsort(where, kind="stable")
         ends = np.cumsum(sizes[order])
         first = np.append(True, where[order][1:] != where[order][:-1])
         offset = np.empty(len(sizes), np.int64)
         offset[order] = ends - sizes[order] - np.repeat((ends - sizes[order])[first], np.diff(np.append(np.flatnonzero(first), len(sizes))))
-        return rows.assign(sequence_id=(np.int64(number) << 56) + (np.int64(key[0]) << 32) + where, offset=offset, opened=opened[where])[[x.split()[0] for x in ROUND.split(", ")]]
+        done = rows.assign(sequence_id=(np.int64(number) << 56) + (np.int64(key[0]) << 32) + where, offset=offset, partition_bound=bound, partition_sequences=len(free), opened=opened[where])
+        return done[[x.split()[0] for x in ROUND.split(", ")]]
 
     return pack
 
 
 def pack(rows: DataFrame, *, length: int = LENGTH, per_partition: int = PER_PARTITION) -> DataFrame:
-    """pieces() rows with sequence_id and offset."""
+    """pieces() rows with sequence_id, offset, partition_bound, partition_sequences."""
     # Full pieces are sequences of their own; the rest has a place by hash, the same in every run.
     left = settle(rows.withColumn("tie", F.xxhash64("doc_id", "piece", "ids_crc32")))
-    full = left.where(F.col("length") == length).select(*[c for c in left.columns if c != "tie"], (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    alone = [(F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("partition_bound"), one.alias("partition_sequences")]
+    full = left.where(F.col("length") == length).select(*[c for c in left.columns if c != "tie"], *alone)
     left = left.where(F.col("length") < length)
-    done, n, number = [settle(full)], left.count(), 0
+    done, n, number, step = [settle(full)], left.count(), 0, "exchange"
+    opened_before = None  # sequences that the pool came from
     while n:
         parts = max(1, -(-n // per_partition))
+        step = "last" if parts == 1 else step
         dealt = left.withColumn("part", F.pmod(F.xxhash64("tie", F.lit(number)), F.lit(parts)).cast("int")) if parts > 1 else left.withColumn("part", F.lit(0))
-        packed = settle(dealt.groupBy("part").applyInPandas(_pack_partition(number, parts == 1, length), ROUND))
-        done.append(packed.where("not opened").select(*full.columns))
-        if parts == 1:
+        packed = settle(dealt.groupBy("part").applyInPandas(_pack_partition(number, step, length), ROUND))
+        begins = F.col("offset") == 0  # one piece of each sequence
+        made = packed.agg(F.count_if(begins).alias("all"), F.count_if(begins & F.col("opened")).alias("opened"), F.count_if("opened").alias("pieces")).first()
+        exchanged = step == "exchange" and number + 1 < EXCHANGES and (opened_before is None or (opened_before - made["all"]) * SAVING >= opened_before)
+        if step == "exchange" and not exchanged or step == "gather" and 2 * made["pieces"] > n:
+            # This packing stands; of an exchange only the emptiest sequence of each partition is opened.
+            step = "gather" if step == "exchange" else "last"
+            if step == "gather":
+                packed = _only_emptiest(packed, length)
+                made = packed.agg(F.count_if(begins & F.col("opened")).alias("opened"), F.count_if("opened").alias("pieces")).first()
+        if step == "last":
+            done.append(packed.select(*full.columns))
             break
-        left = packed.where("opened").drop("sequence_id", "offset", "opened")
-        n, before, number = left.count(), n, number + 1
+        done.append(packed.where("not opened").select(*full.columns))
+        left = packed.where("opened").select(*left.columns)
+        n, opened_before, number = made["pieces"], made["opened"], number + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _only_emptiest(packed: DataFrame, length: int) -> DataFrame:
+    """Rows of a round of exchange, with one opened sequence at most for each of its partitions."""
+    part = F.shiftright("sequence_id", 32)
+    used = packed.where("opened").groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < length)
+    chosen = used.groupBy(part.alias("part")).agg(F.min_by("sequence_id", F.struct("used", "sequence_id")).alias("sequence_id"))
+    return settle(packed.drop("opened").join(chosen.select("sequence_id", F.lit(True).alias("opened")), "sequence_id", "left").fillna(False, ["opened"]).select(*packed.columns))
+
+
+def certificate(packed: DataFrame, *, length: int = LENGTH) -> DataFrame:
+    """One row: n_sequences, and the bound below which no packing of all these pieces can go, from their number of each length."""
+    counts = np.zeros(length + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():  # length rows at most
+        counts[r["length"]] = r["count"]
+    return packed.agg(F.countDistinct("sequence_id").alias("n_sequences"), F.lit(bound_of_counts(counts, length)).cast("long").alias("bound"))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bound, partition_sequences."""
     return pack(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, length=length), length=length)

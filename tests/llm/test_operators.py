@@ -403,6 +403,24 @@ def test_rounds_of_repacking(spark):
     assert packing.lower_bound(sizes) <= got["sequence_id"].nunique() <= 1.02 * len(packing.best_fit_decreasing(sizes)[1])
 
 
+LOOSE = {"300/420": lambda r: r.choice([300, 420]), "280/330/460": lambda r: r.choice([280, 330, 460]), "257-511": lambda r: r.randint(257, 511), "200-500": lambda r: r.randint(200, 500), "ones": lambda r: 1}
+
+
+@pytest.mark.parametrize("mix", LOOSE)
+def test_rounds_end_where_bounds_are_loose(spark, mix):
+    r = random.Random(1)
+    rows = [(i, 0, 0, LOOSE[mix](r), i) for i in range(6000)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), per_partition=1200)
+    got, sizes = packed.toPandas(), np.array([x[3] for x in rows])
+    assert sorted(got["doc_id"]) == list(range(6000)) and got.groupby("sequence_id")["length"].sum().max() <= 1024
+    for _, some in got.sort_values("offset").groupby("sequence_id"):
+        assert (some["offset"] == some["length"].cumsum() - some["length"]).all()
+    n = got["sequence_id"].nunique()
+    assert n <= 1.02 * len(packing.best_fit_decreasing(sizes)[1])
+    assert (got["partition_bound"] <= got["partition_sequences"]).all()
+    assert tuple(packing.certificate(packed).first()) == (n, packing.lower_bound(sizes)) and packing.lower_bound(sizes) <= n
+
+
 def test_cuts_and_bounds():
     assert packing.cut(3, 5) == [0] and packing.cut(5, 5) == [0] and packing.cut(11, 5) == [0, 1, 6]
     assert packing.lower_bound(np.array([600] * 10)) == 10 and packing.lower_bound(np.array([342] * 9)) == 5
