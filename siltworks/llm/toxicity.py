@@ -4,9 +4,10 @@ A lexicon transducer turns words into classes (insult, threat, target, negation,
 sentence ends are symbols too. Five small transducers read these symbols, each with a flag that is up while it is active: negation (for
 a few words after a negation, within its clause), reported speech (from a reporting verb to the sentence's end, or between quotes), target
 (a person named shortly before), insult (a target may still follow it) and threat (a threatening verb whose object, unless a determiner begins it, may follow).
-`compose` makes one deterministic machine of them, built arc by arc as needed, and RULES turn its flags into matched events: an insult's
-weight together with whether it is targeted, negated or reported, or a threat. Sums of these events over the clauses of a text,
-not single words, are what the score is made from; negated and reported events never raise it.
+`Machine` composes them to one deterministic machine, built arc by arc as needed, and RULES turn its flags into matched events: an insult's
+weight together with whether it is targeted, negated or reported, or a threat. What raises a score are the matched clauses: the weights, the clauses and the
+words of plain, targeted and threatening events, all with weights of 0 or more. Negated and reported insults have features of their own, with weights of 0 or
+less; they count in no other, so adding such a clause never raises a score.
 
 The lexicon has a fixed part and a part induced from labelled rows: whole words and beginnings of words that occur in a much larger share
 of the toxic documents than of the others. The weights of the events come from a logistic regression on the same rows. Both
@@ -51,13 +52,17 @@ DETERMINERS = ("the", "a", "an", "this", "that", "these", "those", "le", "les",
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, DETERMINER, OTHER, OPEN, CLOSE, BREAK = range(10)
 _CLAUSE = re.compile(r"[.!?;,\n]+")
-_ENDS = re.compile(r"([.!?\n]+|[;,]+)")
+_SENTENCE = re.compile(r"[.!?\n][.!?;,\n]*")
+_PAUSE = re.compile(r"[;,]+")
 _EDGES = "\"'“”„«»()[]{}<>*#$%&|:!?.,;-_/\\"
 _OPENING, _CLOSING = ("\"", "“", "„", "«"), ("\"", "”", "“", "»")
 
 EVENTS = ("plain", "targeted", "negated", "reported", "threat")
-NEVER_RAISE = ("negated", "reported")
+RAISING, NEVER_RAISE = ("plain", "targeted", "threat"), ("negated", "reported")
+#: Of clauses with a raising event: their number, their different words, their share.
 FEATURES = (*EVENTS, "clauses", "distinct", "density")
+#: Words whose class is remembered.
+MEMORY = 500_000
 
 
 class Transducer(NamedTuple):
@@ -68,7 +73,7 @@ class Transducer(NamedTuple):
 
 
 def within_reach(flag: str, opener: int, *ends: int) -> Transducer:
-    """Active for SPAN words after the opener, unless one of the other symbols comes before."""
+    """Active for SPAN words after the opener, unless one of the other symbols or a clause's end comes before."""
 
     def move(state: int, symbol: int) -> int:
         if symbol == opener:
@@ -89,12 +94,17 @@ def _speech(state: int, symbol: int) -> int:
     return max(state, 1) if symbol == REPORT else state
 
 
+def _negation(state: int, symbol: int) -> int:
+    """As within reach of a negation; a negated insult keeps it up for as long as a target may follow the insult."""
+    return SPAN if state and symbol in (INSULT, THREAT) else within_reach("", NEGATION).move(state, symbol)
+
+
 PARTS = (
-    within_reach("negated", NEGATION),
+    Transducer("negated", _negation),
     Transducer("reported", _speech),
     within_reach("target", TARGET),
-    within_reach("insult", INSULT, TARGET),
-    within_reach("threat", THREAT, TARGET, DETERMINER),
+    within_reach("insult", INSULT, TARGET, CLOSE),
+    within_reach("threat", THREAT, TARGET, DETERMINER, CLOSE),
 )
 #: Symbol, flags that must be up, flags that must be down, event. The flags are those before the symbol.
 RULES = (
@@ -135,15 +145,18 @@ class Model:
     center: tuple[float, ...] = (0.0,) * len(FEATURES)
     scale: tuple[float, ...] = (1.0,) * len(FEATURES)
     classes: dict[str, int] = field(init=False, repr=False)
-    stems: frozenset = field(init=False, repr=False)
+    known: set = field(init=False, repr=False, compare=False)
+    hot: set = field(init=False, repr=False, compare=False)
     lengths: tuple[int, ...] = field(init=False, repr=False)
 
     def __post_init__(self):
         self.classes = {w: c for c, words in ((DETERMINER, DETERMINERS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
         self.lengths = tuple(sorted({len(b) for b in self.beginnings}, reverse=True))
-        self.stems = frozenset(x[:3] for x in (*self.whole, *self.beginnings, *THREATS))
+        self.known, self.hot = set(), set()
 
     def insult(self, word: str) -> float | None:
+        if self.classes.get(word, THREAT) != THREAT:
+            return None  # a word of the grammar
         weight = self.whole.get(word)
         if weight is None:
             for n in self.lengths:
@@ -152,41 +165,56 @@ class Model:
                     break
         return weight
 
+    def may_match(self, words: set[str]) -> bool:
+        """Whether an insult or threat is among raw words; classes of words are remembered."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+            self.hot.clear()
+        for raw in words - self.known:
+            word = raw.strip(_EDGES)
+            if self.classes.get(word) == THREAT or self.insult(word) is not None:
+                self.hot.add(raw)
+        self.known |= words
+        return not self.hot.isdisjoint(words)
+
     def features(self, text: str, machine: Machine) -> list[float]:
         text = text.lower().replace("’", "'")
-        stems = self.stems
-        words = _CLAUSE.sub(" ", text).split()  # of all clauses; without a stem no event can be found
-        if not any(w[:3] in stems for w in words) and not any(w.lstrip(_EDGES)[:3] in stems for w in words if w[0] in _EDGES):
+        if not self.may_match(set(_CLAUSE.sub(" ", text).split())):
             return [0.0] * len(FEATURES)
         sums = dict.fromkeys(EVENTS, 0.0)
         matched = clauses = 0
         distinct: set[str] = set()
-        state, held = machine.start, 0.0
-        for i, clause in enumerate(_ENDS.split(text)):
-            if i % 2:  # what ends a clause or, unless it is a comma or semicolon, the sentence
-                state = machine.arc(state, BREAK)[0] if clause[0] in ",;" else machine.start
+        for sentence in _SENTENCE.split(text):
+            parts = [p for c in _PAUSE.split(sentence) if (p := c.split())]
+            clauses += len(parts)
+            if self.hot.isdisjoint(w for words in parts for w in words):
                 continue
-            words = clause.split()
-            clauses += bool(words)
-            hit = False
-            for raw in words:
-                word = raw.strip(_EDGES)
-                if raw[0] in _OPENING and raw != '"':  # a straight quote that stands alone ends speech
-                    state, _ = machine.arc(state, OPEN)
-                weight = self.insult(word) if word[:3] in stems else None
-                symbol = INSULT if weight is not None else self.classes.get(word, OTHER)
-                if weight is not None:
-                    distinct.add(word)
-                    held = weight
-                state, events = machine.arc(state, symbol)
-                for event in events:
-                    hit = True
-                    sums[event] += 1.0 if event == "threat" else held
-                if raw[-1] in _CLOSING:
-                    state, _ = machine.arc(state, CLOSE)
-            matched += hit
+            state, held, said = machine.start, 0.0, ""
+            for number, words in enumerate(parts):
+                if number:
+                    state = machine.arc(state, BREAK)[0]
+                hit = False
+                for raw in words:
+                    word = raw.strip(_EDGES)
+                    if raw[0] in _OPENING and raw != '"':  # a straight quote that stands alone ends speech
+                        state, _ = machine.arc(state, OPEN)
+                    symbol = self.classes.get(word, OTHER)
+                    weight = self.insult(word) if raw in self.hot else None
+                    if weight is not None:
+                        symbol, held, said = INSULT, weight, word
+                    elif symbol == THREAT:
+                        said = word
+                    state, events = machine.arc(state, symbol)
+                    for event in events:
+                        sums[event] += 1.0 if event == "threat" else held
+                        if event in RAISING:
+                            hit = True
+                            distinct.add(said)
+                    if raw[-1] in _CLOSING:
+                        state, _ = machine.arc(state, CLOSE)
+                matched += hit
         found = [math.log1p(max(0.0, sums[e])) for e in EVENTS]
-        return [*found, math.log1p(matched), math.log1p(len(distinct)), matched / clauses if clauses else 0.0]
+        return [*found, math.log1p(matched), math.log1p(len(distinct)), matched / clauses if matched else 0.0]
 
     def score(self, features: list[float]) -> float:
         z = self.bias + sum(w * (x - c) / s for w, x, c, s in zip(self.weights, features, self.center, self.scale, strict=True))
@@ -283,13 +311,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     table = np.column_stack([np.ones(len(y)), (x - center) / scale])
     used = np.ones(table.shape[1], bool)
-    while True:  # an event that must not raise the score counts for nothing where it would
+    may_not_raise = np.array([False, *[f in NEVER_RAISE for f in FEATURES]])
+    while True:  # features of the wrong sign count for nothing
         w = np.zeros(len(used))
         w[used] = _regress(table[:, used], y)
-        raising = [1 + FEATURES.index(e) for e in NEVER_RAISE if w[1 + FEATURES.index(e)] > 0]
-        if not raising:
+        wrong = np.where(may_not_raise, w > 0, w < 0)
+        wrong[0] = False
+        if not wrong.any():
             break
-        used[raising] = False
+        used[wrong] = False
     return Model(model.whole, model.beginnings, float(w[0]), tuple(map(float, w[1:])), tuple(map(float, center)), tuple(map(float, scale)))
 
 
