@@ -330,7 +330,7 @@ def sanitize_path(t):
     return t("part").select("p_partkey", tx.sanitize_path(F.concat(F.lit(". "), F.col("p_name"), F.lit(" : "), F.col("p_type"), F.lit("?"))).alias("path"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, to_base64(encode(substr(text, 1, 30))) AS base64, 'media/' || CASE WHEN lang = 'en' THEN 'images' WHEN lang = 'de' THEN 'videos' ELSE 'other' END || '/' || doc_id AS blob_path FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, to_base64(encode(text)) AS base64, 'media/' || CASE WHEN lang = 'en' THEN 'images' WHEN lang = 'de' THEN 'videos' ELSE 'other' END || '/' || doc_id AS blob_path FROM documents")
 def digests(t):
     kind = F.when(F.col("lang") == "en", "image").when(F.col("lang") == "de", "video")
     return t("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "").alias("base64"), tx.blob_path(F.col("doc_id").cast("string"), kind).alias("blob_path"))
@@ -358,8 +358,8 @@ def _items(t):
     return rows.withColumn("present", there)
 
 
-def _note_sql(head: str, media: str) -> str:
-    return f"SELECT id, md5('---' || chr(10) || {head} || {_FRONT} || chr(10) || chr(10) || body || {_SHOWN}) AS note FROM ({_NOTE_PARTS.format(media=media)})"
+def _note_sql(head: str, media: str, of: str = "md5") -> str:
+    return f"SELECT id, {of}('---' || chr(10) || {head} || {_FRONT} || chr(10) || chr(10) || body || {_SHOWN}) AS note FROM ({_NOTE_PARTS.format(media=media)})"
 
 
 @query(_note_sql("''", f"'![image](' || CASE WHEN {_HERE} THEN 'media/' || o_orderkey || '_' || i ELSE 'https://example.com/' || o_orderkey || '/' || i END || ')'"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import zipfile
 import zlib
 from dataclasses import dataclass
@@ -17,6 +16,7 @@ from siltworks.functions import text as tx
 from siltworks.operators.enrich import media_links
 from siltworks.plans import passes
 from siltworks.plans.passes import Cancelled
+from siltworks.sources import archive
 from siltworks.sources.store import Store
 
 INCLUSIONS = ("none", "link-local", "embed-remote")
@@ -193,36 +193,27 @@ def write_ndjson(lines: DataFrame, folder: str) -> None:
 
 
 def write_single_ndjson(lines: DataFrame, path: str) -> int:
-    """One file in order of id, streamed through the driver partition by partition; gives its size."""
-    size = 0
-    partial = f"{path}.partial"
-    with open(partial, "wb") as f:
-        for row in lines.orderBy("id").toLocalIterator(prefetchPartitions=True):
-            size += f.write((row["line"] + "\n").encode())
-    os.replace(partial, path)
-    return size
+    """One file in order of id, written in parts by tasks; gives its size."""
+    return archive.write_file(lines.select("id", F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("content")), path, order="id").size
 
 
 def write_zip(entry_rows: DataFrame, path: str) -> int:
-    """An archive of stored entries in order of path, all dated 1980-01-01, streamed through the driver; gives its number of entries."""
-    n = 0
-    partial = f"{path}.partial"
-    with zipfile.ZipFile(partial, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
-        for row in entry_rows.orderBy("path").toLocalIterator():
-            info = zipfile.ZipInfo(row["path"], (1980, 1, 1, 0, 0, 0))
-            info.flag_bits |= 0x800
-            archive.writestr(info, bytes(row["content"]))
-            n += 1
-    os.replace(partial, path)
-    return n
+    """An archive of stored entries in order of path, all dated 1980-01-01, written in parts by tasks; gives its number of entries."""
+    return archive.write_archive(entry_rows, path).entries
+
+
+def write_texts(parts: DataFrame, path: str) -> int:
+    """An archive of the texts of parts; the texts of a path are appended in stream order without being gathered in a row."""
+    rows = parts.where("kind = 'text'").select("path", "id", "pos", F.encode("text", "UTF-8").alias("content"))
+    return archive.write_archive(rows, path, order=("id", "pos")).entries
 
 
 def zip_bytes(files: dict[str, bytes]) -> bytes:
     """A small archive in memory, in the same form."""
     buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as archive:
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as packed:
         for name in sorted(files):
-            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), files[name])
+            packed.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), files[name])
     return buffer.getvalue()
 
 
@@ -283,8 +274,7 @@ class Coordinator:
         for key in ("export_progress", "export_request", f"export:{request_id}_cursor", f"export_cancelled:{request_id}"):
             self.store.delete_state(key)
         self.store.remove_folder(self._stage(request_id))
-        if os.path.exists(f"{path}.partial"):
-            os.remove(f"{path}.partial")
+        archive.remove(self.spark, f"{path}.partial")
 
     def _stage(self, request_id: str) -> str:
         return f"{self.store.root}/_exports/{request_id}"
@@ -351,8 +341,7 @@ class Coordinator:
         if target == "json":
             size = write_single_ndjson(parts, path)
         else:
-            write_zip(entries(parts, blobs, direct), path)
-            size = os.path.getsize(path)
+            size = archive.write_archive(entries(parts, blobs, direct), path).size
             there = blobs.select("media_id") if direct is None else blobs.select("media_id").union(direct.select("media_id"))
             media = parts.where("kind = 'binary'").join(there.distinct().withColumn("there", F.lit(True)), "media_id", "left").agg(F.count_if(F.col("there")).alias("i"), F.count_if(F.col("there").isNull()).alias("m")).first()
             included, missing = media["i"], media["m"]

@@ -16,7 +16,7 @@ from siltworks.operators import connector, dedup, enrich, extract, metrics, norm
 from siltworks.plans import export, passes
 from siltworks.plans.catalog import QUERIES, SQL, _items, _note_sql, _HERE, query
 from siltworks.session import shared_folder
-from siltworks.sources import media, sessions
+from siltworks.sources import archive, media, sessions
 from siltworks.sources.store import Store
 
 SITE = "https://www.instagram.com/"
@@ -291,7 +291,8 @@ def session_verdicts(t):
 
 # --- export -----------------------------------------------------------------------------------------------------------------
 
-_MARKDOWN = _note_sql("''", f"'![image](' || CASE WHEN {_HERE} THEN 'media/' || o_orderkey || '_' || i ELSE 'https://example.com/' || o_orderkey || '/' || i END || ')'")
+_LINK = f"'![image](' || CASE WHEN {_HERE} THEN 'media/' || o_orderkey || '_' || i ELSE 'https://example.com/' || o_orderkey || '/' || i END || ')'"
+_MARKDOWN = _note_sql("''", _LINK)
 
 
 @query(f"""SELECT id || '.md' AS path, note AS digest FROM ({_MARKDOWN})
@@ -303,6 +304,31 @@ def archive_entries(t):
     return export.entries(export.markdown_parts(items, "link-local"), blobs).select("path", F.md5("content").alias("digest"))
 
 
+_ENTRIES = f"""SELECT id || '.md' AS path, note AS content FROM ({_note_sql("''", _LINK, "concat")})
+UNION ALL SELECT 'media/' || o_orderkey || '_' || i, 'bytes of ' || o_orderkey || '_' || i FROM orders, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= o_orderkey % 4 AND i % 2 = 1 AND o_orderkey % 6 <> 1"""
+
+
+@query(f"SELECT row_number() OVER (ORDER BY encode(path)) - 1 AS place, path, octet_length(encode(content))::BIGINT AS size, md5(content) AS digest, true AS crc_holds FROM ({_ENTRIES})")
+def zip_export(t):
+    """An archive written by tasks and joined, read back entry by entry."""
+    items = _items(t)
+    spark = items.sparkSession
+    blobs = items.where("cast(id AS BIGINT) % 6 <> 1").select(F.explode("media.id").alias("media_id")).withColumn("content", _text("bytes of ", F.col("media_id")).cast("binary"))
+    target = f"{shared_folder(spark)}/{uuid.uuid4().hex}.zip"
+    archive.write_archive(export.entries(export.markdown_parts(items, "link-local"), blobs), target)
+    found = archive.read_archive(spark, target)
+    return found.select("place", "path", "size", F.md5("content").alias("digest"), (F.crc32("content") == F.col("crc32")).alias("crc_holds"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY encode(o_orderpriority)) - 1)::BIGINT AS place, o_orderpriority AS path, md5(string_agg(o_orderkey || ';', '' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY o_orderpriority")
+def appended_texts(t):
+    """Texts of one path, appended in order to one entry of an archive."""
+    rows = t("orders").select(F.lit("text").alias("kind"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("id"), F.lit(0).alias("pos"), F.concat(_key(), F.lit(";")).alias("text"))
+    target = f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}.zip"
+    export.write_texts(rows, target)
+    return archive.read_archive(rows.sparkSession, target).select("place", "path", F.md5("content").alias("digest"))
+
+
 @query("SELECT 'json' AS target, '2' AS last_exported_at, 'r2' AS last_request_id, (SELECT count(*) FROM orders) AS resources_exported_total, 2::BIGINT AS export_count, '1' AS created_at, '2' AS updated_at")
 def export_manifest(t):
     orders = t("orders")
