@@ -16,7 +16,7 @@ from siltworks.operators import connector, dedup, enrich, extract, metrics, norm
 from siltworks.plans import export, passes
 from siltworks.plans.catalog import QUERIES, SQL, _items, _note_sql, _HERE, query
 from siltworks.session import shared_folder
-from siltworks.sources import archive, media, sessions
+from siltworks.sources import archive, blobs, media, sessions
 from siltworks.sources.store import Store
 
 SITE = "https://www.instagram.com/"
@@ -329,6 +329,21 @@ def appended_texts(t):
     return archive.read_archive(rows.sparkSession, target).select("place", "path", F.md5("content").alias("digest"))
 
 
+@query("""SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 3 = 0 THEN 'video' ELSE 'image' END AS type, octet_length(encode(x))::BIGINT AS size_bytes, sha256(x) AS hash, '1' AS created_at, CASE WHEN c_custkey % 3 = 0 THEN '2' ELSE '1' END AS last_access, md5(x) AS digest, true AS ok, 0::BIGINT AS removed
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new ' ELSE 'old ' END || c_name AS x FROM customer WHERE c_custkey % 5 <> 0)""")
+def stored_blobs(t):
+    """Bytes put into a folder, a third of them overwritten as another kind, a fifth deleted; then read, verified and cleaned."""
+    people = t("customer")
+    store = blobs.BlobStore(people.sparkSession, f"{shared_folder(people.sparkSession)}/{uuid.uuid4().hex}")
+    new = lambda kind, word: people.select(F.col("c_custkey").cast("string").alias("id"), F.lit(kind).alias("type"), F.lit("x/y").alias("mime_type"), _text(word, F.col("c_name")).cast("binary").alias("content"), F.lit(None).cast("string").alias("source"))
+    store.put(new("image", "old "), "1")
+    store.put(new("video", "new ").where("cast(id AS BIGINT) % 3 = 0"), "2")
+    store.delete(people.where("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("id")))
+    removed = store.clean().select(F.expr("orphan_metadata_removed + orphan_blobs_removed + tmp_removed").alias("removed"))
+    stored = store.metadata().join(store.get(people.select(F.col("c_custkey").cast("string").alias("id"))), "id").join(store.verify(), "id")
+    return stored.join(F.broadcast(removed)).select("id", "type", "size_bytes", "hash", "created_at", "last_access", F.md5("content").alias("digest"), "ok", "removed")
+
+
 @query("SELECT 'json' AS target, '2' AS last_exported_at, 'r2' AS last_request_id, (SELECT count(*) FROM orders) AS resources_exported_total, 2::BIGINT AS export_count, '1' AS created_at, '2' AS updated_at")
 def export_manifest(t):
     orders = t("orders")
