@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siltworks.operators.metrics import COUNTERS
 from siltworks.operators.scheduler import BASE_DELAY_MS, MAX_ATTEMPTS
@@ -60,30 +61,119 @@ def step(state: tuple | None, event: str, at: int, *, base: int = BASE_DELAY_MS,
     return (event, state[1], state[2])
 
 
-def task_machine(stream: DataFrame, *, base: int = BASE_DELAY_MS, max_attempts: int = MAX_ATTEMPTS, timers: bool = True) -> DataFrame:
-    """Tasks by address from events (target_uri, event, at, seq): a row per address and micro-batch, and one when a retry falls due.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Only the last micro-batch's events of one address are held together; they are few, whatever the stream's length.
-    """
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            if now is not None:
-                yield pd.DataFrame([(key[0], now[0], now[1], now[2], "retry_due")], columns=["target_uri", "state", "attempts", "next_retry_at", "cause"])
-            return
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        for event, at in zip(rows["event"], rows["at"], strict=True):
-            now = step(now, event, int(at), base=base, max_attempts=max_attempts)
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State with timers needs this store; the setting counts for streams that are started afterwards. Its class has moved between versions of Spark."""
+    moved = ROCKSDB.replace("state.", "operators.stateful.state.")
+    for name in (ROCKSDB, moved):
+        try:
+            spark._jvm.java.lang.Class.forName(name, False, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        except Exception:  # noqa: S112 not under this name
+            continue
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", name)
+        return
+
+
+def with_heartbeat(stream: DataFrame) -> DataFrame:
+    """stream with a source that brings no rows but new offsets every second, so that micro-batches run and timers fire while nothing comes, after a restart too."""
+    beats = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0")
+    return stream.unionByName(beats.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]))
+
+
+def _frame(rows: list[tuple], ddl: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ddl.split(", ")])
+
+
+class TaskProcessor(StatefulProcessor):
+    """The state of one address: a value, and a timer for when its retry is due. Of a micro-batch's events only (at, seq, event) are held, to be sorted."""
+
+    def __init__(self, base: int, max_attempts: int, timers: bool):
+        self.base, self.max_attempts, self.timers = base, max_attempts, timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.value = handle, handle.getValueState("task", TASK_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = now = tuple(self.value.get()) if self.value.exists() else None
+        events = sorted((int(at), int(seq), event) for frame in rows for at, seq, event in zip(frame["at"], frame["seq"], frame["event"], strict=True))
+        for at, _, event in events:
+            now = step(now, event, at, base=self.base, max_attempts=self.max_attempts)
         if now is None:
             return
-        state.update(now)
-        if timers and now[0] == "queued" and now[2]:
-            state.setTimeoutDuration(max(1, int(now[2] - state.getCurrentProcessingTimeMs())))
-        yield pd.DataFrame([(key[0], *now, "event")], columns=["target_uri", "state", "attempts", "next_retry_at", "cause"])
+        self.value.update(now)
+        if self.timers and now != before:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            if now[0] == "queued" and now[2]:
+                self.handle.registerTimer(max(now[2], timerValues.getCurrentProcessingTimeInMs() + 1))
+        yield _frame([(key[0], *now, "event")], TASK_OUT)
 
-    keyed = stream.select("target_uri", "event", F.col("at").cast("long"), F.col("seq").cast("long")).groupBy("target_uri")
-    return keyed.applyInPandasWithState(advance, TASK_OUT, TASK_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.value.exists():
+            yield _frame([(key[0], *self.value.get(), "retry_due")], TASK_OUT)
+
+    def close(self) -> None:
+        pass
+
+
+def task_machine(stream: DataFrame, *, base: int = BASE_DELAY_MS, max_attempts: int = MAX_ATTEMPTS, timers: bool = True) -> DataFrame:
+    """Tasks by address from events (target_uri, event, at, seq): a row per address and micro-batch, and one when a retry falls due. Timers live in the
+    checkpoint, so they fire after a restart too."""
+    keep_state_in_rocksdb(stream.sparkSession)
+    events = stream.select("target_uri", "event", F.col("at").cast("long"), F.col("seq").cast("long"))
+    keyed = (with_heartbeat(events) if timers else events).groupBy("target_uri")
+    return keyed.transformWithStateInPandas(TaskProcessor(base, max_attempts, timers), TASK_OUT, "Update", "ProcessingTime" if timers else "None")
+
+
+SILENCE_OUT = "session_id STRING, action STRING, empty_scrolls INT, at BIGINT"
+#: Milliseconds between looks at a session, and for which discovery may report after a start or scroll; scrolls without new work that end a session.
+TICK_MS, SETTLE_MS, MAX_EMPTY_SCROLLS = 800, 1500, 3
+
+
+class SilenceProcessor(StatefulProcessor):
+    """One session. New work starts the count of empty scrolls again; a timer looks at the session every tick: while discovery may still report it waits,
+    after as many empty scrolls as may be it finishes the session, else it asks for a scroll, counts it and opens a new time for discovery."""
+
+    def __init__(self, tick: int, settle: int, limit: int):
+        self.tick, self.settle, self.limit = tick, settle, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.value = handle, handle.getValueState("session", "empty_scrolls INT, opportunity BIGINT, finished BOOLEAN")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        known = self.value.exists()
+        empty, opportunity, finished = self.value.get() if known else (0, now, False)
+        found = any(frame["found"].any() for frame in rows)
+        if not known:
+            self.handle.registerTimer(now + self.tick)
+        self.value.update((0 if found and not finished else empty, opportunity, finished))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        empty, opportunity, finished = self.value.get()
+        action = None
+        if not finished and now - opportunity >= self.settle:
+            finished = empty >= self.limit
+            action, empty, opportunity = ("finished", empty, opportunity) if finished else ("scroll", empty + 1, now)
+        self.value.update((empty, opportunity, finished))
+        if not finished:
+            self.handle.registerTimer(now + self.tick)
+        if action:
+            yield _frame([(key[0], action, empty, now)], SILENCE_OUT)
+
+    def close(self) -> None:
+        pass
+
+
+def silence_machine(stream: DataFrame, *, tick: int = TICK_MS, settle: int = SETTLE_MS, limit: int = MAX_EMPTY_SCROLLS) -> DataFrame:
+    """What is to be done with sessions, from discoveries (session_id, found: whether there was new work): scrolls, and the end of a session, which comes by silence alone."""
+    keep_state_in_rocksdb(stream.sparkSession)
+    keyed = with_heartbeat(stream.select("session_id", F.coalesce("found", F.lit(False)).alias("found"))).groupBy("session_id")
+    return keyed.transformWithStateInPandas(SilenceProcessor(tick, settle, limit), SILENCE_OUT, "Update", "ProcessingTime")
 
 
 IDLE_OUT = "session_id STRING, empty_scrolls INT, finished BOOLEAN"

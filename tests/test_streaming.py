@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from siltworks.streaming import pipelines
@@ -56,3 +58,37 @@ def test_idle_sessions(spark, tmp_path):
     write(spark, folder, [("a", 0, False), ("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 0, False), ("b", 1, False), ("b", 2, False), ("b", 3, True)], ddl)
     got = pipelines.run_available(pipelines.idle_machine(pipelines.read_stream(spark, folder, ddl)), "t_idle", mode="update")
     assert {r["session_id"]: (r["empty_scrolls"], r["finished"]) for r in got.collect()} == {"a": (1, False), "b": (0, True)}
+
+
+def collecting(stream, rows, checkpoint, until, seconds=90):
+    """Runs a stream until the rows that it has put out are enough."""
+    query = pipelines.micro_batches(stream, lambda batch, _: rows.extend(map(tuple, batch.collect())), checkpoint, delay_ms=100, mode="update")
+    end = time.time() + seconds
+    try:
+        while not until(rows) and time.time() < end and query.isActive:
+            time.sleep(0.1)
+        assert until(rows), (rows, query.exception())
+    finally:
+        query.stop()
+
+
+def test_retry_timers_fire_after_a_restart(spark, tmp_path):
+    folder, checkpoint, rows = str(tmp_path / "in"), str(tmp_path / "checkpoint"), []
+    at = int(time.time() * 1000)
+    write(spark, folder, [("u", "enqueue", at, 0), ("u", "failed", at, 1), ("w", "enqueue", at, 0), ("w", "failed", at, 1), ("w", "completed", at, 2)])
+    machine = lambda: pipelines.task_machine(pipelines.read_stream(spark, folder, EVENT), base=15_000)
+    collecting(machine(), rows, checkpoint, lambda x: len(x) == 2)
+    assert sorted(rows) == [("u", "queued", 1, at + 15_000, "event"), ("w", "completed", 1, at + 15_000, "event")]
+    collecting(machine(), rows, checkpoint, lambda x: len(x) > 2)
+    assert rows[2:] == [("u", "queued", 1, at + 15_000, "retry_due")] and int(time.time() * 1000) >= at + 15_000
+
+
+def test_sessions_end_by_silence(spark, tmp_path):
+    folder, rows, ddl = str(tmp_path / "in"), [], "session_id STRING, found BOOLEAN"
+    write(spark, folder, [("a", True), ("a", None), ("b", False)], ddl)
+    machine = pipelines.silence_machine(pipelines.read_stream(spark, folder, ddl), tick=200, settle=400)
+    collecting(machine, rows, str(tmp_path / "checkpoint"), lambda x: sum(r[1] == "finished" for r in x) == 2)
+    for session in "ab":
+        said = [r[1:] for r in rows if r[0] == session]
+        assert [x[:2] for x in said] == [("scroll", 1), ("scroll", 2), ("scroll", 3), ("finished", 3)]
+        assert all(later[2] - sooner[2] >= 400 for sooner, later in zip(said, said[1:], strict=False))
