@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.session import settle
+
 from siltworks import schema
 from siltworks.functions.text import djb2, given
 
@@ -84,13 +86,40 @@ def adjacency(resources: DataFrame) -> DataFrame:
     return roots.unionByName(kids.select("parent_id", "child_pos", F.lit(1).alias("depth"), *[F.col(f"child.{c}").alias(c) for c in own]))
 
 
+class Cycle(ValueError):
+    """Parents that lead back to where they began."""
+
+
 def descendants(edges: DataFrame) -> DataFrame:
-    """id, ancestor, depth of all ancestors of each row of an adjacency table (id, parent_id), as deep as Spark's limits for recursion
-    (spark.sql.cteRecursionLevelLimit and cteRecursionRowLimit, which raise an error when they are passed) allow."""
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE up(id, ancestor, depth) AS (
-             SELECT id, parent_id, 1 FROM {edges} WHERE parent_id IS NOT NULL
-             UNION ALL SELECT up.id, e.parent_id, up.depth + 1 FROM up JOIN {edges} e ON e.id = up.ancestor WHERE e.parent_id IS NOT NULL)
-           SELECT * FROM up""",
-        edges=edges.select("id", "parent_id"),
-    )
+    """id, ancestor, depth of all ancestors of each row of an adjacency table (id, parent_id), by doubling.
+
+    Once the ancestors up to n steps away are known, those of the n-th ancestors are the ones up to 2n, so a tree takes as many rounds as
+    the logarithm of its depth. In a tree no row is as deep as there are rows; where one is, Cycle is raised.
+    """
+    step = settle(edges.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")))
+    found, reach, n = step, 1, edges.count()
+    while True:
+        ends = found.where(F.col("depth") == reach).select("id", F.col("ancestor").alias("_at"))
+        onward = found.select(F.col("id").alias("_at"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        more = settle(ends.join(onward, "_at").select("id", "ancestor", "depth"))
+        if more.limit(1).count() == 0:
+            return found
+        if reach >= n:
+            raise Cycle("parents form a cycle")
+        found, reach = settle(found.unionByName(more)), 2 * reach
+
+
+def tops(edges: DataFrame) -> DataFrame:
+    """id, top, depth of each row of an adjacency table (id, parent_id): its last ancestor and how far it is; by pointer doubling, so that
+    deep chains take few rounds and one row each. A parent without a row of its own is a top. Cycle is raised where parents lead in a circle."""
+    inner = edges.where("parent_id is not null").select(F.col("id").alias("parent_id"), F.lit(False).alias("last"))
+    state = edges.join(inner.distinct(), "parent_id", "left").select("id", F.coalesce("parent_id", "id").alias("top"), F.col("parent_id").isNotNull().cast("long").alias("depth"), F.coalesce("last", F.lit(True)).alias("last"))
+    state, rounds = settle(state), max(1, edges.count()).bit_length() + 1
+    for _ in range(rounds):
+        open_rows = state.where("not last")
+        if open_rows.limit(1).count() == 0:
+            return state.drop("last")
+        onward = state.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_more"), F.col("last").alias("_last"))
+        moved = open_rows.join(onward, "top").select("id", F.col("_top").alias("top"), (F.col("depth") + F.col("_more")).alias("depth"), F.col("_last").alias("last"))
+        state = settle(state.where("last").unionByName(moved))
+    raise Cycle("parents form a cycle")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks import schema
@@ -87,6 +87,13 @@ def all_ancestors(t):
     return normalize.descendants(edges)
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent_id FROM orders),
+up(id, top, depth) AS (SELECT id, id, 0::BIGINT FROM o WHERE parent_id IS NULL UNION ALL SELECT o.id, up.top, up.depth + 1 FROM up JOIN o ON o.parent_id = up.id) SELECT * FROM up""")
+def order_chains(t):
+    """Each customer's orders as a chain; the first and the distance from it."""
+    return normalize.tops(t("orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("parent_id")))
+
+
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Q' || o_orderkey WHEN 1 THEN 'r_-' || o_orderkey ELSE '' END AS external_id, CASE WHEN o_orderkey % 3 < 2 OR o_orderkey % 2 = 0 THEN 'instagram' END AS provider, o_orderkey % 3 < 2 AS on_surface FROM orders")
 def routed_addresses(t):
     host = F.when(F.col("o_orderkey") % 2 == 0, "https://www.instagram.com").otherwise("https://example.org")
