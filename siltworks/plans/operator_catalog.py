@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltworks import schema
 from siltworks.functions import text as tx
-from siltworks.operators import connector, dedup, enrich, extract, metrics, normalize, ranges, scheduler
+from siltworks.operators import connector, dedup, enrich, extract, matching, metrics, normalize, ranges, scheduler
 from siltworks.plans import export, passes
 from siltworks.plans.catalog import QUERIES, SQL, _items, _note_sql, _HERE, query
 from siltworks.session import shared_folder
@@ -78,6 +78,26 @@ def discover_posts(t):
     return extract.discover(_pages(t)).select("page_id", "target_uri", "author_handle", "media_count")
 
 
+_PAGE_LINKS = """SELECT page_id, unnest(range(len(hs))) AS pos, unnest(hs) AS h, origin FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs, regexp_extract(url, '^[a-z]+://[^/]+') AS origin FROM pages)"""
+
+
+@query(f"""WITH l AS ({_PAGE_LINKS}), w AS (SELECT DISTINCT page_id + 1 AS page_id, origin || h AS uri, h AS path FROM l)
+SELECT w.page_id, w.uri, min(l.pos)::INT AS pos, arg_min(l.origin || l.h, l.pos) AS href FROM w LEFT JOIN l ON l.page_id = w.page_id AND contains(l.origin || l.h, w.path) GROUP BY ALL""")
+def linked_addresses(t):
+    """The links of each page as wanted addresses on the next page."""
+    found = matching.places(t("pages"), "link")
+    return matching.first_match(found, found.select((F.col("page_id") + 1).alias("page_id"), F.col("href").alias("uri")))
+
+
+@query(f"""WITH l AS ({_PAGE_LINKS}), w AS (SELECT DISTINCT 'https://wanted.example' || h AS uri, h AS path FROM l UNION ALL SELECT 'https://wanted.example', '/')
+SELECT w.uri, min(struct_pack(a := l.page_id, b := l.pos)).a AS page_id, min(struct_pack(a := l.page_id, b := l.pos)).b::INT AS pos FROM w LEFT JOIN l ON contains(l.origin || l.h, w.path) GROUP BY ALL""")
+def first_linking_page(t):
+    """For each path that some page links to, and the root, the first link of all pages whose address holds it."""
+    found = matching.places(t("pages"), "link")
+    wanted = found.select(F.concat(F.lit("https://wanted.example"), tx.path_of(F.col("href"))).alias("uri")).unionByName(found.limit(1).select(F.lit("https://wanted.example").alias("uri")))
+    return matching.first_match(found, wanted, by=(), order=("page_id", "pos")).select("uri", "page_id", "pos")
+
+
 @query("""WITH RECURSIVE up(id, ancestor, depth) AS (SELECT o_orderkey, o_orderkey // 2, 1 FROM orders WHERE o_orderkey > 1 AND o_orderkey // 2 IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT up.id, ancestor // 2, depth + 1 FROM up WHERE ancestor > 1 AND ancestor // 2 IN (SELECT o_orderkey FROM orders)) SELECT id, ancestor, depth FROM up""")
 def all_ancestors(t):
@@ -143,6 +163,24 @@ QUERIES["stored_row"] = stored_row
 SQL["stored_row"] = "SELECT o_orderkey::VARCHAR AS id, 'queued' AS state, o_orderkey AS seq, (SELECT count(*) FROM orders) AS n_rows FROM orders WHERE o_orderkey = 7"
 
 
+@query("SELECT when_read, o_orderkey::VARCHAR AS target_uri, -(o_orderkey % 5)::INT AS priority, 'c' || o_custkey || ':' || (o_orderkey % 5) AS owner, 'queued' AS state FROM orders, (SELECT unnest(['before', 'after']) AS when_read)")
+def migrated_rows(t):
+    """Tasks written two schema versions ago, as they are read before and after the store is migrated."""
+    orders = t("orders")
+    old = "target_uri STRING, rank STRING, who BIGINT, state STRING"
+    new = "target_uri STRING, priority INT, owner STRING, state STRING"
+    steps = {
+        3: schema.Step("numbers for ranks", {"tasks": {"priority": "cast(rank AS INT)", "rank": None}}),
+        4: schema.Step("higher is sooner, owners", {"tasks": {"priority": "-priority", "owner": "concat('c', who, ':', priority)", "who": None}}),
+    }
+    root = f"{shared_folder(orders.sparkSession)}/store-{uuid.uuid4().hex}"
+    Store(orders.sparkSession, root, tables={**schema.TABLES, "tasks": old}).commit("tasks", orders.select(_key().alias("target_uri"), (F.col("o_orderkey") % 5).cast("string").alias("rank"), F.col("o_custkey").alias("who"), F.lit("queued").alias("state")))
+    store = Store(orders.sparkSession, root, tables={**schema.TABLES, "tasks": new}, steps={**schema.MIGRATIONS, **steps})
+    before = store.read("tasks").select(F.lit("before").alias("when_read"), "*")
+    store.migrate()
+    return before.unionByName(store.read("tasks").select(F.lit("after").alias("when_read"), "*"))
+
+
 # --- media ------------------------------------------------------------------------------------------------------------------
 
 

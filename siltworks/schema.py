@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import types as T
 
 STATES = ("discovered", "extracted", "persisted", "hydrated", "enriched", "exported")
@@ -43,6 +45,16 @@ TABLES = {
 #: The key column of each table.
 KEYS = {"resources": "id", "media_metadata": "id", "tasks": "target_uri", "sessions": "id", "diagnostics": "session_id", "control_state": "key", "export_manifest": "target"}
 
-#: Version: what it added. Versions are only ever appended.
-MIGRATIONS = {1: "tables", 2: "state as a partition of resources"}
+
+class Step(NamedTuple):
+    """What a version changed: per table, columns as SQL over the columns of the version before (null: dropped)."""
+
+    says: str
+    columns: dict[str, dict[str, str | None]] = {}
+
+
+#: Steps by version. Versions are only ever appended.
+MIGRATIONS = {1: Step("tables"), 2: Step("state as a partition of resources")}
 SCHEMA_VERSION = max(MIGRATIONS)
+#: The version of snapshots whose names do not say it.
+UNNAMED_VERSION = 2

@@ -9,6 +9,7 @@ store that Spark reads and that can create a file only if it is not there will d
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -76,11 +77,31 @@ class Conflict(RuntimeError):
     """Another writer has committed first."""
 
 
+class NewerSchema(RuntimeError):
+    """A snapshot was written by a version of the schema that this one does not know."""
+
+
+def climb(df: DataFrame, table: str, version: int, steps: dict[int, schema.Step]) -> DataFrame:
+    """Rows of a table as they were written at a version, brought up by all later steps in order. Each step's columns are computed together from
+    those of the step before; a table that a step does not name stays as it is."""
+    for number in sorted(n for n in steps if n > version):
+        changes = steps[number].columns.get(table, {})
+        added = {c: F.expr(x) for c, x in changes.items() if x is not None}
+        df = df.withColumns(added).drop(*[c for c, x in changes.items() if x is None]) if changes else df
+    return df
+
+
 class Store:
-    """Tables by name under one folder."""
+    """Tables by name under one folder.
+
+    A snapshot's name tells the schema version that it was written with. Older ones are brought up by the later steps when they are read, in
+    the plan of the reading query; migrate() rewrites them. `tables` and `steps` are the schema's own unless given.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, *, tables: dict[str, str] | None = None, steps: dict[int, schema.Step] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.tables, self.steps = schema.TABLES if tables is None else tables, schema.MIGRATIONS if steps is None else steps
+        self.schema_version = max(self.steps)
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._records: dict[int, dict[str, str]] = {}
@@ -119,15 +140,25 @@ class Store:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """All rows of a table, as it is now or was at a version."""
         _, name = self._current(table, version)
-        wanted = schema.struct(schema.TABLES[table]) if table in schema.TABLES else None
+        wanted = schema.struct(self.tables[table]) if table in self.tables else None
         if name is None:
             if wanted is None:
                 raise KeyError(table)
             return self.spark.createDataFrame([], wanted)
-        reader = self.spark.read
+        reader, written_at = self.spark.read, self._written_at(name)
+        if written_at > self.schema_version:
+            raise NewerSchema(f"{table} is of version {written_at}")
+        if any(table in s.columns for n, s in self.steps.items() if n > written_at):
+            df = climb(reader.parquet(f"{self.root}/{table}/{name}"), table, written_at, self.steps)
+            return df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]) if wanted is not None else df
         df = (reader.schema(wanted) if wanted is not None else reader).parquet(f"{self.root}/{table}/{name}")
         return df.select(*wanted.names) if wanted is not None else df
 
+    @staticmethod
+    def _written_at(name: str) -> int:
+        told = re.match(r"snapshot-\d+-s(\d+)-", name)
+        return int(told[1]) if told else schema.UNNAMED_VERSION
+
     def commit(self, table: str, df: DataFrame, *, base: int | None = None, partition_by: tuple[str, ...] | None = None) -> int:
         """Writes df as the table's next snapshot and makes it current; base is the version that df was made from."""
         return self.commit_all({table: df}, base=base, partition_by=partition_by)
@@ -137,7 +168,7 @@ class Store:
         base = self.latest_number() if base is None else base
         names = {}
         for table, df in tables.items():
-            names[table] = f"snapshot-{base + 1:09d}-{uuid.uuid4().hex}"
+            names[table] = f"snapshot-{base + 1:09d}-s{self.schema_version}-{uuid.uuid4().hex}"
             by = partition_by if partition_by is not None else (("state",) if table == "resources" else ())
             writer = df.write.mode("errorifexists")
             (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{table}/{names[table]}")
@@ -208,15 +239,26 @@ class Store:
         return self.remove("control_state", self.spark.createDataFrame([(key,)], "key STRING"))
 
     def migrate(self) -> int:
-        """Brings the store to the newest schema version, step by step; done steps are not repeated."""
+        """Rewrites the tables that a later step has changed and notes the newest version, all in one commit; what is done is not repeated.
+
+        A store that another writer changes meanwhile is left as it is, with Conflict; one that stops half-way keeps its old version and rows.
+        """
+        base = self.latest_number()
         at = int(self.get_state("schema_version") or 0)
-        for number in sorted(schema.MIGRATIONS):
-            if number > at:
-                if number == 2 and self.version("resources"):
-                    base = self.latest_number()
-                    self.commit("resources", self.read("resources", base), base=base, partition_by=("state",))
-                self.put_state("schema_version", str(number))
-        return schema.SCHEMA_VERSION
+        if at >= self.schema_version:
+            return at
+        after = {}
+        for table in self.tables:
+            name = self._current(table, base)[1]
+            if name is None:
+                continue
+            changed = any(table in s.columns for n, s in self.steps.items() if n > self._written_at(name))
+            if changed or (table == "resources" and at < 2):  # step 2 changed where its rows lie
+                after[table] = self.read(table, base)
+        version = self.spark.createDataFrame([("schema_version", str(self.schema_version))], schema.CONTROL_STATE)
+        after["control_state"] = upsert(self.read("control_state", base), version, "key")
+        self.commit_all(after, base=base)
+        return self.schema_version
 
     def move_legacy_state(self, legacy: dict[str, str | None]) -> list[str]:
         """Copies old control values that are not in the store yet; gives the keys that may now be deleted at their old place."""
@@ -276,10 +318,11 @@ class Transaction:
         self._check()
         self.open, after = False, {}
         for table, steps in self.buffer.items():
-            key, names = schema.KEYS[table], schema.struct(schema.TABLES[table]).names
+            key, ddl = schema.KEYS[table], schema.struct(self.store.tables[table])
+            names = ddl.names
             operations = None
             for seq, (kind, rows) in enumerate(steps):
-                row = F.struct(*[F.col(c) for c in names]) if kind == "put" else F.lit(None).cast(schema.struct(schema.TABLES[table]))
+                row = F.struct(*[F.col(c) for c in names]) if kind == "put" else F.lit(None).cast(ddl)
                 step = rows.select(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.col(key), row.alias("row"))
                 operations = step if operations is None else operations.unionByName(step)
             after[table] = apply_operations(self.store.read(table, self.base), operations, key)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from siltworks import schema
 from siltworks.sources import media
-from siltworks.sources.store import Conflict, Store, delete, page, query_page, upsert
+from siltworks.sources.store import Conflict, NewerSchema, Store, delete, page, query_page, upsert
 
 TASK = schema.TASK
 
@@ -144,6 +144,61 @@ def test_control_state_sessions_and_migration(spark, store):
     assert "s1" in store.get_state("current_session") and store.count("sessions") == 1
 
 
+OLD = {**schema.TABLES, "tasks": "target_uri STRING, rank STRING, state STRING"}
+NEW = {**schema.TABLES, "tasks": "target_uri STRING, priority INT, host STRING, state STRING"}
+STEPS = {
+    **schema.MIGRATIONS,
+    3: schema.Step("numbers for ranks", {"tasks": {"priority": "cast(rank AS INT)", "rank": None}}),
+    4: schema.Step("hosts, higher is sooner", {"tasks": {"priority": "-priority", "host": "concat(parse_url(target_uri, 'HOST'), ':', priority)"}}),
+}
+
+
+def steps(upto):
+    return {n: s for n, s in STEPS.items() if n <= upto}
+
+
+def test_migrations_change_rows_in_order_and_once(spark, tmp_path):
+    root = str(tmp_path)
+    old = Store(spark, root, tables=OLD)
+    old.migrate()
+    old.commit("tasks", spark.createDataFrame([("https://a/1", "7", "queued"), ("https://b/2", None, "failed")], OLD["tasks"]))
+    old.commit("events", spark.range(2))
+    new = Store(spark, root, tables=NEW, steps=STEPS)
+    wanted = [("https://a/1", -7, "a:7", "queued"), ("https://b/2", None, None, "failed")]
+    rows = lambda: [tuple(r) for r in new.read("tasks").orderBy("target_uri").collect()]
+    assert rows() == wanted and new.get_state("schema_version") == "2"  # two versions behind: brought up by the reading query
+    before = new.latest_number()
+    assert new.migrate() == 4 and rows() == wanted and new.get_state("schema_version") == "4"
+    assert new.latest_number() == before + 1 and new.migrate() == 4 and new.latest_number() == before + 1
+    assert new.read("events").count() == 2 and new.version("events") < new.version("tasks")
+    assert [r["target_uri"] for r in new.read("tasks", before).where("priority = -7").collect()] == ["https://a/1"]  # an old snapshot stays readable
+    with pytest.raises(NewerSchema):
+        old.read("tasks")
+
+
+def test_upsert_and_transaction_on_an_older_snapshot(spark, tmp_path):
+    Store(spark, str(tmp_path), tables=OLD).commit("tasks", spark.createDataFrame([("https://a/1", "7", "queued"), ("https://b/2", "1", "failed")], OLD["tasks"]))
+    new = Store(spark, str(tmp_path), tables=NEW, steps=STEPS)
+    new.save("tasks", spark.createDataFrame([("https://b/2", 9, "b", "queued")], NEW["tasks"]))
+    change = new.transaction()
+    change.delete("tasks", spark.createDataFrame([("https://a/1",)], "target_uri STRING"))
+    change.commit()
+    assert [tuple(r) for r in new.read("tasks").collect()] == [("https://b/2", 9, "b", "queued")]
+
+
+def test_a_migration_loses_against_another_writer(spark, tmp_path, monkeypatch):
+    old = Store(spark, str(tmp_path), tables=OLD)
+    old.commit("tasks", spark.createDataFrame([("https://a/1", "7", "queued")], OLD["tasks"]))
+    middle, new = Store(spark, str(tmp_path), tables={**NEW, "tasks": "target_uri STRING, priority INT, state STRING"}, steps=steps(3)), Store(spark, str(tmp_path), tables=NEW, steps=STEPS)
+    at = new.latest_number()
+    middle.migrate()
+    monkeypatch.setattr(new, "latest_number", lambda: at)
+    with pytest.raises(Conflict):
+        new.migrate()
+    monkeypatch.undo()
+    assert new.migrate() == 4 and new.read("tasks").first()["priority"] == -7
+
+
 def blobs(spark, *rows):
     return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
 
