@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks import schema
+from siltworks.operators import fetching
 
 OUTCOMES = ("skipped", "failed", "missing", "ready")
 
@@ -90,22 +91,9 @@ def capture_plan(resources: DataFrame) -> DataFrame:
     return rows.withColumn("deferred", ~fetchable(F.col("source_uri"), F.col("type")))
 
 
-def fetch(plan: DataFrame, transport: Callable[[str], bytes]) -> DataFrame:
+def fetch(plan: DataFrame, transport: fetching.Transport, *, max_bytes: int = MAX_BYTES, per_host: int = 4) -> DataFrame:
     """Bytes of the planned media, by a transport that runs on the executors: ... content, error. One failure does not end the others."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            content, errors = [], []
-            for uri in batch["source_uri"]:
-                try:
-                    got, error = transport(uri), None
-                except Exception as e:  # noqa: BLE001 recorded per item
-                    got, error = None, str(e) or type(e).__name__
-                content.append(got)
-                errors.append(error)
-            yield pd.DataFrame({"resource_id": batch["resource_id"], "node_id": batch["node_id"], "media_id": batch["media_id"], "content": content, "error": errors})
-
-    return plan.where("NOT deferred").select("resource_id", "node_id", "media_id", "source_uri").mapInPandas(rows, "resource_id STRING, node_id STRING, media_id STRING, content BINARY, error STRING")
+    return fetching.fetch(plan, transport, max_bytes=max_bytes, per_host=per_host)
 
 
 def hydrate(resources: DataFrame, fetched: DataFrame, *, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from siltworks.plans.catalog import QUERIES, SQL, _items, _note_sql, _HERE, quer
 from siltworks.session import shared_folder
 from siltworks.sources import archive, blobs, media, sessions
 from siltworks.sources.store import Store
+from siltworks.streaming import pipelines
 
 SITE = "https://www.instagram.com/"
 _ISO = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z')"
@@ -477,3 +478,35 @@ def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["session_history"] = session_history
 SQL["session_history"] = "SELECT user_id::VARCHAR AS id, 'stopped' AS status, '1' AS started_at, '3' AS updated_at, 7::BIGINT AS queue_depth, count(*) FILTER (event_type = 'view') AS discovered FROM events WHERE user_id = (SELECT min(user_id) FROM events) GROUP BY 1"
+
+
+# --- streams into the store -------------------------------------------------------------------------------------------------
+
+
+def _streamed(t, rows: DataFrame, ddl: str, table: str, key: str, aggregate) -> DataFrame:
+    """The table that a stream of rows (with a number n) keeps in a store: a third of them comes first, the rest, in two batches, after a restart."""
+    spark = rows.sparkSession
+    home = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    store = Store(spark, f"{home}/store")
+    for part in range(3):
+        rows.where(F.col("n") % 3 == part).drop("n").coalesce(1).write.mode("append").parquet(f"{home}/in")
+        if part != 1:
+            stream = pipelines.read_stream(spark, f"{home}/in", ddl, files_per_batch=1)
+            pipelines.into_store(aggregate(stream), store, table, key, table, f"{home}/checkpoint").awaitTermination()
+    return store.read(table)
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'view') AS discovered, count(*) FILTER (event_type = 'click') AS extracted, count(*) FILTER (event_type = 'purchase') AS persisted FROM events GROUP BY user_id")
+def streamed_counters(t):
+    """Session counters that a stream keeps up to date in the store."""
+    kind = F.element_at(F.create_map(*map(F.lit, ("view", "discovered", "click", "extracted", "purchase", "persisted"))), F.col("event_type"))
+    rows = t("events").select("user_id", F.coalesce(kind, F.lit("other")).alias("event_type"), F.col("event_id").alias("n"))
+    kept = _streamed(t, rows, "user_id BIGINT, event_type STRING", "counters", "user_id", lambda s: pipelines.live_counters(s, "user_id"))
+    return kept.select("user_id", "discovered", "extracted", "persisted")
+
+
+@query("SELECT 'u' || user_id AS target_uri, count(*) AS seen, count(*) - 1 AS duplicates FROM events GROUP BY user_id")
+def streamed_duplicates(t):
+    """How often each address was handed in, kept by a stream in the store."""
+    rows = t("events").select(_text("u", F.col("user_id").cast("string")).alias("target_uri"), F.col("event_id").alias("n"))
+    return _streamed(t, rows, "target_uri STRING", "queue_counts", "target_uri", pipelines.queue_counts)

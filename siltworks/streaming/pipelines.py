@@ -12,9 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from siltworks import schema
 from siltworks.operators.metrics import COUNTERS
 from siltworks.operators.scheduler import BASE_DELAY_MS, MAX_ATTEMPTS
 from siltworks.session import shared_folder
+from siltworks.sources.store import Conflict, Store, upsert
 
 
 def read_stream(spark: SparkSession, folder: str, ddl: str, *, files_per_batch: int | None = None, names: str = "*.parquet") -> DataFrame:
@@ -202,6 +204,46 @@ def micro_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], check
     return writer.foreachBatch(handle).start()
 
 
+def into_store(df: DataFrame, store: Store, table: str, key: str, name: str, checkpoint: str, *, delay_ms: int | None = None, tries: int = 9) -> StreamingQuery:
+    """Starts a stream whose rows, the newest of each key, are kept in a table of the store; with delay_ms it gathers for that long before each
+    batch, without it ends when it has read what is there.
+
+    A batch's rows and its number are one commit, so a batch that is handed over again after a crash changes nothing. `name` stands for the
+    checkpoint: a stream with a checkpoint of its own needs a name of its own. Rows of one batch have distinct keys (those of an aggregation have). A commit
+    rewrites the table, so this is for results with a row per session or address, not for events.
+    """
+    mark = f"stream {name}"
+
+    def add(batch: DataFrame, number: int) -> None:
+        for _ in range(tries):
+            base = store.latest_number()
+            control = store.read("control_state", base)
+            done = control.where(F.col("key") == mark).first()
+            if done is not None and int(done["value"]) >= number:
+                batch.write.format("noop").mode("overwrite").save()  # the stream's own state has to come to this batch all the same
+                return
+            old = store.read(table, base) if store.version(table) else batch.limit(0)
+            noted = batch.sparkSession.createDataFrame([(mark, str(number))], schema.CONTROL_STATE)
+            try:
+                store.commit_all({table: upsert(old, batch, key), "control_state": upsert(control, noted, "key")}, base=base)
+            except Conflict:
+                continue
+            return
+        raise Conflict(table)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # it is read twice
+        try:
+            add(batch, number)
+        finally:
+            batch.unpersist()
+
+    if delay_ms is not None:
+        return micro_batches(df, keep, checkpoint, delay_ms=delay_ms, mode="update")
+    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.foreachBatch(keep).start()
+
+
 def run_available(df: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what is there now and gives what it put out, read from Parquet in the shared folder, where each micro-batch has a folder
     of its own that a repeated batch overwrites; in mode complete only the last batch counts."""

@@ -2,6 +2,7 @@ import time
 
 import pytest
 
+from siltworks.sources.store import Store
 from siltworks.streaming import pipelines
 
 EVENT = "target_uri STRING, event STRING, at BIGINT, seq BIGINT"
@@ -92,3 +93,34 @@ def test_sessions_end_by_silence(spark, tmp_path):
         said = [r[1:] for r in rows if r[0] == session]
         assert [x[:2] for x in said] == [("scroll", 1), ("scroll", 2), ("scroll", 3), ("finished", 3)]
         assert all(later[2] - sooner[2] >= 400 for sooner, later in zip(said, said[1:], strict=False))
+
+
+def test_a_batch_enters_the_store_once(spark, tmp_path):
+    folder, store, ddl = str(tmp_path / "in"), Store(spark, str(tmp_path / "store")), "target_uri STRING"
+    counts = lambda: {r["target_uri"]: r["seen"] for r in store.read("counts").collect()}
+    run = lambda checkpoint: pipelines.into_store(pipelines.queue_counts(pipelines.read_stream(spark, folder, ddl, files_per_batch=1)), store, "counts", "target_uri", "t_counts", str(tmp_path / checkpoint)).awaitTermination()
+    write(spark, folder, [("a",), ("a",), ("b",)], ddl)
+    run("c1")
+    write(spark, folder, [("a",), ("c",)], ddl)
+    run("c1")
+    assert counts() == {"a": 3, "b": 1, "c": 1}
+    before = store.latest_number()
+    run("c2")  # batches 0 and 1 are handed over again
+    assert counts() == {"a": 3, "b": 1, "c": 1} and store.latest_number() == before
+    store.put_state("other", "1")
+    write(spark, folder, [("b",)], ddl)
+    run("c1")
+    assert counts() == {"a": 3, "b": 2, "c": 1} and store.get_state("other") == "1"
+
+
+def test_gathered_batches(spark, tmp_path):
+    folder, store, ddl = str(tmp_path / "in"), Store(spark, str(tmp_path / "store")), "target_uri STRING"
+    write(spark, folder, [("a",), ("b",)], ddl)
+    query = pipelines.into_store(pipelines.queue_counts(pipelines.read_stream(spark, folder, ddl)), store, "counts", "target_uri", "t_gathered", str(tmp_path / "c"), delay_ms=150)
+    try:
+        query.processAllAvailable()
+        write(spark, folder, [("b",)], ddl)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert {r["target_uri"]: r["duplicates"] for r in store.read("counts").collect()} == {"a": 0, "b": 1} and store.get_state("stream t_gathered") == "1"
