@@ -99,6 +99,22 @@ def first_linking_page(t):
     return matching.first_match(found, wanted, by=(), order=("page_id", "pos")).select("uri", "page_id", "pos")
 
 
+@query("""SELECT o_orderkey AS page_id, 0::INT AS seq, 'https://www.instagram.com/' || CASE o_orderkey % 4 WHEN 0 THEN 'p/G' WHEN 1 THEN 'reel/R' ELSE 'p/S' END || o_orderkey || '/' AS target_uri,
+CASE o_orderkey % 4 WHEN 0 THEN 2 ELSE 1 END::INT AS media_count, CASE o_orderkey % 4 WHEN 3 THEN o_orderpriority END AS caption_preview FROM orders WHERE o_orderkey % 4 <> 2""")
+def grid_posts(t):
+    """Thumbnails of grids: links to posts with an image, neither in a header nor in an open dialog; articles do not count there."""
+    link = lambda where, inside: _text('<a href="/', where, _key(), '/?x=1">', inside, "</a>")
+    kind = F.col("o_orderkey") % 4
+    shown = (
+        F.when(kind == 0, link("p/G", "<img><img>"))
+        .when(kind == 1, _text("<header>", link("p/H", "<img>"), "</header>", link("reel/R", "<img>")))
+        .when(kind == 2, _text('<div role="dialog">', link("p/D", "<img>"), "</div><article>", link("p/A", "a"), "</article>"))
+        .otherwise(_text(link("p/N", "no image"), link("p/S", _text("<span>", F.col("o_orderpriority"), "</span><img>"))))
+    )
+    pages = t("orders").select(F.col("o_orderkey").alias("page_id"), F.lit(SITE + "someone/").alias("url"), shown.alias("html"))
+    return extract.discover(pages).select("page_id", "seq", "target_uri", "media_count", "caption_preview")
+
+
 @query("""WITH RECURSIVE up(id, ancestor, depth) AS (SELECT o_orderkey, o_orderkey // 2, 1 FROM orders WHERE o_orderkey > 1 AND o_orderkey // 2 IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT up.id, ancestor // 2, depth + 1 FROM up WHERE ancestor > 1 AND ancestor // 2 IN (SELECT o_orderkey FROM orders)) SELECT id, ancestor, depth FROM up""")
 def all_ancestors(t):
@@ -258,6 +274,64 @@ def fetched_media(t):
     return plan.select("resource_id", "media_id", "deferred").join(got, "media_id", "left").select("resource_id", "media_id", "deferred", "got", "error")
 
 
+def _medium(media_id, kind, uri):
+    none = F.lit(None).cast("string")
+    return F.struct(media_id.alias("id"), kind.alias("type"), uri.alias("source_uri"), none.alias("local_uri"), none.alias("mime_type"), F.lit(None).cast("long").alias("size_bytes"))
+
+
+def _complete(media=None):
+    return F.struct(F.lit(True).alias("thumbnail"), F.lit(True).alias("metadata"), (F.lit(True) if media is None else media).alias("media"), F.lit(False).alias("ocr"))
+
+
+def _resources(rows, made):
+    fields = {f.name: f.dataType for f in schema.struct(schema.RESOURCE)}
+    return rows.select(*[made.get(x, F.lit(None)).cast(k).alias(x) for x, k in fields.items()])
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 OR o_orderkey % 4 <> 0 AS own_ok, o_orderkey % 3 = 0 AS kid, o_orderkey % 5 <> 0 AS kid_ok, o_orderkey % 7 <> 0 AS own FROM orders)
+SELECT k::VARCHAR AS id, CASE WHEN (own OR kid) AND own_ok AND (NOT kid OR kid_ok) THEN 'hydrated' ELSE 'extracted' END AS state, own_ok AS media_complete,
+CASE WHEN own THEN 'media/a' || k END AS first_local, CASE WHEN own THEN length('https://x/' || k || '/a') END AS first_bytes, CASE WHEN own AND k % 4 <> 0 THEN 'media/b' || k END AS second_local,
+CASE WHEN kid THEN CASE WHEN kid_ok THEN 'hydrated' ELSE 'extracted' END END AS child_state, CASE WHEN kid AND kid_ok THEN 'media/c' || k END AS child_local FROM o""")
+def hydrated_resources(t):
+    """Resources after their media and those of their children were fetched: some have none, some a video, which is deferred, some a child whose medium fails."""
+    n, uri = F.col("o_orderkey"), lambda what: _text("https://x/", _key(), "/" + what)
+    own = F.array(_medium(_text("a", _key()), F.lit("image"), uri("a")), _medium(_text("b", _key()), F.when(n % 4 == 0, "video").otherwise("image"), uri("b")))
+    kinds = {f.name: f.dataType for f in schema.struct(f"c {schema.CHILD}")["c"].dataType}
+    child = {"id": _text("child", _key()), "kind": F.lit("slide"), "state": F.lit("extracted"), "content": F.array(), "media": F.array(_medium(_text("c", _key()), F.lit("image"), uri("c"))), "completeness": _complete()}
+    kid = F.struct(*[child.get(x, F.lit(None)).cast(k).alias(x) for x, k in kinds.items()])
+    made = {"id": _key(), "kind": F.lit("order"), "state": F.lit("extracted"), "completeness": _complete()}
+    made |= {"media": F.when(n % 7 == 0, F.array().cast(schema.MEDIA)).otherwise(own), "children": F.when(n % 3 == 0, F.array(kid)).otherwise(F.array().cast(f"array<{schema.CHILD}>"))}
+    rows = _resources(t("orders"), made)
+
+    def transport(address: str) -> bytes:
+        _, _, _, key, what = address.split("/")
+        if what == "c" and int(key) % 5 == 0:
+            raise OSError("no route")
+        return address.encode()
+
+    got, _ = enrich.hydrate(rows, enrich.fetch(enrich.capture_plan(rows), transport))
+    first, second, c = F.get("media", F.lit(0)), F.get("media", F.lit(1)), F.get("children", F.lit(0))
+    return got.select("id", "state", F.col("completeness.media").alias("media_complete"), first["local_uri"].alias("first_local"), first["size_bytes"].alias("first_bytes"), second["local_uri"].alias("second_local"), c["state"].alias("child_state"), F.get(c["media"], F.lit(0))["local_uri"].alias("child_local"))
+
+
+@query("""SELECT id, outcome, CASE outcome WHEN 'ready' THEN 'enriched' ELSE 'hydrated' END AS state, CASE WHEN outcome = 'ready' AND d % 4 <> 1 AND d % 3 <> 0 AND n % 2 = 1 THEN n::VARCHAR END AS transcript FROM
+(SELECT doc_id AS d, doc_id::VARCHAR AS id, octet_length(encode(text)) AS n, CASE WHEN doc_id % 7 = 0 THEN 'skipped' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'ready' END AS outcome FROM documents)""")
+def recognized_pass(t):
+    """An enrichment pass whose handler reads images whose bytes are there, and fails for some: outcomes, promoted states, transcripts."""
+
+    def engine():
+        return lambda content: f" {len(content)} " if len(content) % 2 else ""
+
+    docs, n, key = t("documents"), F.col("doc_id"), F.col("doc_id").cast("string")
+    medium = _medium(_text("i", key), F.when(n % 4 == 1, "video").otherwise("image"), _text("https://x/", key))
+    rows = _resources(docs, {"id": key, "kind": F.lit("doc"), "state": F.lit("hydrated"), "content": F.array(), "media": F.array(medium), "children": F.array(), "completeness": _complete(n % 7 != 0)})
+    fields = schema.struct(schema.MEDIA_METADATA)
+    known = docs.where("doc_id % 5 <> 0").select(*[(_text("i", key) if f.name == "id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    read = enrich.ocr_handler(docs.where("doc_id % 3 <> 0").select(_text("i", key).alias("media_id"), F.col("text").cast("binary").alias("content")), engine)
+    items, _ = enrich.run_pass(rows, known, lambda i: read(i).withColumn("error", F.when(F.col("id").cast("long") % 11 == 0, "unreadable")))
+    return items.select("id", "outcome", "state", F.get("content", F.lit(0))["value"].alias("transcript"))
+
+
 @query("SELECT doc_id::VARCHAR AS resource_id, CASE WHEN doc_id % 10 <> 3 AND octet_length(encode(text)) % 4 <> 0 THEN octet_length(encode(text))::VARCHAR END AS text, CASE WHEN doc_id % 10 = 3 THEN 'unreadable' END AS error FROM documents")
 def recognized_images(t):
     def engine():
