@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from siltworks import schema
 from siltworks.functions import text as tx
 from siltworks.operators.extract import post_link
+from siltworks.session import settle
 from siltworks.sources.html import Page, parse
 
 PLACES = "page_id BIGINT, pos INT, href STRING"
@@ -88,8 +89,9 @@ def first_match(found: DataFrame, wanted: DataFrame, *, by: tuple[str, ...] = ("
     a path only the least leaves a task, so a path that all addresses hold costs no more than they are.
     """
     by, order = list(by), list(order)
-    addresses = found.where(F.col("href").isNotNull()).groupBy(*by, "href").agg(F.min(F.struct(*order)).alias("_at"))
-    asked = wanted.select(*by, "uri").distinct().withColumn("_path", tx.path_of(F.col("uri")))
+    # both are read several times, and finding places means parsing pages
+    addresses = settle(found.where(F.col("href").isNotNull()).groupBy(*by, "href").agg(F.min(F.struct(*order)).alias("_at")))
+    asked = settle(wanted.select(*by, "uri").distinct()).withColumn("_path", tx.path_of(F.col("uri")))
     asked = asked.withColumn("_needle", F.when(F.col("_path") == "", F.col("uri")).otherwise(F.col("_path")))
     needles = asked.where("uri is not null").select(*by, "_needle", (F.col("_path") == "").alias("_whole")).distinct()
     keys = needles.select("*", F.explode(_asked(F.when(F.col("_whole"), "").otherwise(F.col("_needle")), F.col("_needle"))).alias("_key"))

@@ -15,7 +15,7 @@ from siltworks.functions import text as tx
 from siltworks.operators import connector, dedup, enrich, extract, matching, metrics, normalize, ranges, scheduler
 from siltworks.plans import export, passes
 from siltworks.plans.catalog import QUERIES, SQL, _items, _note_sql, _HERE, query
-from siltworks.session import shared_folder
+from siltworks.session import settle, shared_folder
 from siltworks.sources import archive, blobs, media, sessions
 from siltworks.sources.store import Store
 from siltworks.streaming import pipelines
@@ -86,7 +86,7 @@ _PAGE_LINKS = """SELECT page_id, unnest(range(len(hs))) AS pos, unnest(hs) AS h,
 SELECT w.page_id, w.uri, min(l.pos)::INT AS pos, arg_min(l.origin || l.h, l.pos) AS href FROM w LEFT JOIN l ON l.page_id = w.page_id AND contains(l.origin || l.h, w.path) GROUP BY ALL""")
 def linked_addresses(t):
     """The links of each page as wanted addresses on the next page."""
-    found = matching.places(t("pages"), "link")
+    found = settle(matching.places(t("pages"), "link"))
     return matching.first_match(found, found.select((F.col("page_id") + 1).alias("page_id"), F.col("href").alias("uri")))
 
 
@@ -94,7 +94,7 @@ def linked_addresses(t):
 SELECT w.uri, min(struct_pack(a := l.page_id, b := l.pos)).a AS page_id, min(struct_pack(a := l.page_id, b := l.pos)).b::INT AS pos FROM w LEFT JOIN l ON contains(l.origin || l.h, w.path) GROUP BY ALL""")
 def first_linking_page(t):
     """For each path that some page links to, and the root, the first link of all pages whose address holds it."""
-    found = matching.places(t("pages"), "link")
+    found = settle(matching.places(t("pages"), "link"))
     wanted = found.select(F.concat(F.lit("https://wanted.example"), tx.path_of(F.col("href"))).alias("uri")).unionByName(found.limit(1).select(F.lit("https://wanted.example").alias("uri")))
     return matching.first_match(found, wanted, by=(), order=("page_id", "pos")).select("uri", "page_id", "pos")
 
