@@ -7,7 +7,8 @@ redundant window's words are removed from its document.
    (winnowing), so equal windows hold equal anchors. Anchors found in one document only are dropped; suffixes that start
    a window with a shared anchor are the ones that trees are built of. Nothing that is shared is lost.
 2. Prefixes. A suffix is read as symbols of SYMBOL words, each a 64-bit hash. Suffixes are counted by the first bits of their first
-   symbols; a prefix with too many is lengthened, neighbouring small ones are taken together, so each group fits in memory.
+   symbols; a prefix with too many is lengthened, by as many bits as its count asks for, and neighbouring small ones are taken together,
+   so each group fits in memory. The driver holds two numbers for each counted prefix, at most 2 ** MOST_BITS.
 3. Subtrees. Each group's suffixes are sorted, and the lengths of common prefixes of neighbours (in symbols) give the tree's internal
    nodes. Nodes of depth WINDOW words or more are the repeats; all their leaves but those of the least document are redundant.
    The same is done before the exchange within each task, where all but the least document's leaves of a node are settled at once, so
@@ -41,6 +42,8 @@ GRAM = 8
 GROUP = 250_000
 #: Bits by which a prefix is told apart beyond those that number the groups: 8 prefixes for each group, about.
 FINER = 3
+#: Bits of the prefixes that are counted; longer prefixes follow from the counts.
+MOST_BITS = 20
 LAST = (1 << 63) - 1
 
 
@@ -104,50 +107,44 @@ def subtree(suffixes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Prefixes:
-    """Variable-length prefixes of suffixes: groups by the first bits of the first symbol, split where they are crowded by further bits."""
+    """Variable-length prefixes of suffixes. The first bits of the first symbol number a group; neighbouring prefixes with few suffixes share one, and a
+    crowded prefix is lengthened by as many bits as its count asks for. Two numbers for each counted prefix, 2 ** MOST_BITS at most, whatever the input."""
 
-    def __init__(self, bits: int, counts: dict[int, int], further: dict[int, dict[int, int]], group: int):
+    def __init__(self, bits: int, counts: dict[int, int], group: int):
         self.bits = bits
-        self.table = np.zeros(1 << bits, np.int64)
-        self.inner: dict[int, np.ndarray] = {}
-        self.groups, filled = 0, 0
+        self.start = np.zeros(1 << bits, np.int64)
+        self.longer = np.zeros(1 << bits, np.uint8)
+        number, filled = 0, 0
         for prefix in range(1 << bits):
             n = counts.get(prefix, 0)
-            if prefix in further:
-                self.groups += 1 if filled else 0
-                inner = np.zeros(1 << bits, np.int64)
-                filled = 0
-                for longer in range(1 << bits):
-                    m = further[prefix].get(longer, 0)
-                    if filled and filled + m > group:
-                        self.groups, filled = self.groups + 1, 0
-                    inner[longer] = self.groups
-                    filled += m
-                self.groups, filled = self.groups + 1, 0
-                self.inner[prefix] = inner
-                continue
             if filled and filled + n > group:
-                self.groups, filled = self.groups + 1, 0
-            self.table[prefix] = self.groups
-            filled += n
-        self.groups += 1
+                number, filled = number + 1, 0
+            self.start[prefix] = number
+            if n > group:
+                self.longer[prefix] = (-(-n // group) - 1).bit_length()
+                number, filled = number + (1 << int(self.longer[prefix])), 0
+            else:
+                filled += n
+        self.groups = number + 1
 
     def of(self, suffixes: np.ndarray) -> np.ndarray:
         first = first_bits(suffixes, self.bits)
-        out = self.table[first]
-        for prefix, inner in self.inner.items():
-            here = first == prefix
-            out[here] = inner[longer_bits(suffixes[:, here], self.bits)]
-        return out
+        longer = self.longer[first].astype(np.uint64)
+        # Shifted in two steps, as no number can be shifted by all its 64 bits.
+        return self.start[first] + (further(suffixes) >> np.uint64(1) >> (np.uint64(63) - longer)).astype(np.int64)
 
 
 def first_bits(suffixes: np.ndarray, bits: int) -> np.ndarray:
-    return (suffixes[0] >> np.uint64(64 - bits)).astype(np.int64)
+    return (suffixes[0] >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
 
 
-def longer_bits(suffixes: np.ndarray, bits: int) -> np.ndarray:
-    """The next bits of a lengthened prefix: of the first symbol mixed with the second, which keeps equal suffixes together."""
-    return (((suffixes[0] << np.uint64(bits)) ^ suffixes[1]) >> np.uint64(64 - bits)).astype(np.int64)
+def further(suffixes: np.ndarray) -> np.ndarray:
+    """The bits by which a prefix is lengthened: all symbols mixed, so equal suffixes stay together and a common first symbol does not crowd a group."""
+    mixed = np.zeros(suffixes.shape[1], np.uint64)
+    for symbol in suffixes:
+        mixed = (mixed ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]):
@@ -161,19 +158,13 @@ def _suffixes(batches: Iterator[pa.RecordBatch]):
                 yield rank, text_hash, starts, symbols(words, starts)
 
 
-def _counted(bits: int, within: frozenset | None):
+def _counted(bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
+        counts = np.zeros(1 << bits, np.int64)
         for _, _, _, s in _suffixes(batches):
-            first = first_bits(s, bits)
-            if within is None:
-                counts[0] = counts.get(0, 0) + np.bincount(first, minlength=1 << bits)
-            else:
-                for prefix in within.intersection(np.unique(first).tolist()):
-                    counts[prefix] = counts.get(prefix, 0) + np.bincount(longer_bits(s[:, first == prefix], bits), minlength=1 << bits)
-        for prefix, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), prefix), pa.int64()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["prefix", "bits", "n"])
+            np.add.at(counts, first_bits(s, bits), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["prefix", "n"])
 
     return rows
 
@@ -182,7 +173,7 @@ def _counted(bits: int, within: frozenset | None):
 _PLACE = [("rank", "<i8"), ("text_hash", "<i8"), ("start", "<i4")]
 _LEAF = np.dtype([("symbols", "<u8", (WINDOW // SYMBOL,)), *_PLACE])
 _MARK = np.dtype(_PLACE)
-ROWS = "group int, leaves binary, home int, marks binary"
+ROWS = "group long, leaves binary, home int, marks binary"
 
 
 def _homes(marks: np.ndarray, homes: int) -> np.ndarray:
@@ -220,7 +211,7 @@ def _planted(prefixes: Prefixes, homes: int):
             groups = list(_by(prefixes.of(np.ascontiguousarray(rest["symbols"].T)), rest))
             # Marks that are settled already ride along with any group.
             table = [(g, x, None, None) for g, x in groups] + [(h % prefixes.groups, None, h, x) for h, x in marks]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*table, strict=True), [pa.int32(), pa.binary(), pa.int32(), pa.binary()], strict=True)], ["group", "leaves", "home", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*table, strict=True), [pa.int64(), pa.binary(), pa.int32(), pa.binary()], strict=True)], ["group", "leaves", "home", "marks"])
 
         for rank, text_hash, starts, s in _suffixes(batches):
             leaf = np.empty(len(starts), _LEAF)
@@ -305,14 +296,9 @@ def redundant_windows(base: DataFrame) -> DataFrame:
 
     # Anchors are half a winnowing window apart on average, and each of the words between them starts a suffix.
     about = (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW - GRAM + 1) // 2
-    bits = min(20, FINER + (about // GROUP).bit_length())
-    count = lambda within: {(r["prefix"], r["bits"]): r["n"] for r in candidates.mapInArrow(_counted(bits, within), "prefix long, bits long, n long").groupBy("prefix", "bits").agg(F.sum("n").alias("n")).collect()}
-    counts = {b: n for (_, b), n in count(None).items()}
-    further: dict[int, dict[int, int]] = {p: {} for p, n in counts.items() if n > GROUP}
-    if further:
-        for (p, b), n in count(frozenset(further)).items():
-            further[p][b] = n
-    prefixes = Prefixes(bits, counts, further, GROUP)
+    bits = min(MOST_BITS, FINER + (about // GROUP).bit_length())
+    counts = candidates.mapInArrow(_counted(bits), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    prefixes = Prefixes(bits, {r["prefix"]: r["n"] for r in counts.collect()}, GROUP)
     homes = max(1, 2 * shuffle_width(spark), prefixes.groups)
     leaves = candidates.mapInArrow(_planted(prefixes, homes), ROWS)
     found = leaves.groupBy("group").applyInPandas(_grown(homes), "home int, marks binary")

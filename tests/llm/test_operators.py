@@ -283,7 +283,41 @@ def test_quality_counts(spark, sample):
         failed = len(w) < 10 or 100 * n > 20 * len(w)
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, n, failed)
-        assert not (failed and r["kept"])
+        assert r["kept"] == verdict(t, failed)[0]
+
+
+def verdict(text, failed):
+    """Whether a text is kept, and the shares of its characters in repeated lines and windows, by looking at every window."""
+    w, seen, in_lines = h.words(text), set(), 0
+    for line in text.split("\n"):
+        in_lines += sum(map(len, h.words(line))) if line in seen else 0
+        seen.add(line)
+    total, shares = sum(map(len, w)), {}
+    for n in quality.LIMITS:
+        windows = [tuple(w[j : j + n]) for j in range(len(w) - n + 1)]
+        counts = Counter(windows)
+        inside = {j + d for j, x in enumerate(windows) if counts[x] > 1 for d in range(n)}
+        shares[n] = sum(len(w[j]) for j in inside) / total if total else 0.0
+    lines = in_lines / total if total else 0.0
+    return not failed and lines <= quality.LINE_LIMIT and all(shares[n] <= limit for n, limit in quality.LIMITS.items()), lines, shares
+
+
+def test_verdicts_of_repeated_windows_and_lines(spark):
+    r = random.Random(7)
+    fresh = lambda k: [f"w{r.randrange(10**7)}é" * r.choice([1, 1, 3]) for _ in range(k)]
+    texts = []
+    for i in range(300):
+        again = fresh(r.choice([4, 5, 6, 7, 9, 10, 12]))
+        parts = [fresh(r.randrange(5, 60)), again, fresh(r.randrange(5, 40)), again]
+        texts.append(r.choice([" ", "\n"]).join(" ".join(x) for x in parts) + r.choice(["", "\n" + " ".join(again)]))
+    got = {x["doc_id"]: x for x in quality.judge(h.table(spark, texts)).collect()}
+    kinds = Counter()
+    for i, t in enumerate(texts):
+        kept, lines, shares = verdict(t, got[i]["base_failed"])
+        assert got[i]["kept"] == kept and math.isclose(got[i]["line_coverage"], lines)
+        assert all(math.isclose(got[i][f"coverage_{n}"], x) for n, x in shares.items())
+        kinds[got[i]["base_failed"], kept] += 1
+    assert min(kinds[True, False], kinds[False, True], kinds[False, False]) >= 5
 
 
 # --- 5 ---
@@ -327,10 +361,22 @@ def test_prefixes_keep_equal_suffixes_together():
     s[0, :2500] = s[0, 0]
     first = (s[0] >> np.uint64(52)).astype(int)
     counts = dict(Counter(first.tolist()))
-    further = {p: dict(Counter(substring.longer_bits(s[:, first == p], 12).tolist())) for p, n in counts.items() if n > 100}
-    groups = substring.Prefixes(12, counts, further, 100).of(s)
-    assert max(Counter(groups.tolist()).values()) <= 100
-    assert (substring.Prefixes(12, counts, further, 100).of(s[:, ::-1])[::-1] == groups).all()
+    prefixes = substring.Prefixes(12, counts, 100)
+    groups = prefixes.of(s)
+    assert prefixes.longer.max() == 5 and 0 <= groups.min() and groups.max() < prefixes.groups
+    assert max(Counter(groups.tolist()).values()) <= 150  # 2,500 over 32 lengthened prefixes, the others in runs of 100
+    assert (prefixes.of(s[:, ::-1])[::-1] == groups).all()
+    assert len(set(prefixes.of(np.repeat(s[:, :1], 9, axis=1)).tolist())) == 1
+
+
+def test_prefixes_of_one_crowded_passage():
+    """Equal suffixes cannot be parted, however many; their neighbours keep groups of their own."""
+    s = np.full((2, 3000), 7, np.uint64)
+    s[0, 2900:] = np.arange(100, dtype=np.uint64) << np.uint64(57)
+    first = substring.first_bits(s, 7)
+    groups = substring.Prefixes(7, dict(Counter(first.tolist())), 50).of(s)
+    assert len(set(groups[:2900].tolist())) == 1 and len(set(groups[2900:].tolist())) >= 2
+    assert substring.Prefixes(3, {}, 50).groups == 1
 
 
 # --- 6 ---
@@ -363,6 +409,23 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mixed_documents(docs).count() == got["copies"].sum()
 
 
+def test_taken_documents_are_those_of_least_hashes(spark):
+    """Beyond whole copies, a source takes its documents by ascending hash, but for the few around its boundary; no other choice among those comes nearer."""
+    r = random.Random(11)
+    docs = h.table(spark, [" ".join(["w"] * r.randrange(0, 90)) for _ in range(2500)], [f"s{min(r.randrange(6), 3)}" for _ in range(2500)])
+    place = {x["doc_id"]: (x["source"], x["place"] % (1 << 64)) for x in docs.select("doc_id", "source", F.xxhash64("doc_id", "text", F.lit(17)).alias("place")).collect()}
+    rows = [x for x in mixing.mix(docs).collect() if x["size"]]
+    for source in {s for s, _ in place.values()}:
+        mine = sorted((place[x["doc_id"]][1], x["copies"], x["size"]) for x in rows if place[x["doc_id"]][0] == source)
+        target, whole = next(x["target"] for x in rows if place[x["doc_id"]][0] == source), min(c for _, c, _ in mine)
+        more = [c > whole for _, c, _ in mine]
+        assert {c for _, c, _ in mine} <= {whole, whole + 1}
+        if any(more) and not all(more):
+            first_left, last_taken = more.index(False), len(more) - 1 - more[::-1].index(True)
+            assert last_taken - first_left < mixing.FEW
+        assert abs(sum(c * n for _, c, n in mine) - target) <= 1
+
+
 def test_deep_boundaries_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BITS", 2)
     monkeypatch.setattr(mixing, "FEW", 3)
