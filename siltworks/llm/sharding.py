@@ -32,8 +32,9 @@ BITS = 12
 OVERHEAD = 8
 #: Share of a shard's bytes from which on a text and its copies are dealt to a shard by themselves.
 LARGE = 0.002
-#: Rows of a shard are numbered in so many groups at a time.
-GROUPS = 64
+#: Rows of a shard are numbered in groups of about so many bytes, of which a shard has at least the first number below and at most the second.
+GROUP_BYTES = 1 << 27
+GROUPS = (64, 8192)
 
 
 def _unsigned(x: Column) -> Column:
@@ -150,10 +151,11 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not key >> 64:  # else a splitter above every key
             shard = shard + (_unsigned(F.col("key")) >= _signed(key ^ (1 << 63))).cast("int")
     home = F.get("homes", piece(F.size("homes")))
-    placed = rows.select("row", "size", "text_crc32", F.when(F.col("heavy").isNotNull(), home).otherwise(shard).alias("shard"), F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(GROUPS)).alias("part"), "key", "order")
+    groups = min(max(GROUPS[0], math.ceil(mean / GROUP_BYTES)), GROUPS[1])
+    placed = rows.select("row", "size", "text_crc32", F.when(F.col("heavy").isNotNull(), home).otherwise(shard).alias("shard"), F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(groups)).alias("part"), "key", "order")
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("shard", "part", before.alias("before"))  # shards x GROUPS rows
+    starts = counts.select("shard", "part", before.alias("before"))  # shards x groups rows, so at most shards x 8,192
     order = Window.partitionBy("shard", "part").orderBy("key", "order")
     out = placed.join(F.broadcast(starts), ["shard", "part"]).withColumn("slot", (F.col("before") + F.row_number().over(order) - 1).cast("long"))
     return out.select("row.*", F.col("size"), F.col("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot")
