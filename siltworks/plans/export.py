@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 import zlib
 from dataclasses import dataclass
@@ -15,12 +16,15 @@ from siltworks import schema
 from siltworks.functions import text as tx
 from siltworks.operators.enrich import media_links
 from siltworks.plans import passes
+from siltworks.plans.gateways import Gateway, OneFile
 from siltworks.plans.passes import Cancelled
 from siltworks.sources import archive
 from siltworks.sources.store import Store
 
 INCLUSIONS = ("none", "link-local", "embed-remote")
 NDJSON = "export.ndjson"
+#: Fixed value: how names of exported files begin.
+ARTIFACT_PREFIX = "knowledge-export-"
 
 
 def above_watermark(extracted_at: Column, watermark: str | None) -> Column:
@@ -243,8 +247,9 @@ class Coordinator:
     put together from them at the end, so a run that was interrupted goes on with the page it was at.
     """
 
-    def __init__(self, store: Store):
+    def __init__(self, store: Store, gateway: Gateway | None = None):
         self.store, self.running = store, False
+        self.gateway = OneFile(store.spark) if gateway is None else gateway
 
     @property
     def spark(self) -> SparkSession:
@@ -274,7 +279,7 @@ class Coordinator:
         for key in ("export_progress", "export_request", f"export:{request_id}_cursor", f"export_cancelled:{request_id}"):
             self.store.delete_state(key)
         self.store.remove_folder(self._stage(request_id))
-        archive.remove(self.spark, f"{path}.partial")
+        self.gateway.discard(path)
 
     def _stage(self, request_id: str) -> str:
         return f"{self.store.root}/_exports/{request_id}"
@@ -290,7 +295,13 @@ class Coordinator:
         request = json.loads(stored)
         return self.run(path=path, blobs=blobs, direct=direct, **{**request, "now": request.get("now", now)})
 
-    def run(self, *, request_id: str, target: str, path: str, blobs: DataFrame, now: str, inclusion: str = "link-local", incremental: bool = False, state: str | None = None, direct: DataFrame | None = None, page_rows: int = passes.PAGE_ROWS) -> Result:
+    def path_in(self, folder: str, target: str, now: str) -> str:
+        """Where a run of this target, begun now, goes in a folder."""
+        ending = getattr(self.gateway, "ENDINGS", OneFile.ENDINGS)[target != "json"]
+        name = self.spark.range(1).select(artifact_name(F.lit(target), F.lit(now), F.lit(ending))).first()[0]
+        return f"{folder.rstrip('/')}/{name}"
+
+    def run(self, *, request_id: str | None = None, target: str, path: str, blobs: DataFrame, now: str, inclusion: str = "link-local", incremental: bool = False, state: str | None = None, direct: DataFrame | None = None, page_rows: int = passes.PAGE_ROWS) -> Result:
         """Delivers the export at path. `now` is when the snapshot is taken and becomes the watermark, so that resources saved while the run
         goes on belong to the next one."""
         if target not in SERIALIZERS:
@@ -298,6 +309,7 @@ class Coordinator:
         if self.running:
             raise RuntimeError("an export is running")
         self.running = True
+        request_id = str(uuid.uuid4()) if request_id is None else request_id
         try:
             request = {"request_id": request_id, "target": target, "inclusion": inclusion, "incremental": incremental, "state": state, "now": now, "page_rows": page_rows}
             self.store.put_state("export_request", json.dumps(request))
@@ -339,9 +351,9 @@ class Coordinator:
         counts = rows(snapshot).agg(F.count_if(later).alias("exported"), F.count_if(~later).alias("skipped")).first()
         parts, included, missing = self.spark.read.parquet(self._stage(request_id)), 0, 0
         if target == "json":
-            size = write_single_ndjson(parts, path)
+            size = self.gateway.lines(parts, path)
         else:
-            size = archive.write_archive(entries(parts, blobs, direct), path).size
+            size = self.gateway.archive(entries(parts, blobs, direct), path)
             there = blobs.select("media_id") if direct is None else blobs.select("media_id").union(direct.select("media_id"))
             media = parts.where("kind = 'binary'").join(there.distinct().withColumn("there", F.lit(True)), "media_id", "left").agg(F.count_if(F.col("there")).alias("i"), F.count_if(F.col("there").isNull()).alias("m")).first()
             included, missing = media["i"], media["m"]
@@ -353,6 +365,11 @@ class Coordinator:
         return Result(counts["exported"], counts["skipped"], included, missing, size, True)
 
 
+def artifact_name(target: Column, at: Column, ending: Column) -> Column:
+    """The file name of an export that was begun at an ISO time: its stamp sorts by time and has neither colons nor points."""
+    return F.concat(F.lit(ARTIFACT_PREFIX), target, F.lit("-"), F.translate(at, ":.", "--"), F.lit("."), ending)
+
+
 def next_manifest(spark: SparkSession, before, target: str, request_id: str, exported: int, now: str) -> DataFrame:
     """The manifest row after a delivered incremental run: totals grow, the creation time stays."""
     total, runs, created = (before["resources_exported_total"], before["export_count"], before["created_at"]) if before else (0, 0, now)

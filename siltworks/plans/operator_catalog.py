@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from siltworks import schema
 from siltworks.functions import text as tx
 from siltworks.operators import connector, dedup, enrich, extract, matching, metrics, normalize, ranges, scheduler
-from siltworks.plans import export, passes
-from siltworks.plans.catalog import QUERIES, SQL, _items, _note_sql, _HERE, query
+from siltworks.plans import export, gateways, passes
+from siltworks.plans.catalog import QUERIES, SQL, WATERMARK, _djb2_sql, _items, _line_sql, _note_sql, _resources as _order_resources, _HERE, query
 from siltworks.session import settle, shared_folder
 from siltworks.sources import archive, blobs, media, sessions
+from siltworks.sources.memory import MemoryStore
 from siltworks.sources.store import Store
 from siltworks.streaming import pipelines
 
@@ -62,13 +63,14 @@ def extract_posts(t):
     return extract.extract(_pages(t)).select("page_id", "strategy", "confidence", *[F.col(f"post.{n}") for n in names], F.size("post.media_uris").alias("n_media"))
 
 
-@query(f"""WITH p AS ({_POSTS}), r AS (SELECT *, 'ig_' || CASE c WHEN 0 THEN 'K' || k WHEN 1 THEN 'R' || k ELSE 'D' || k END AS id FROM p WHERE c < 3),
+@query(f"""WITH p AS ({_POSTS}), hashed AS (SELECT {_djb2_sql(f"'{SITE}'")} AS h),
+r AS (SELECT *, 'ig_' || CASE c WHEN 0 THEN 'K' || k WHEN 1 THEN 'R' || k WHEN 2 THEN 'D' || k ELSE h END AS id FROM p, hashed),
 s AS (SELECT unnest([0, 1]) AS i)
 SELECT id, NULL::VARCHAR AS parent_id, NULL::INT AS child_pos, 0 AS depth, CASE WHEN c = 1 THEN 'instagram-reel' ELSE 'instagram-post' END AS kind,
-CASE WHEN c < 2 THEN handle END AS handle, substr(id, 4) || '_media_0' AS first_media, CASE WHEN c = 1 THEN 'video' ELSE 'image' END AS media_type, CASE WHEN c = 1 THEN '' ELSE 'text' END AS block FROM r
+CASE WHEN c < 2 THEN handle END AS handle, CASE WHEN c < 3 THEN substr(id, 4) ELSE '' END || '_media_0' AS first_media, CASE WHEN c = 1 THEN 'video' ELSE 'image' END AS media_type, CASE WHEN c = 1 THEN '' ELSE 'text' END AS block FROM r
 UNION ALL SELECT id || '_slide_' || i, id, i, 1, 'instagram-slide', NULL, 'slide_media_' || i, 'image', '' FROM r, s WHERE c = 0""")
 def normalized_tree(t):
-    found, _ = connector.resources(_pages(t).where("page_id % 4 < 3"), F.lit("2030-01-01T00:00:00.000Z"))
+    found, _ = connector.resources(_pages(t), F.lit("2030-01-01T00:00:00.000Z"))
     tree = normalize.adjacency(found)
     return tree.select("id", "parent_id", "child_pos", "depth", "kind", F.col("author.handle").alias("handle"), F.col("media")[0]["id"].alias("first_media"), F.col("media")[0]["type"].alias("media_type"), F.coalesce(F.get("content", F.lit(0))["type"], F.lit("")).alias("block"))
 
@@ -115,6 +117,22 @@ def grid_posts(t):
     return extract.discover(pages).select("page_id", "seq", "target_uri", "media_count", "caption_preview")
 
 
+@query("""SELECT o_orderkey AS page_id, o_orderkey % 5 < 3 AS has_modal, CASE o_orderkey % 5 WHEN 0 THEN 'https://www.instagram.com/p/D' || o_orderkey || '/' WHEN 1 THEN 'https://www.instagram.com/reel/A' || o_orderkey || '/' END AS modal_uri,
+CASE o_orderkey % 5 WHEN 0 THEN 'button' WHEN 1 THEN 'div' WHEN 3 THEN 'svg' END AS next_tag, CASE o_orderkey % 5 WHEN 0 THEN 'second' WHEN 1 THEN 'go ' || o_orderkey WHEN 3 THEN '' END AS next_text FROM orders""")
+def open_dialogs(t):
+    """Open post dialogs among other dialogs, and the control that leads to the next slide: a button, what holds an icon, or the icon."""
+    key, kind = _key(), F.col("o_orderkey") % 5
+    other = '<div role="dialog">cookies</div>'
+    shown = (
+        F.when(kind == 0, _text(other, '<div role="dialog"><a href="/p/D', key, '/">p</a></div><span aria-label="Next">first</span><button aria-label="Next">second</button>'))
+        .when(kind == 1, _text(other, '<article role="presentation"><a href="/reel/A', key, '/">r</a></article><div role="button">go ', key, '<svg aria-label="Next"></svg></div>'))
+        .when(kind == 2, _text('<div role="dialog"><article>', key, "</article></div>"))
+        .when(kind == 3, _text(other, '<p>', key, '</p><svg aria-label="Next"></svg>'))
+        .otherwise(_text(other, '<article><a href="/p/F', key, '/">not in a dialog</a></article>'))
+    )
+    return extract.controls(t("orders").select(F.col("o_orderkey").alias("page_id"), F.lit(SITE).alias("url"), shown.alias("html")))
+
+
 @query("""WITH RECURSIVE up(id, ancestor, depth) AS (SELECT o_orderkey, o_orderkey // 2, 1 FROM orders WHERE o_orderkey > 1 AND o_orderkey // 2 IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT up.id, ancestor // 2, depth + 1 FROM up WHERE ancestor > 1 AND ancestor // 2 IN (SELECT o_orderkey FROM orders)) SELECT id, ancestor, depth FROM up""")
 def all_ancestors(t):
@@ -180,6 +198,36 @@ QUERIES["stored_row"] = stored_row
 SQL["stored_row"] = "SELECT o_orderkey::VARCHAR AS id, 'queued' AS state, o_orderkey AS seq, (SELECT count(*) FROM orders) AS n_rows FROM orders WHERE o_orderkey = 7"
 
 
+@query("""SELECT o_orderkey::VARCHAR AS target_uri, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' WHEN o_orderkey % 3 = 0 THEN 'opening' ELSE 'queued' END AS state, o_orderkey AS seq
+FROM orders WHERE (o_orderkey % 5 <> 0 OR o_orderkey % 7 = 0) AND o_orderkey % 14 <> 0""")
+def memory_tasks(t):
+    """The steps of stored_tasks without a folder, in a transaction that is rolled back, which undoes nothing here."""
+    orders = t("orders")
+    store = MemoryStore(orders.sparkSession)
+    store.save("tasks", _tasks(orders, "queued"))
+    some = orders.where("o_orderkey % 3 = 0")
+    store.save("tasks", _tasks(some, "opening").unionByName(_tasks(some, "opening")))
+    store.remove("tasks", orders.where("o_orderkey % 5 = 0").select(_key().alias("target_uri")))
+    change = store.transaction()
+    change.put("tasks", _tasks(orders.where("o_orderkey % 7 = 0"), "failed"))
+    change.delete("tasks", orders.where("o_orderkey % 14 = 0").select(_key().alias("target_uri")))
+    change.rollback()
+    return store.read("tasks").select("target_uri", "state", "seq")
+
+
+@query("SELECT 'c' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'kept' ELSE c_name END AS value, 2::BIGINT AS commits FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 <> 0")
+def moved_state(t):
+    """Old control values, a fifth of them null, moved into a store that has a third of the keys already; twice, of which the second time does nothing."""
+    people = t("customer")
+    store = Store(people.sparkSession, f"{shared_folder(people.sparkSession)}/store-{uuid.uuid4().hex}")
+    key = _text("c", F.col("c_custkey").cast("string")).alias("key")
+    store.save("control_state", people.where("c_custkey % 3 = 0").select(key, F.lit("kept").alias("value")))
+    legacy = people.select(key, F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("value"))
+    store.move_legacy_state(legacy)
+    store.move_legacy_state(legacy)
+    return store.read("control_state").select("key", "value", F.lit(store.latest_number()).cast("long").alias("commits"))
+
+
 @query("SELECT when_read, o_orderkey::VARCHAR AS target_uri, -(o_orderkey % 5)::INT AS priority, 'c' || o_custkey || ':' || (o_orderkey % 5) AS owner, 'queued' AS state FROM orders, (SELECT unnest(['before', 'after']) AS when_read)")
 def migrated_rows(t):
     """Tasks written two schema versions ago, as they are read before and after the store is migrated."""
@@ -464,6 +512,61 @@ def stored_blobs(t):
     return stored.join(F.broadcast(removed)).select("id", "type", "size_bytes", "hash", "created_at", "last_access", F.md5("content").alias("digest"), "ok", "removed")
 
 
+@query("""SELECT doc_id, md5(CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '## ' || text WHEN 2 THEN '> ' || text WHEN 3 THEN '```' || chr(10) || text || chr(10) || '```' WHEN 4 THEN '- ' || text ELSE '**[Transcript]**' || chr(10) || chr(10) || text END) AS block FROM documents""")
+def rendered_blocks(t):
+    """Whole texts as blocks of each kind."""
+    kind = F.element_at(F.array(*map(F.lit, schema.BLOCKS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return t("documents").select("doc_id", F.md5(tx.render_block(kind, F.col("text"))).alias("block"))
+
+
+@query(f"SELECT o_orderkey, 'knowledge-export-' || CASE o_orderkey % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'markdown' ELSE 'obsidian' END || '-' || replace(replace({_ISO}, ':', '-'), '.', '-') || CASE WHEN o_orderkey % 3 = 0 THEN '.ndjson' ELSE '.zip' END AS name FROM orders")
+def artifact_names(t):
+    target = F.element_at(F.array(*map(F.lit, ("json", "markdown", "obsidian"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    ending = F.when(target == "json", gateways.OneFile.ENDINGS[0]).otherwise(gateways.OneFile.ENDINGS[1])
+    return t("orders").select("o_orderkey", export.artifact_name(target, tx.iso_millis(F.col("o_orderdate")), ending).alias("name"))
+
+
+def _exporting(t, gateway=None):
+    """A coordinator over a store that holds orders as resources, and their odd media as complete."""
+    items = _order_resources(t)
+    spark = items.sparkSession
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    there = items.select(F.explode("media").alias("m")).where("cast(substring_index(m.id, '_', -1) AS INT) % 2 = 1")
+    facts = {"id": F.col("m.id"), "type": F.lit("image"), "state": F.lit("complete")}
+    store.save("media_metadata", there.select(*[facts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.struct(schema.MEDIA_METADATA)]))
+    return export.Coordinator(store, gateway), items
+
+
+@query(f"WITH lines AS ({_line_sql('true', "''")}), o AS (SELECT o_orderkey::VARCHAR AS id, {_ISO} AS iso FROM orders) SELECT CASE WHEN iso > '{WATERMARK}' THEN 2 ELSE 1 END::INT AS run, line FROM lines JOIN o USING (id)")
+def delivered_lines(t):
+    """Two incremental runs that deliver folders of lines: the first before the later orders are there, the second of those only."""
+    spark = t("orders").sparkSession
+    run, items = _exporting(t, gateways.Folder(spark))
+    later, no_blobs = export.above_watermark(F.col("source.extracted_at"), WATERMARK), spark.createDataFrame([], "media_id string, content binary")
+    out = []
+    for n, (rows, now) in enumerate(((items.where(~later), WATERMARK), (items.where(later), "2100-01-01T00:00:00.000Z")), 1):
+        run.store.save("resources", rows)
+        path = run.path_in(run.store.root, "json", now)
+        run.run(target="json", path=path, blobs=no_blobs, now=now, inclusion="none", incremental=True)
+        out.append(spark.read.text(path).select(F.lit(n).alias("run"), F.col("value").alias("line")))
+    return out[0].unionByName(out[1])
+
+
+_VAULT = _note_sql("'tags: [order, orders]' || chr(10) || 'kind: order' || chr(10)", f"CASE WHEN {_HERE} THEN '![[attachments/' || o_orderkey || '_' || i || ']]' ELSE '![image](https://example.com/' || o_orderkey || '/' || i || ')' END")
+
+
+@query(f"""SELECT 'order/' || id || '.md' AS path, note AS digest FROM ({_VAULT})
+UNION ALL SELECT 'attachments/' || o_orderkey || '_' || i, md5('bytes of ' || o_orderkey || '_' || i) FROM orders, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= o_orderkey % 4 AND i % 2 = 1""")
+def delivered_vault(t):
+    """A run over a store that delivers notes and attachments as an archive."""
+    run, items = _exporting(t)
+    run.store.save("resources", items)
+    blobs = items.select(F.explode("media.id").alias("media_id")).withColumn("content", _text("bytes of ", F.col("media_id")).cast("binary"))
+    path = run.path_in(run.store.root, "obsidian", WATERMARK)
+    run.run(target="obsidian", path=path, blobs=blobs, now=WATERMARK)
+    return archive.read_archive(run.spark, path).select("path", F.md5("content").alias("digest"))
+
+
 @query("SELECT 'json' AS target, '2' AS last_exported_at, 'r2' AS last_request_id, (SELECT count(*) FROM orders) AS resources_exported_total, 2::BIGINT AS export_count, '1' AS created_at, '2' AS updated_at")
 def export_manifest(t):
     orders = t("orders")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import urllib.parse
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,40 +60,109 @@ def read_file(root: str, path: str) -> bytes | None:
         return f.read()
 
 
+class Files:
+    """The backend of a store: whole files under a folder, by paths below it. Tasks carry it, so another one must be picklable and have these methods."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+
+    def write(self, path: str, data: bytes) -> None:
+        write_file(self.root, path, data)
+
+    def read(self, path: str) -> bytes | None:
+        """A file's bytes; null if there is none."""
+        return read_file(self.root, path)
+
+    def remove(self, path: str) -> bool:
+        """Whether there was such a file; now there is none."""
+        return remove_file(self.root, path)
+
+    def list(self, spark: SparkSession, prefix: str = "") -> DataFrame:
+        """path (below the folder), length, modified of the files whose path begins with prefix."""
+        files, folder = open_folder(self.root)
+        within = prefix.rpartition("/")[0]  # only this folder is listed
+        if files.get_file_info(f"{folder}/{within}").type == fs.FileType.NotFound:
+            return spark.createDataFrame([], "path string, length long, modified timestamp")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{within}")
+        top = f"{folder}/{within.partition('/')[0]}"
+        below = F.expr(f"substring(path, instr(path, {_quoted(top)}) + {len(folder) + 1})")
+        return found.select(below.alias("path"), "length", F.col("modificationTime").alias("modified")).where(F.col("path").startswith(prefix))
+
+    def end(self) -> None:
+        """Removes the folder of unfinished files, once nothing is being written."""
+        files, folder = open_folder(self.root)
+        if files.get_file_info(f"{folder}/{UNFINISHED}").type == fs.FileType.Directory:
+            files.delete_dir(f"{folder}/{UNFINISHED}")
+            if not files.get_file_info(fs.FileSelector(f"{folder}/media")):
+                files.delete_dir(f"{folder}/media")
+
+
+class Spread:
+    """A backend over several folders, as buckets that each allow so many requests: a path's CRC-32 tells its folder. The folders and their order stay
+    the same for as long as the files do."""
+
+    def __init__(self, *roots: str):
+        self.parts = [Files(r) for r in roots]
+
+    def _of(self, path: str) -> Files:
+        return self.parts[zlib.crc32(path.encode()) % len(self.parts)]
+
+    def write(self, path: str, data: bytes) -> None:
+        self._of(path).write(path, data)
+
+    def read(self, path: str) -> bytes | None:
+        return self._of(path).read(path)
+
+    def remove(self, path: str) -> bool:
+        # Files of lost tasks lie in the folder of what they were to be, under names of their own.
+        return any([p.remove(path) for p in ([self._of(path)] if not path.startswith(UNFINISHED) else self.parts)])
+
+    def list(self, spark: SparkSession, prefix: str = "") -> DataFrame:
+        first, *others = [p.list(spark, prefix) for p in self.parts]
+        for rows in others:
+            first = first.unionByName(rows)
+        return first
+
+    def end(self) -> None:
+        for p in self.parts:
+            p.end()
+
+
+def _quoted(text: str) -> str:
+    """A text as a literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class BlobStore:
-    """Media under root; every method's work is done by tasks."""
+    """Media under root, or wherever the given backend keeps files; every method's work is done by tasks."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str | None = None, *, backend=None):
+        if (root is None) == (backend is None):
+            raise ValueError("either root or backend")
+        self.spark, self.backend = spark, Files(root) if backend is None else backend
 
     def _mapped(self, rows: DataFrame, work, result: str, kind: pa.DataType) -> DataFrame:
-        """One row per input row (id and more): id and what work(root, *row) gives. Done once, whatever is read of it."""
-        root, name = self.root, result.split()[0]
+        """One row per input row (id and more): id and what work(backend, *row) gives. Done once, whatever is read of it."""
+        backend, name = self.backend, result.split()[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 columns = [c.to_pylist() for c in batch.columns]
                 for start in range(0, batch.num_rows, 64):  # contents are not held for a whole batch
                     some = [c[start : start + 64] for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array([work(root, *row) for row in zip(*some, strict=True)], kind)], ["id", name])
+                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array([work(backend, *row) for row in zip(*some, strict=True)], kind)], ["id", name])
 
         return rows.mapInArrow(run, f"id string, {result}")
 
     def metadata(self) -> DataFrame:
         """Complete media, from their sidecars."""
         files = self.files(SIDECARS + "/")
-        texts = self._mapped(files.select("path", F.col("path").alias("at")), lambda root, _, path: (read_file(root, path) or b"").decode(), "value string", pa.string())
+        texts = self._mapped(files.select("path", F.col("path").alias("at")), lambda backend, _, path: (backend.read(path) or b"").decode(), "value string", pa.string())
         return media.read_sidecars(texts)
 
     def files(self, prefix: str = "media/") -> DataFrame:
-        """path (below the root), length, modified of the files whose path begins with prefix."""
-        files, folder = open_folder(self.root)
-        within = prefix.rpartition("/")[0]  # only this folder is listed
-        if files.get_file_info(f"{folder}/{within}").type == fs.FileType.NotFound:
-            return self.spark.createDataFrame([], "path string, length long, modified timestamp")
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{within}")
-        below = F.expr(f"substring(path, instr(path, '{folder}/media/') + {len(folder) + 1})")
-        return found.select(below.alias("path"), "length", F.col("modificationTime").alias("modified")).where(F.col("path").startswith(prefix))
+        """path, length, modified of the files whose path begins with prefix."""
+        return self.backend.list(self.spark, prefix)
 
     def put(self, new: DataFrame, now: str) -> DataFrame:
         """Stores new media (id, type, mime_type, content, source) and gives their metadata; bytes of an overwritten medium of another kind go."""
@@ -102,21 +172,21 @@ class BlobStore:
         rows = media.put(one, old, now).join(one.select("id", "content"), "id")
         sidecar = F.to_json(F.struct(*[c.split()[0] for c in schema.MEDIA_METADATA.split(", ")]))
 
-        def store(root: str, media_id: str, path: str, content: bytes, text: str) -> str:
-            write_file(root, path, content)
-            write_file(root, sidecar_path(media_id), text.encode())
+        def store(backend, media_id: str, path: str, content: bytes, text: str) -> str:
+            backend.write(path, content)
+            backend.write(sidecar_path(media_id), text.encode())
             return text
 
         stored = settle(self._mapped(rows.select("id", "storage_path", "content", sidecar.alias("text")), store, "value string", pa.string()))
         written = media.read_sidecars(stored)
         moved = written.join(old, "id").where("old_path <> storage_path").select("id", "old_path")
-        settle(self._mapped(moved, lambda root, _, path: remove_file(root, path), "gone boolean", pa.bool_()))
+        settle(self._mapped(moved, lambda backend, _, path: backend.remove(path), "gone boolean", pa.bool_()))
         return written
 
     def get(self, ids: DataFrame) -> DataFrame:
         """id, content of those ids (id) whose bytes are there."""
         there = self.metadata().join(ids.select("id").distinct(), "id", "left_semi").select("id", "storage_path")
-        return self._mapped(there, lambda root, _, path: read_file(root, path), "content binary", pa.binary()).where("content is not null")
+        return self._mapped(there, lambda backend, _, path: backend.read(path), "content binary", pa.binary()).where("content is not null")
 
     def exists(self, ids: DataFrame) -> DataFrame:
         """id, exists of each distinct id."""
@@ -127,15 +197,15 @@ class BlobStore:
         """Removes media; gives how many were there."""
         gone = settle(self.metadata().join(ids.select("id").distinct(), "id", "left_semi").select("id", "storage_path"))
 
-        def remove(root: str, media_id: str, path: str) -> bool:
-            return remove_file(root, sidecar_path(media_id)) | remove_file(root, path)
+        def remove(backend, media_id: str, path: str) -> bool:
+            return backend.remove(sidecar_path(media_id)) | backend.remove(path)
 
         return settle(self._mapped(gone, remove, "gone boolean", pa.bool_())).where("gone").count()
 
     def verify(self) -> DataFrame:
         """id, ok of all media."""
         metadata = settle(self.metadata())
-        content = self._mapped(metadata.select("id", "storage_path"), lambda root, _, path: read_file(root, path), "content binary", pa.binary())
+        content = self._mapped(metadata.select("id", "storage_path"), lambda backend, _, path: backend.read(path), "content binary", pa.binary())
         return media.verify(metadata, metadata.select("id", F.col("storage_path").alias("path")).join(content, "id").select("path", "content"))
 
     def clean(self) -> DataFrame:
@@ -144,6 +214,6 @@ class BlobStore:
         report = settle(media.cleanup_report(metadata, files))
         widows = media.orphan_metadata(metadata, files).select("id")
         for rows in (media.orphan_blobs(files, metadata), media.unfinished(files)):
-            settle(self._mapped(rows.select("path", F.col("path").alias("at")), lambda root, _, path: remove_file(root, path), "gone boolean", pa.bool_()))
-        settle(self._mapped(widows, lambda root, media_id: remove_file(root, sidecar_path(media_id)), "gone boolean", pa.bool_()))
+            settle(self._mapped(rows.select("path", F.col("path").alias("at")), lambda backend, _, path: backend.remove(path), "gone boolean", pa.bool_()))
+        settle(self._mapped(widows, lambda backend, media_id: backend.remove(sidecar_path(media_id)), "gone boolean", pa.bool_()))
         return report

@@ -260,14 +260,15 @@ class Store:
         self.commit_all(after, base=base)
         return self.schema_version
 
-    def move_legacy_state(self, legacy: dict[str, str | None]) -> list[str]:
-        """Copies old control values that are not in the store yet; gives the keys that may now be deleted at their old place."""
-        moved = []
-        for key, value in legacy.items():
-            if value is not None and self.get_state(key) is None:
-                self.put_state(key, value)
-            moved.append(key)
-        return moved
+    def move_legacy_state(self, legacy: DataFrame) -> DataFrame:
+        """Copies old control values (key, value) that are not in the store yet, in one commit; gives the keys that may now be deleted at their old
+        place. Of values given twice the greatest counts; what is done is not repeated, and without anything new there is no commit."""
+        base = self.latest_number()
+        known = self.read("control_state", base)
+        new = legacy.where("value IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.max("value").alias("value")).join(known.select("key"), "key", "left_anti")
+        if not new.isEmpty():
+            self.commit("control_state", known.unionByName(new.select(*known.columns)), base=base)
+        return legacy.select("key").where("key IS NOT NULL").distinct()
 
     @contextmanager
     def exclusive(self, name: str, *, lease_seconds: int = 3600) -> Iterator[bool]:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltworks.sources import blobs
@@ -53,3 +54,20 @@ def test_files_appear_whole(tmp_path):
     blobs.write_file(str(tmp_path), "media/images/x", b"2" * 10)
     assert blobs.read_file(str(tmp_path), "media/images/x") == b"2" * 10 and list((tmp_path / "media/tmp").iterdir()) == []
     assert blobs.read_file(str(tmp_path), "media/images/y") is None and not blobs.remove_file(str(tmp_path), "media/images/y")
+
+
+def test_a_store_over_several_folders(spark, tmp_path):
+    roots = [tmp_path / x for x in ("one's", "b", "c")]
+    store = blobs.BlobStore(spark, backend=blobs.Spread(*map(str, roots)))
+    assert store.metadata().count() == 0
+    rows = [(f"m{i}", "image", "image/png", f"bytes {i}".encode(), "s") for i in range(30)]
+    put(spark, store, rows, "1")
+    assert all(len(names(r)) >= 5 for r in roots) and sum(len(names(r)) for r in roots) == 60
+    ids = spark.createDataFrame([(r[0],) for r in rows], "id string")
+    assert {(r["id"], bytes(r["content"])) for r in store.get(ids).collect()} == {(r[0], r[3]) for r in rows}
+    (roots[2] / "media/tmp/half").write_bytes(b"ha")
+    (roots[0] / "media/images/nobody").write_bytes(b"not where its name belongs")
+    assert all(r["ok"] for r in store.verify().collect()) and store.clean().first()["tmp_removed"] == 1
+    assert not (roots[2] / "media/tmp/half").exists() and store.delete(ids) == 30 and store.metadata().count() == 0
+    with pytest.raises(ValueError):
+        blobs.BlobStore(spark)

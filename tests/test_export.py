@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltworks import schema
-from siltworks.plans import export
+from siltworks.plans import export, gateways
 from siltworks.sources.store import Store
 
 
@@ -115,3 +115,41 @@ def test_archive_run_counts_media(spark, coordinator, tmp_path):
     blobs = spark.createDataFrame([("m", bytearray(b"1"))], "media_id string, content binary")
     result = run(coordinator, spark, tmp_path / "x.zip", target="obsidian", blobs=blobs, incremental=False)
     assert (result.media_included, result.media_missing, coordinator.manifest("obsidian")) == (1, 1, None)
+
+
+def test_folder_gateway(spark, tmp_path):
+    coordinator = export.Coordinator(Store(spark, str(tmp_path / "store")), gateways.Folder(spark))
+    coordinator.store.save("resources", resources(spark, row("b", media=("m", "lost")), row("../a"), row("c/d")))
+    coordinator.store.save("media_metadata", spark.createDataFrame([(i, "image", "m", 1, "h", "p", "complete", "t", "t", None) for i in ("m", "lost")], schema.MEDIA_METADATA))
+    blobs = spark.createDataFrame([("m", bytearray(b"xyz"))], "media_id string, content binary")
+    at = tmp_path / "out"
+    for _ in range(2):  # a second delivery takes the place of the first
+        result = run(coordinator, spark, at, request_id=None, target="markdown", blobs=blobs, incremental=False)
+    found = {str(p.relative_to(at)): p.read_bytes() for p in at.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert set(found) == {"b.md", "%2E%2E/a.md", "c/d.md", "media/m"} and found["media/m"] == b"xyz" and b"![image](media/m)" in found["b.md"]
+    assert result.size_bytes == sum(map(len, found.values())) and (result.media_included, result.media_missing) == (1, 1)
+    lines = run(coordinator, spark, tmp_path / "lines", request_id="r2")
+    read = [r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()]
+    assert sorted(json.loads(x)["resourceId"] for x in read) == ["../a", "b", "c/d"] and lines.size_bytes == sum(len(x.encode()) + 1 for x in read)
+    assert not list(tmp_path.glob("*.partial"))
+
+
+def test_a_gateway_that_fails_leaves_nothing(spark, coordinator, tmp_path):
+    class Broken(gateways.OneFile):
+        def lines(self, rows, path):
+            raise OSError("no room")
+
+    coordinator.store.save("resources", resources(spark, row("a")))
+    good, coordinator.gateway = coordinator.gateway, Broken(spark)
+    with pytest.raises(OSError):
+        run(coordinator, spark, tmp_path / "x")
+    assert coordinator.manifest("json") is None and not coordinator.progress()["done"]
+    coordinator.gateway = good
+    result = coordinator.resume(str(tmp_path / "x"), spark.createDataFrame([], "media_id string, content binary"), "t")
+    assert result.exported == 1 and coordinator.manifest("json")["resources_exported_total"] == 1
+
+
+def test_names_of_artifacts(spark, coordinator):
+    assert coordinator.path_in("/d/", "json", "2024-08-01T01:02:03.004Z") == "/d/knowledge-export-json-2024-08-01T01-02-03-004Z.ndjson"
+    assert coordinator.path_in("/d", "obsidian", "2024-08-01T01:02:03.004Z").endswith("-obsidian-2024-08-01T01-02-03-004Z.zip")
+    assert gateways.inner_path("a/../b//./c..d") == "a/%2E%2E/b/%25/%2E/c..d"

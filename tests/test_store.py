@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siltworks import schema
 from siltworks.sources import media
+from siltworks.sources.memory import MemoryStore
 from siltworks.sources.store import Conflict, NewerSchema, Store, delete, page, query_page, upsert
 
 TASK = schema.TASK
@@ -139,7 +140,12 @@ def test_control_state_sessions_and_migration(spark, store):
     store.delete_state("k")
     assert store.get_state("k") is None
     assert store.migrate() == schema.SCHEMA_VERSION == store.migrate()
-    assert store.move_legacy_state({"old": "x", "none": None}) == ["old", "none"] and store.get_state("old") == "x"
+    legacy = spark.createDataFrame([("old", "x"), ("none", None), ("schema_version", "0"), ("old", "a"), (None, "y")], schema.CONTROL_STATE)
+    for _ in range(2):
+        assert sorted(r["key"] for r in store.move_legacy_state(legacy).collect()) == ["none", "old", "schema_version"]
+    assert store.get_state("old") == "x" and store.get_state("none") is None and store.get_state("schema_version") == str(schema.SCHEMA_VERSION)
+    at = store.latest_number()
+    assert store.move_legacy_state(legacy.limit(0)).count() == 0 and store.latest_number() == at
     store.start_session(spark.createDataFrame([("s1", "running", "t0", "t0", 0, "{}")], schema.SESSION))
     assert "s1" in store.get_state("current_session") and store.count("sessions") == 1
 
@@ -246,3 +252,21 @@ def test_passes_do_not_overlap(store):
     store._fs.createNewFile(store._path(f"{store.root}/_passes/crashed"))
     with store.exclusive("crashed") as early, store.exclusive("crashed", lease_seconds=-1) as late:
         assert (early, late) == (False, True)
+
+
+def test_memory_store_keeps_what_is_written_at_once(spark):
+    store = MemoryStore(spark)
+    task = lambda *keys: spark.createDataFrame([(k, k, "queued", 1, 0, 3, None, None, n) for n, k in enumerate(keys)], schema.TASK)
+    assert store.count("tasks") == 0 and store.read("tasks").schema == schema.struct(schema.TASK)
+    store.save("tasks", task("a", "b"))
+    change = store.transaction()
+    change.put("tasks", task("c").withColumn("state", F.lit("failed")))
+    change.delete("tasks", spark.createDataFrame([("a",), ("nobody",)], "target_uri string"))
+    change.rollback()
+    assert {(r["target_uri"], r["state"]) for r in store.read("tasks").collect()} == {("b", "queued"), ("c", "failed")}
+    store.save("tasks", task("a", "a"))
+    change.commit()
+    assert store.count("tasks") == 3 and store.get("tasks", "a").count() == 1 and store.get("tasks", "x").count() == 0
+    assert store.query(5).count() == 0
+    with pytest.raises(KeyError):
+        store.save("nothing", task("a"))
