@@ -16,7 +16,7 @@ from siltworks import schema
 from siltworks.functions import text as tx
 from siltworks.operators.enrich import media_links
 from siltworks.plans import passes
-from siltworks.plans.gateways import Gateway, OneFile
+from siltworks.plans.gateways import Gateway
 from siltworks.plans.passes import Cancelled
 from siltworks.sources import archive
 from siltworks.sources.store import Store
@@ -240,6 +240,25 @@ class Result:
     delivered: bool
 
 
+class OneFile:
+    """The gateway of one file of lines, or one archive, written in parts by tasks and joined."""
+
+    #: Endings of the names of lines and of archives.
+    ENDINGS = ("ndjson", "zip")
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def lines(self, rows: DataFrame, path: str) -> int:
+        return write_single_ndjson(rows, path)
+
+    def archive(self, entry_rows: DataFrame, path: str) -> int:
+        return archive.write_archive(entry_rows, path).size
+
+    def discard(self, path: str) -> None:
+        archive.remove(self.spark, f"{path}.partial")
+
+
 class Coordinator:
     """Export runs over a store: at most one at a time, the manifest moves only after delivery.
 

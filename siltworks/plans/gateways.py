@@ -29,25 +29,6 @@ class Gateway(Protocol):
         """Removes what an unfinished delivery to path has left."""
 
 
-class OneFile:
-    """One file of lines, or one archive, written in parts by tasks and joined."""
-
-    #: Endings of the names of lines and of archives.
-    ENDINGS = ("ndjson", "zip")
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def lines(self, rows: DataFrame, path: str) -> int:
-        return archive.write_file(rows.select("id", F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("content")), path, order="id").size
-
-    def archive(self, entries: DataFrame, path: str) -> int:
-        return archive.write_archive(entries, path).size
-
-    def discard(self, path: str) -> None:
-        archive.remove(self.spark, f"{path}.partial")
-
-
 class Folder:
     """A folder: lines as part files by ranges of id, entries as files of their own under their paths; nothing is joined, so all of it is done by tasks.
 

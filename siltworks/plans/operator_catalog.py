@@ -522,7 +522,7 @@ def rendered_blocks(t):
 @query(f"SELECT o_orderkey, 'knowledge-export-' || CASE o_orderkey % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'markdown' ELSE 'obsidian' END || '-' || replace(replace({_ISO}, ':', '-'), '.', '-') || CASE WHEN o_orderkey % 3 = 0 THEN '.ndjson' ELSE '.zip' END AS name FROM orders")
 def artifact_names(t):
     target = F.element_at(F.array(*map(F.lit, ("json", "markdown", "obsidian"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    ending = F.when(target == "json", gateways.OneFile.ENDINGS[0]).otherwise(gateways.OneFile.ENDINGS[1])
+    ending = F.when(target == "json", export.OneFile.ENDINGS[0]).otherwise(export.OneFile.ENDINGS[1])
     return t("orders").select("o_orderkey", export.artifact_name(target, tx.iso_millis(F.col("o_orderdate")), ending).alias("name"))
 
 

@@ -135,7 +135,7 @@ def test_folder_gateway(spark, tmp_path):
 
 
 def test_a_gateway_that_fails_leaves_nothing(spark, coordinator, tmp_path):
-    class Broken(gateways.OneFile):
+    class Broken(export.OneFile):
         def lines(self, rows, path):
             raise OSError("no room")
 
