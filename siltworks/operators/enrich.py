@@ -103,18 +103,19 @@ def hydrate(resources: DataFrame, fetched: DataFrame, *, max_bytes: int = MAX_BY
     complete is hydrated; a parent is, if it or a child has media and its own and all its children's are complete.
     """
     keys = ["resource_id", "node_id", "media_id"]
-    items = capture_plan(resources).join(fetched.dropDuplicates(keys), keys, "left")
+    sizes = fetched.select(*keys, F.length("content").alias("_size"), "error")  # only tasks that fetch hold bytes
+    items = capture_plan(resources).join(sizes.dropDuplicates(keys), keys, "left")
     error = (
         F.when(F.col("deferred"), None)
-        .when(F.col("content").isNull(), F.coalesce("error", F.lit("No bytes returned")))
-        .when(F.length("content") > max_bytes, F.concat(F.lit("Too large: "), F.length("content").cast("string"), F.lit(" bytes")))
+        .when(F.col("_size").isNull(), F.coalesce("error", F.lit("No bytes returned")))
+        .when(F.col("_size") > max_bytes, F.concat(F.lit("Too large: "), F.col("_size").cast("string"), F.lit(" bytes")))
     )
     items = items.withColumn("error", error).withColumn("result", F.when(F.col("deferred"), "skipped").when(F.col("error").isNotNull(), "failed").otherwise("persisted"))
     items = items.withColumn("local_uri", F.when(F.col("result") == "persisted", F.concat(F.lit("media/"), F.col("media_id"))).otherwise(F.col("local_uri")))
     landed = (F.col("result") == "persisted") & F.col("local_uri").isNotNull()
     nodes = items.groupBy("resource_id", "node_id").agg(
         F.bool_and(landed).alias("complete"),
-        F.map_from_entries(F.collect_list(F.struct("pos", F.struct("local_uri", F.when(F.col("result") == "persisted", F.length("content").cast("long")).alias("size_bytes"))))).alias("by_pos"),
+        F.map_from_entries(F.collect_list(F.struct("pos", F.struct("local_uri", F.when(F.col("result") == "persisted", F.col("_size").cast("long")).alias("size_bytes"))))).alias("by_pos"),
     )
     state = nodes.groupBy(F.col("resource_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("complete", "by_pos")))).alias("nodes"))
     rows = resources.join(state, "id", "left")

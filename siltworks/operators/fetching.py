@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,10 @@ Transport = Callable[[str], "bytes | Iterable[bytes] | None"]
 
 #: Addresses that a task may hold while their hosts are busy.
 WAITING = 65_536
+#: Rows of a batch that a task hands on; TURN_BYTES end one, too.
+GATHERED = 2048
+#: A lane's turn ends after so many addresses, seconds or bytes; then another lane may have its thread.
+TURN, TURN_SECONDS, TURN_BYTES = 512, 0.05, 1 << 20
 
 
 class TooLarge(ValueError):
@@ -40,13 +46,24 @@ def body(got: bytes | Iterable[bytes] | None, max_bytes: int) -> bytes | None:
     return bytes(kept)
 
 
-def in_lanes(rows: Iterator[tuple[str, dict]], work: Callable[[dict], dict], threads: int, waiting: int = WAITING) -> Iterator[dict]:
+def in_lanes(rows: Iterator[tuple[str, Any]], work: Callable[[Any], Any], threads: int, waiting: int = WAITING, size: Callable[[Any], int] = lambda _: 0) -> Iterator:
     """work(row) of (lane, row), as they are done: one at a time in each lane, `threads` at a time in all. A slow lane holds up no other, as long as no
-    more than `waiting` of its rows are there."""
+    more than `waiting` of its rows are there. A lane keeps a thread for a turn, so that quick work costs no change of threads for each row; size
+    tells the bytes of a result, of which a turn gathers TURN_BYTES and one result more at most."""
     queues: dict[str, deque] = {}
     ready: deque[str] = deque()  # lanes with rows and none at work
     busy: dict = {}
     held, more = 0, True
+
+    def turn(some: list) -> list:
+        done, kept, until = [], 0, time.monotonic() + TURN_SECONDS
+        for row in some:
+            done.append(work(row))
+            kept += size(done[-1])
+            if kept >= TURN_BYTES or time.monotonic() >= until:
+                break
+        return done
+
     pool = ThreadPoolExecutor(threads)
     try:
         while True:
@@ -62,18 +79,21 @@ def in_lanes(rows: Iterator[tuple[str, dict]], work: Callable[[dict], dict], thr
                 queues[lane].append(row)
             while ready and len(busy) < threads:
                 lane = ready.popleft()
-                busy[pool.submit(work, queues[lane].popleft())] = lane
+                some = [queues[lane].popleft() for _ in range(min(TURN, len(queues[lane])))]
+                busy[pool.submit(turn, some)] = lane, some
             if not busy:
                 return
             done, _ = wait(busy, return_when=FIRST_COMPLETED)
             for one in done:
-                lane = busy.pop(one)
-                held -= 1
+                lane, some = busy.pop(one)
+                got = one.result()
+                held -= len(got)
+                queues[lane].extendleft(reversed(some[len(got) :]))
                 if queues[lane]:
                     ready.append(lane)
                 else:
                     del queues[lane]
-                yield one.result()
+                yield from got
     finally:
         pool.shutdown(cancel_futures=True)
 
@@ -85,8 +105,8 @@ def fetch(plan: DataFrame, transport: Transport, *, max_bytes: int, per_host: in
     """Bytes of the planned media that are not deferred: resource_id, node_id, media_id, content, error.
 
     Addresses are dealt by host and a number below per_host, so a host that has most of them is asked by several tasks, and never by more than
-    per_host requests at a time (a task that Spark repeats or runs twice comes on top). A task keeps at most `threads` bodies of max_bytes. One failure does not
-    end the others; a body beyond max_bytes is a failure, and is not read to its end where the transport gives pieces.
+    per_host requests at a time (a task that Spark repeats or runs twice comes on top). A task keeps at most two bodies of max_bytes and twice TURN_BYTES for each of
+    its `threads`. One failure does not end the others; a body beyond max_bytes is a failure, and is not read to its end where the transport gives pieces.
     """
     host = tx.host_of(F.col("source_uri"))
     lane = F.concat(host, F.lit(" "), F.pmod(F.xxhash64("resource_id", "node_id", "media_id"), F.lit(per_host)).cast("string"))
@@ -95,16 +115,26 @@ def fetch(plan: DataFrame, transport: Transport, *, max_bytes: int, per_host: in
     ddl = schema.struct(FETCHED)
     arrow = to_arrow_schema(ddl)
 
-    def work(row: dict) -> dict:
+    def work(row: tuple) -> tuple:
+        *keys, uri, _ = row
         try:
-            content, error = body(transport(row["source_uri"]), max_bytes), None
+            content, error = body(transport(uri), max_bytes), None
         except Exception as e:  # noqa: BLE001 recorded per item
             content, error = None, str(e) or type(e).__name__
-        return {"resource_id": row["resource_id"], "node_id": row["node_id"], "media_id": row["media_id"], "content": content, "error": error}
+        return *keys, content, error
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planned = ((row["lane"], row) for batch in batches for row in batch.to_pylist())
-        for got in in_lanes(planned, work, threads):
-            yield pa.RecordBatch.from_pylist([got], arrow)
+        planned = ((row[-1], row) for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        size = lambda got: len(got[3] or b"")
+        packed = lambda some: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
+        out, kept = [], 0
+        for got in in_lanes(planned, work, threads, size=size):
+            out.append(got)
+            kept += size(got)
+            if kept >= TURN_BYTES or len(out) >= GATHERED:
+                yield packed(out)
+                out, kept = [], 0
+        if out:
+            yield packed(out)
 
     return dealt.mapInArrow(rows, ddl)

@@ -1,5 +1,6 @@
 """Fetching by lanes: how many at a time, slow hosts, large bodies."""
 
+import threading
 import time
 
 import pytest
@@ -69,3 +70,38 @@ def test_lanes(waiting):
     assert sorted(r["i"] for r in got) == list(range(200)) and not broken
     assert all([r["i"] for r in got if r["i"] % 5 == n] == list(range(n, 200, 5)) for n in range(5))
     assert list(fetching.in_lanes(iter([]), work, 3)) == []
+
+
+def test_quick_addresses_of_one_host_share_turns_and_batches(spark):
+    threads = set()
+
+    def work(row):
+        threads.add(threading.get_ident())
+        return row
+
+    turns = []
+
+    class Pool(fetching.ThreadPoolExecutor):
+        def submit(self, *args):
+            turns.append(1)
+            return super().submit(*args)
+
+    before, fetching.ThreadPoolExecutor = fetching.ThreadPoolExecutor, Pool
+    try:
+        assert list(fetching.in_lanes((("one", i) for i in range(1, 20_001)), work, 4)) == list(range(1, 20_001))
+    finally:
+        fetching.ThreadPoolExecutor = before
+    assert len(turns) < 4_000 and len(threads) <= 4  # 20,000 when each row was a turn
+
+
+def test_a_turn_ends_with_its_bytes():
+    most, now = [0], [0]
+
+    def work(row):
+        now[0] += 1
+        most[0] = max(most[0], now[0])
+        return bytes(fetching.TURN_BYTES // 2)
+
+    for _ in fetching.in_lanes((("one", i) for i in range(1, 41)), work, 1, size=len):
+        now[0] -= 1
+    assert most[0] <= 4
