@@ -18,6 +18,7 @@ from siltworks.operators.enrich import media_links
 from siltworks.plans import passes
 from siltworks.plans.gateways import Gateway
 from siltworks.plans.passes import Cancelled
+from siltworks.session import shuffle_width
 from siltworks.sources import archive
 from siltworks.sources.store import Store
 
@@ -33,15 +34,16 @@ def above_watermark(extracted_at: Column, watermark: str | None) -> Column:
 
 
 def present_media(resources: DataFrame, media: DataFrame, inclusion: str, include_children: bool = False) -> DataFrame:
-    """Resources with the set of their media whose bytes are there. No join is planned when nothing is to be included."""
+    """Resources with the set of their media whose bytes are there. No join is planned when nothing is to be included. Ids of media are never broadcast:
+    what a narrow column of a wide table holds is estimated far too small."""
     none = F.array().cast("array<string>")
     if inclusion not in INCLUSIONS:
         raise ValueError(inclusion)
     if inclusion == "none":
         return resources.withColumn("present", none)
-    there = media_links(resources, include_children).join(media.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    there = media_links(resources, include_children).join(media.select(F.col("id").alias("media_id")).hint("merge"), "media_id", "left_semi")
     found = there.groupBy(F.col("resource_id").alias("id")).agg(F.collect_set("media_id").alias("present"))
-    return resources.join(found, "id", "left").withColumn("present", F.coalesce("present", none))
+    return resources.join(found.hint("merge"), "id", "left").withColumn("present", F.coalesce("present", none))
 
 
 def _json_object(fields: list[tuple[str, Column]]) -> Column:
@@ -185,9 +187,9 @@ def entries(parts: DataFrame, blobs: DataFrame, direct: DataFrame | None = None)
     direct (media_id, content) are bytes fetched for this archive; they come before those in blobs."""
     texts = bundle(parts).select("path", F.encode("text", "UTF-8").alias("content"))
     media = parts.where("kind = 'binary'").groupBy("path").agg(F.min_by("media_id", F.struct("id", "pos")).alias("media_id"))
-    media = media.join(blobs.select("media_id", "content"), "media_id", "left")
+    media = media.join(blobs.select("media_id", "content").hint("merge"), "media_id", "left")
     if direct is not None:
-        media = media.join(direct.select("media_id", F.col("content").alias("_direct")), "media_id", "left").withColumn("content", F.coalesce("_direct", "content"))
+        media = media.join(direct.select("media_id", F.col("content").alias("_direct")).hint("merge"), "media_id", "left").withColumn("content", F.coalesce("_direct", "content"))
     return texts.unionByName(media.where(F.col("content").isNotNull()).select("path", "content"))
 
 
@@ -262,8 +264,9 @@ class OneFile:
 class Coordinator:
     """Export runs over a store: at most one at a time, the manifest moves only after delivery.
 
-    A run is a pass over pages of resources (passes.run_pass). The parts of each page are staged under the store's folder, and the artifact is
-    put together from them at the end, so a run that was interrupted goes on with the page it was at.
+    A run is a pass over pages of resources (passes.run_pass). Its items, with their media that are there, are first staged in order of id, once
+    for all pages, so a page reads its own rows only. The parts of each page are staged, too, and the artifact is put together from them at the end, so a
+    run that was interrupted goes on with the page it was at.
     """
 
     def __init__(self, store: Store, gateway: Gateway | None = None):
@@ -297,12 +300,18 @@ class Coordinator:
     def _clear(self, request_id: str, path: str) -> None:
         for key in ("export_progress", "export_request", f"export:{request_id}_cursor", f"export_cancelled:{request_id}"):
             self.store.delete_state(key)
-        self.store.remove_folder(self._stage(request_id))
+        self.store.remove_folder(self._folder(request_id))
         self.gateway.discard(path)
 
-    def _stage(self, request_id: str) -> str:
+    def _folder(self, request_id: str) -> str:
         return f"{self.store.root}/_exports/{request_id}"
 
+    def _stage(self, request_id: str) -> str:
+        return f"{self._folder(request_id)}/parts"
+
+    def _items(self, request_id: str) -> str:
+        return f"{self._folder(request_id)}/items"
+
     def resume(self, path: str, blobs: DataFrame, now: str, *, direct: DataFrame | None = None) -> Result | None:
         """Goes on with the stored request, if one was begun and not finished; progress without a request is cleared."""
         progress, stored = self.progress(), self.store.get_state("export_request")
@@ -354,7 +363,7 @@ class Coordinator:
             return resources if state is None else resources.where(F.col("state") == state)
 
         def serialize(page: DataFrame, number: int) -> None:
-            items = present_media(page.where(later), facts, inclusion)
+            items = page.where(later)
             parts = json_lines(items, inclusion).select("id", "line") if target == "json" else SERIALIZERS[target](items, inclusion)
             parts.write.mode("overwrite").parquet(f"{self._stage(request_id)}/page={number}")
 
@@ -362,25 +371,30 @@ class Coordinator:
         begun = passes.checkpoint_of(self.store, name)
         snapshot = begun["snapshot"] if begun else self.store.latest_number()
         if begun is None:
-            self.store.remove_folder(self._stage(request_id))
-        facts = self.store.read("media_metadata", snapshot).where("state = 'complete'")
-        report = passes.run_pass(self.store, name, rows, serialize, page_rows=page_rows, stop=stop, at=snapshot)
+            self.store.remove_folder(self._folder(request_id))
+            if self._cancelled(request_id):
+                raise Cancelled(request_id)
+            facts = self.store.read("media_metadata", snapshot).where("state = 'complete'")
+            ordered = present_media(rows(snapshot), facts, inclusion).repartitionByRange(shuffle_width(self.spark), "id").sortWithinPartitions("id")
+            ordered.write.mode("overwrite").parquet(self._items(request_id))
+        items = self.spark.read.parquet(self._items(request_id))
+        report = passes.run_pass(self.store, name, lambda _: items, serialize, page_rows=page_rows, stop=stop, at=snapshot)
         if not report.completed_cleanly:
             raise RuntimeError(report.error)
-        counts = rows(snapshot).agg(F.count_if(later).alias("exported"), F.count_if(~later).alias("skipped")).first()
+        counts = items.agg(F.count_if(later).alias("exported"), F.count_if(~later).alias("skipped")).first()
         parts, included, missing = self.spark.read.parquet(self._stage(request_id)), 0, 0
         if target == "json":
             size = self.gateway.lines(parts, path)
         else:
             size = self.gateway.archive(entries(parts, blobs, direct), path)
             there = blobs.select("media_id") if direct is None else blobs.select("media_id").union(direct.select("media_id"))
-            media = parts.where("kind = 'binary'").join(there.distinct().withColumn("there", F.lit(True)), "media_id", "left").agg(F.count_if(F.col("there")).alias("i"), F.count_if(F.col("there").isNull()).alias("m")).first()
+            media = parts.where("kind = 'binary'").join(there.distinct().withColumn("there", F.lit(True)).hint("merge"), "media_id", "left").agg(F.count_if(F.col("there")).alias("i"), F.count_if(F.col("there").isNull()).alias("m")).first()
             included, missing = media["i"], media["m"]
         if incremental:
             self.store.save("export_manifest", next_manifest(self.spark, before, target, request_id, counts["exported"], now))
         self.store.put_state("export_progress", json.dumps({"request_id": request_id, "target": target, "done": True, "pages_done": report.pages}))
         self.store.delete_state("export_request")
-        self.store.remove_folder(self._stage(request_id))
+        self.store.remove_folder(self._folder(request_id))
         return Result(counts["exported"], counts["skipped"], included, missing, size, True)
 
 

@@ -153,3 +153,19 @@ def test_names_of_artifacts(spark, coordinator):
     assert coordinator.path_in("/d/", "json", "2024-08-01T01:02:03.004Z") == "/d/knowledge-export-json-2024-08-01T01-02-03-004Z.ndjson"
     assert coordinator.path_in("/d", "obsidian", "2024-08-01T01:02:03.004Z").endswith("-obsidian-2024-08-01T01-02-03-004Z.zip")
     assert gateways.inner_path("a/../b//./c..d") == "a/%2E%2E/b/%25/%2E/c..d"
+
+
+def test_ids_of_media_are_joined_by_exchange(spark):
+    plan = items(spark, row("a", media=("m",)), there=("m",))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pages_of_a_run_read_staged_items_in_order(spark, coordinator, tmp_path, monkeypatch):
+    coordinator.store.save("resources", resources(spark, *[row(f"{i:03d}", media=("m",)) for i in range(60)]))
+    pages = []
+    monkeypatch.setattr(export, "json_lines", lambda rows, inclusion, of=export.json_lines: pages.append(rows) or of(rows, inclusion))
+    monkeypatch.setattr(export, "present_media", lambda *x, of=export.present_media, calls=pages.append: calls("joined") or of(*x))
+    result = run(coordinator, spark, tmp_path / "x", incremental=False, page_rows=10)
+    assert result.exported == 60 and pages[0] == "joined" and pages.count("joined") == 1 and len(pages) == 7
+    assert [json.loads(x)["resourceId"] for x in (tmp_path / "x").read_text().splitlines()] == [f"{i:03d}" for i in range(60)]
+    assert not list((tmp_path / "store" / "_exports").glob("*"))
