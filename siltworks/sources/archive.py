@@ -2,7 +2,7 @@
 
 Rows (path, content) come in ranges of the path. Each task writes one part file: for an archive, local headers and stored bodies with their CRC-32,
 and beside it the records of the directory with offsets from the part's start; rows of one path that follow each other are one entry, appended in order. When all
-tasks are done, the parts' sizes give their offsets, the directory is written from the records, one by one, and the parts are joined. Attempts write
+tasks are done, the parts' sizes give their offsets, other tasks write each part's piece of the directory, and the parts and pieces are joined. Attempts write
 files under names of their own, and only those of the attempt that counts are named in the commit, so a task that is lost or runs twice leaves nothing in the archive.
 
 Parts are joined by the file system where it can (concat), else copied as a stream of bytes. Tasks open files by URI through pyarrow, so folders may be in any
@@ -21,12 +21,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import accumulate, groupby
+from operator import itemgetter
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from siltworks.session import shuffle_width
@@ -41,6 +44,9 @@ HELD = 32 << 20
 #: Bytes of entries that one task reads, about.
 SPLIT = 64 << 20
 SCHEMA = "place long, path string, size long, crc32 long, content binary"
+KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+#: Bytes read or written together, what a field of a record holds at most, and room for the fields before a body.
+BUFFER, LIMIT_OF_FIELD, ROOM = 1 << 20, 0xFFFF, 64
 #: A directory's record in a part: CRC-32, size, offset in the part, bytes of the name that follows.
 RECORD = struct.Struct("<IQQI")
 
@@ -88,38 +94,39 @@ class PartsWriter(DataSourceWriter):
         files, folder = open_folder(self.folder)
         files.create_dir(folder, recursive=True)
         name, n, at = uuid.uuid4().hex, 0, 0
-        with files.open_output_stream(f"{folder}/{name}.part") as out, files.open_output_stream(f"{folder}/{name}.records") as records:
-            for path, some in groupby((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-                with tempfile.SpooledTemporaryFile(HELD) as body:
-                    crc = size = 0
+        with files.open_output_stream(f"{folder}/{name}.part", buffer_size=BUFFER) as out, files.open_output_stream(f"{folder}/{name}.records", buffer_size=BUFFER) as records:
+            for path, some in groupby((r for r in rows if r[0] is not None), key=itemgetter(0)):
+                held, body, crc, size = [], None, 0, 0
+                try:
                     for r in some:
                         content = bytes(r[1] or b"")
                         crc, size = zlib.crc32(content, crc), size + len(content)
-                        body.write(content)
-                    header = local_header(path.encode(), crc, size) if self.zipped else b""
+                        if body is None and size > HELD:
+                            body = tempfile.TemporaryFile()
+                            body.writelines(held)
+                        (held.append if body is None else body.write)(content)
+                    header, encoded = b"", path.encode()
                     if self.zipped:
-                        records.write(RECORD.pack(crc, size, at, len(path.encode())) + path.encode())
-                    out.write(header)
-                    body.seek(0)
-                    shutil.copyfileobj(body, out, 1 << 20)
-                    n, at = n + 1, at + len(header) + size
+                        header = local_header(encoded, crc, size)
+                        records.write(RECORD.pack(crc, size, at, len(encoded)) + encoded)
+                    if body is None:
+                        out.write(b"".join([header, *held]))
+                    else:
+                        out.write(header)
+                        body.seek(0)
+                        shutil.copyfileobj(body, out, BUFFER)
+                finally:
+                    if body is not None:
+                        body.close()
+                n, at = n + 1, at + len(header) + size
         return Part(name, n, at)
 
     def commit(self, messages: list[Part | None]) -> None:
         files, folder = open_folder(self.folder)
         files.create_dir(folder, recursive=True)
         parts = [m for m in messages if m is not None and m.n]  # in order of the ranges
-        if self.zipped:
-            base = size = n = 0
-            with files.open_output_stream(f"{folder}/directory") as out:
-                for part in parts:
-                    with files.open_input_stream(f"{folder}/{part.name}.records") as records:
-                        while head := records.read(RECORD.size):
-                            crc, length, at, width = RECORD.unpack(head)
-                            size += out.write(central_record(records.read(width), crc, length, base + at, self.limit))
-                            n += 1
-                    base += part.size
-                out.write(ending(n, size, base, self.limit))
+        with files.open_output_stream(f"{folder}/sizes") as out:
+            out.write("\n".join(f"{p.name} {p.n} {p.size}" for p in parts).encode())
         with files.open_output_stream(f"{folder}/order") as out:
             out.write("\n".join([str(sum(p.n for p in parts)), *[f"{p.name}.part" for p in parts], *["directory"] * self.zipped]).encode())
 
@@ -131,6 +138,60 @@ class PartsWriter(DataSourceWriter):
                     files.delete_file(f"{folder}/{m.name}.{kind}")
 
 
+class BatchesWriter(DataSourceArrowWriter):
+    """The same, given rows in Arrow batches."""
+
+    def __init__(self, parts: PartsWriter):
+        self.parts = parts
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
+        return self.parts.write(r for batch in iterator for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+
+    def commit(self, messages: list[Part | None]) -> None:
+        self.parts.commit(messages)
+
+    def abort(self, messages: list[Part | None]) -> None:
+        self.parts.abort(messages)
+
+
+def _directory_piece(uri: str, name: str, base: int, limit: int) -> int:
+    """Writes a part's piece of the directory; gives its size."""
+    files, folder = open_folder(uri)
+    size, held = 0, f"{folder}/{name}.{uuid.uuid4().hex}"
+    with files.open_input_stream(f"{folder}/{name}.records", buffer_size=BUFFER) as records, files.open_output_stream(held, buffer_size=BUFFER) as out:
+        while head := records.read(RECORD.size):
+            crc, length, at, width = RECORD.unpack(head)
+            size += out.write(central_record(records.read(width), crc, length, base + at, limit))
+    files.move(held, f"{folder}/{name}.directory")
+    return size
+
+
+def _directory_pieces(uri: str, limit: int):
+    """For rows (name, base) of parts: each part's piece of the directory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [_directory_piece(uri, name, base, limit) for name, base in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["size"])
+
+    return run
+
+
+def _write_directory(spark: SparkSession, folder: str, limit: int) -> list[str]:
+    """The directory in pieces, one for each part and the ending, written by tasks; gives their names in order."""
+    files, at = open_folder(folder)
+    with files.open_input_stream(f"{at}/sizes") as f:
+        parts = [(name, int(n), int(size)) for name, n, size in (x.split() for x in f.read().decode().splitlines())]
+    bases = [0, *accumulate(size for _, _, size in parts)]
+    size = 0
+    if parts:
+        rows = spark.createDataFrame([(name, base) for (name, _, _), base in zip(parts, bases[:-1], strict=True)], "name string, base long").repartition(len(parts))
+        size = rows.mapInArrow(_directory_pieces(folder, limit), "size long").agg(F.sum("size")).first()[0]
+    with files.open_output_stream(f"{at}/ending") as out:
+        out.write(ending(sum(n for _, n, _ in parts), size, bases[-1], limit))
+    return [*[f"{name}.directory" for name, _, _ in parts], "ending"]
+
+
 @dataclass
 class Slice(InputPartition):
     """Entries from a place of the directory on, and how many."""
@@ -140,23 +201,33 @@ class Slice(InputPartition):
     n: int
 
 
+#: What a directory's record says before its name: CRC-32, both sizes, the lengths of what follows, and the offset.
+FIXED_PART, HEAD = 46, struct.Struct("<16xIIIHHH8xI")
+
+
 def _records(stream, n: int) -> Iterator[tuple[bytes, int, int, int, int]]:
     """name, crc, size, offset and the record's own length, of n records of a directory."""
+    data, at, longest, more_to_come = b"", 0, 3 * LIMIT_OF_FIELD + FIXED_PART, True
     for _ in range(n):
-        x = struct.unpack("<IHHHHHHIIIHHHHHII", stream.read(46))
-        name, extra, comment = stream.read(x[10]), stream.read(x[11]), stream.read(x[12])
-        size, offset, at = x[9], x[16], 0
-        while at + 4 <= len(extra):
-            kind, width = struct.unpack_from("<HH", extra, at)
-            if kind == 1:
-                wide = list(struct.unpack_from(f"<{width // 8}Q", extra, at + 4))
-                if x[9] == LIMIT:
-                    size = wide[0]
-                    wide = wide[2:] if x[8] == LIMIT else wide[1:]
-                if x[16] == LIMIT:
-                    offset = wide[0]
-            at += 4 + width
-        yield name, x[7], size, offset, 46 + len(name) + len(extra) + len(comment)
+        if more_to_come and len(data) - at < longest:
+            following = stream.read(max(BUFFER, longest))
+            data, at, more_to_come = data[at:] + following, 0, bool(following)
+        crc, packed, size, width, more, remark, offset = HEAD.unpack_from(data, at)
+        start, whole = at + FIXED_PART, size
+        if more and (size == LIMIT or offset == LIMIT):
+            extra, i = data[start + width : start + width + more], 0
+            while i + 4 <= len(extra):
+                kind, length = struct.unpack_from("<HH", extra, i)
+                if kind == 1:
+                    wide = list(struct.unpack_from(f"<{length // 8}Q", extra, i + 4))
+                    if size == LIMIT:
+                        whole = wide[0]
+                        wide = wide[2:] if packed == LIMIT else wide[1:]
+                    if offset == LIMIT:
+                        offset = wide[0]
+                i += 4 + length
+        yield data[start : start + width], crc, whole, offset, FIXED_PART + width + more + remark
+        at = start + width + more + remark
 
 
 class EntriesReader(DataSourceReader):
@@ -187,15 +258,32 @@ class EntriesReader(DataSourceReader):
                 where, held = where + length, held + size
         return slices
 
-    def read(self, part: Slice) -> Iterator[tuple]:
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         files, path = open_folder(self.uri)
+        out, held = [], 0
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], names)
         with files.open_input_file(path) as directory, files.open_input_file(path) as bodies:
             directory.seek(part.start)
+            window, begin = b"", 0  # entries follow each other in most archives
             for i, (name, crc, size, offset, _) in enumerate(_records(directory, part.n)):
-                bodies.seek(offset)
-                head = struct.unpack("<IHHHHHIIIHH", bodies.read(30))
-                bodies.seek(offset + 30 + head[9] + head[10])
-                yield part.first + i, name.decode(), size, crc, bodies.read(size)
+                if not begin <= offset <= begin + len(window) - 30 - size - len(name) - ROOM:
+                    bodies.seek(offset)
+                    window, begin = bodies.read(max(BUFFER, 30 + size + len(name) + ROOM)), offset
+                width, extra = struct.unpack_from("<HH", window, offset - begin + 26)
+                start = offset - begin + 30 + width + extra
+                if start + size > len(window):
+                    bodies.seek(begin + start)
+                    content = bodies.read(size)
+                else:
+                    content = window[start : start + size]
+                out.append((part.first + i, name.decode(), size, crc, content))
+                held += size
+                if held >= BUFFER or len(out) >= 4096:
+                    yield packed()
+                    out, held = [], 0
+        if out:
+            yield packed()
 
 
 class OneFile(DataSource):
@@ -212,7 +300,7 @@ class OneFile(DataSource):
         return EntriesReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return PartsWriter(self.options["path"], self.options.get("zipped", "true") == "true", int(self.options.get("limit", LIMIT)))
+        return BatchesWriter(PartsWriter(self.options["path"], self.options.get("zipped", "true") == "true", int(self.options.get("limit", LIMIT))))
 
 
 class OneFileWritten(NamedTuple):
@@ -226,8 +314,8 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _join(spark: SparkSession, folder: str, target: str) -> OneFileWritten:
-    """Joins the parts that a commit has named to one file, which then appears under its name at once."""
+def _join(spark: SparkSession, folder: str, target: str, limit: int) -> OneFileWritten:
+    """Joins the parts that a commit has named, and an archive's directory, to one file, which then appears under its name at once."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     configuration = spark._jsc.hadoopConfiguration()
     whole = path(f"{folder}/whole")
@@ -235,6 +323,8 @@ def _join(spark: SparkSession, folder: str, target: str) -> OneFileWritten:
     stream = files.open(path(f"{folder}/order"))
     entries, *names = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
     stream.close()
+    if names[-1:] == ["directory"]:
+        names[-1:] = _write_directory(spark, folder, limit)
     parts = [path(f"{folder}/{n}") for n in names]
     files.create(whole, True).close()
     try:
@@ -270,7 +360,7 @@ def _write(rows: DataFrame, order: list[str], target: str, zipped: bool, limit:
         # All rows of a path go to one task, so that they can become one entry there.
         dealt = rows.repartitionByRange(shuffle_width(spark), order[0]).sortWithinPartitions(*order).select("path", "content")
         dealt.write.format("onefile").option("zipped", str(zipped).lower()).option("limit", str(limit)).mode("append").save(folder)
-        return _join(spark, folder, target)
+        return _join(spark, folder, target, limit)
     finally:
         remove(spark, folder)
 

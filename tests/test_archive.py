@@ -62,3 +62,26 @@ def test_a_lost_attempt_leaves_nothing(tmp_path):
     writer.write(iter(rows))  # its message never comes
     writer.commit([writer.write(iter(rows)), None])
     assert (tmp_path / "parts" / "order").read_text().split("\n")[0] == "2" and len((tmp_path / "parts" / "order").read_text().split("\n")) == 3
+
+
+def test_a_commit_reads_no_records_and_tasks_write_the_directory(spark, tmp_path, monkeypatch):
+    writer = archive.PartsWriter(str(tmp_path / "parts"), True, archive.LIMIT)
+    message = writer.write(iter([("a", b"1"), ("b", b"2")]))
+    (tmp_path / "parts" / f"{message.name}.records").rename(tmp_path / "records")
+    writer.commit([message])  # the driver needs the sizes only
+    (tmp_path / "records").rename(tmp_path / "parts" / f"{message.name}.records")
+    assert archive._write_directory(spark, str(tmp_path / "parts"), archive.LIMIT) == [f"{message.name}.directory", "ending"]
+
+
+def test_records_across_reads_and_large_entries(spark, tmp_path, monkeypatch):
+    rows = [(f"{'n' * 300}{i:05d}", bytes([i % 251]) * (i % 7 * 50_000)) for i in range(1200)] + [("big", b"x" * (archive.HELD + 5))]
+    archive.write_archive(spark.createDataFrame(rows, "path string, content binary").repartition(3), str(tmp_path / "a.zip"))
+    monkeypatch.setattr(archive, "BUFFER", 1000)
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        assert z.testzip() is None and len(z.infolist()) == 1201
+        wanted = [(i.filename.encode(), i.CRC, i.file_size, i.header_offset) for i in z.infolist()]
+    with open(tmp_path / "a.zip", "rb") as f:
+        f.seek(zipfile.ZipFile(tmp_path / "a.zip").start_dir)
+        assert [r[:4] for r in archive._records(f, 1201)] == wanted
+    found = archive.read_archive(spark, str(tmp_path / "a.zip"))
+    assert found.where("crc32(content) <> crc32 OR length(content) <> size").count() == 0 and found.count() == 1201
