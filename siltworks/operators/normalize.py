@@ -79,11 +79,17 @@ def normalize(posts: DataFrame, extracted_at: Column) -> DataFrame:
 
 
 def adjacency(resources: DataFrame) -> DataFrame:
-    """Resources and their children as rows: id, parent_id, child_pos, depth, kind, state, source, author, content, media, completeness."""
+    """Resources and their children as rows: id, parent_id, child_pos, depth, kind, state, source, author, content, media, completeness.
+
+    Each resource gives its rows in one step, so what the resources are made from is computed once."""
     own = ["id", "kind", "state", "source", "author", "content", "media", "completeness"]
-    roots = resources.select(F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("child_pos"), F.lit(0).alias("depth"), *own)
-    kids = resources.select(F.col("id").alias("parent_id"), F.posexplode("children").alias("child_pos", "child"))
-    return roots.unionByName(kids.select("parent_id", "child_pos", F.lit(1).alias("depth"), *[F.col(f"child.{c}").alias(c) for c in own]))
+    kinds = resources.schema
+    null = lambda kind: F.lit(None).cast(kind)
+    row = lambda parent, pos, depth, of: F.struct(parent.alias("parent_id"), pos.alias("child_pos"), F.lit(depth).alias("depth"), *[of(c).cast(kinds[c].dataType).alias(c) for c in own])
+    root = row(null("string"), null("int"), 0, F.col)
+    kids = F.transform("children", lambda child, i: row(F.col("id"), i, 1, lambda c: child[c]))
+    rows = F.concat(F.array(root), F.coalesce(kids, F.filter(F.array(root), lambda _: F.lit(False))))
+    return resources.select(F.explode(rows).alias("r")).select("r.parent_id", "r.child_pos", "r.depth", *[f"r.{c}" for c in own])
 
 
 class Cycle(ValueError):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltworks.operators import normalize
+from siltworks.operators import connector, normalize
 
 
 def plain(parents):
@@ -40,3 +40,21 @@ def test_cycles_and_no_rows(spark):
         with pytest.raises(normalize.Cycle):
             f(cycle)
         assert f(cycle.where("false")).collect() == []
+
+
+def test_rows_of_a_tree_are_made_in_one_step(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    page = '<article><a href="/p/K{0}/">p</a><header><a role="link" href="/c">c</a></header><img src="/a{0}.png" width="640"><img src="/b{0}.png" width="640"></article>'
+    pages = spark.createDataFrame([(i, "https://www.instagram.com/", page.format(i)) for i in range(5)] + [(9, "https://www.instagram.com/", "<article>x<img src='/a.png'></article>")], "page_id long, url string, html string")
+    found, _ = connector.resources(pages.mapInArrow(count, pages.schema), F.lit("2030-01-01T00:00:00.000Z"))
+    rows = normalize.adjacency(found).select("id", "parent_id", "child_pos", "depth", "kind").collect()
+    assert len(rows) == 6 + 5 * 2 and made.value == 6
+    assert sorted((r["child_pos"], r["depth"]) for r in rows if r["parent_id"] == "ig_K3") == [(0, 1), (1, 1)]
+    without = normalize.adjacency(found.withColumn("children", F.lit(None).cast(found.schema["children"].dataType)))
+    assert without.count() == 6 and without.where("depth > 0").count() == 0
