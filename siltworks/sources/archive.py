@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate, groupby
 from operator import itemgetter
 from typing import NamedTuple
@@ -51,6 +52,7 @@ BUFFER, LIMIT_OF_FIELD, ROOM = 1 << 20, 0xFFFF, 64
 RECORD = struct.Struct("<IQQI")
 
 
+@lru_cache(maxsize=64)
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:") :]

@@ -11,10 +11,13 @@ not there are not found, and deleting them changes nothing.
 
 from __future__ import annotations
 
+import os
 import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks import schema
-from siltworks.session import settle
+from siltworks.session import settle, shuffle_width
 from siltworks.sources import media
 from siltworks.sources.archive import open_folder
 
@@ -37,11 +40,40 @@ def write_file(root: str, path: str, data: bytes) -> None:
     """data at root/path, all of it or nothing."""
     files, folder = open_folder(root)
     target, held = f"{folder}/{path}", f"{folder}/{UNFINISHED}/{uuid.uuid4().hex}"
-    for d in (held, target):
-        files.create_dir(d.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(held) as out:
+
+    def in_folder(name: str, do):
+        try:
+            return do()
+        except FileNotFoundError:  # the first file of its folder
+            files.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            return do()
+
+    with in_folder(held, lambda: files.open_output_stream(held)) as out:
         out.write(data)
-    files.move(held, target)
+    in_folder(target, lambda: files.move(held, target))
+
+
+def listed(root: str, within: str) -> Iterator[tuple[str, int, datetime]]:
+    """path below root, length, modified of all files below root/within; those of a local folder one by one, however many it holds."""
+    files, folder = open_folder(root)
+    top = f"{folder}/{within}".rstrip("/")
+    if isinstance(files, fs.LocalFileSystem):
+        waiting = [top] if os.path.isdir(top) else []
+        while waiting:
+            with os.scandir(waiting.pop()) as found:
+                for e in found:
+                    if e.is_dir():
+                        waiting.append(e.path)
+                        continue
+                    try:
+                        about = e.stat()
+                    except FileNotFoundError:  # removed meanwhile
+                        continue
+                    yield e.path[len(folder) + 1 :], about.st_size, datetime.fromtimestamp(about.st_mtime, UTC)
+    else:
+        for x in files.get_file_info(fs.FileSelector(top, allow_not_found=True, recursive=True)):
+            if x.type == fs.FileType.File:
+                yield x.path[len(folder) + 1 :], x.size, x.mtime
 
 
 def remove_file(root: str, path: str) -> bool:
@@ -78,15 +110,18 @@ class Files:
         return remove_file(self.root, path)
 
     def list(self, spark: SparkSession, prefix: str = "") -> DataFrame:
-        """path (below the folder), length, modified of the files whose path begins with prefix."""
-        files, folder = open_folder(self.root)
-        within = prefix.rpartition("/")[0]  # only this folder is listed
-        if files.get_file_info(f"{folder}/{within}").type == fs.FileType.NotFound:
-            return spark.createDataFrame([], "path string, length long, modified timestamp")
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{within}")
-        top = f"{folder}/{within.partition('/')[0]}"
-        below = F.expr(f"substring(path, instr(path, {_quoted(top)}) + {len(folder) + 1})")
-        return found.select(below.alias("path"), "length", F.col("modificationTime").alias("modified")).where(F.col("path").startswith(prefix))
+        """path (below the folder), length, modified of the files whose path begins with prefix. A task lists them, and deals them to all others."""
+        root, within = self.root, prefix.rpartition("/")[0]  # only this folder is listed
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.string(), pa.int64(), pa.timestamp("us", tz="UTC")]
+            for _ in batches:
+                found = (x for x in listed(root, within) if x[0].startswith(prefix))
+                while some := list(islice(found, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], ["path", "length", "modified"])
+
+        one = spark.range(1, numPartitions=1)
+        return one.mapInArrow(run, "path string, length long, modified timestamp").repartition(shuffle_width(spark), "path")
 
     def end(self) -> None:
         """Removes the folder of unfinished files, once nothing is being written."""
@@ -128,11 +163,6 @@ class Spread:
             p.end()
 
 
-def _quoted(text: str) -> str:
-    """A text as a literal of SQL."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 class BlobStore:
     """Media under root, or wherever the given backend keeps files; every method's work is done by tasks."""
 

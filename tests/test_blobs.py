@@ -71,3 +71,15 @@ def test_a_store_over_several_folders(spark, tmp_path):
     assert not (roots[2] / "media/tmp/half").exists() and store.delete(ids) == 30 and store.metadata().count() == 0
     with pytest.raises(ValueError):
         blobs.BlobStore(spark)
+
+
+def test_files_are_listed_by_a_task_and_dealt_to_few_partitions(spark, tmp_path):
+    store = blobs.BlobStore(spark, str(tmp_path))
+    put(spark, store, [(f"_m{i}", "image", None, b"x" * i, None) for i in range(300)], "1")
+    found = store.metadata()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "BatchScan" not in plan and found.rdd.getNumPartitions() == 4  # one for each 32 files before
+    assert {(r["id"], r["size_bytes"]) for r in found.collect()} == {(f"_m{i}", i) for i in range(300)}
+    listed = {r["path"]: r for r in store.files("media/images/").collect()}
+    assert len(listed) == 300 and listed["media/images/_m7"]["length"] == 7 and listed["media/images/_m7"]["modified"].year >= 2024
+    assert store.files("media/nothing/").count() == 0
