@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.text import js_round
 from siltworks.operators.ranges import scan
+from siltworks.session import shuffle_width
 
 #: Counter: the event type that it counts.
 COUNTERS = {
@@ -61,13 +62,18 @@ def state_counts(resources: DataFrame, column: str = "state") -> DataFrame:
 
 
 SNAPSHOT_CHARS = 2000
+#: Failure records that a task gathers, about; with whole snapshots they take some 100 MB.
+GATHERED = 50_000
 
 
 def failures(events: DataFrame, *, by: list[str], order: list[str]) -> DataFrame:
     """Failure records per group in order: category, root_cause, dom_snapshot (cut), and optional fields where given."""
     given = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
     record = F.struct(F.col("category"), F.col("root_cause"), F.substring("dom_snapshot", 1, SNAPSHOT_CHARS).alias("dom_snapshot"), given("resource_uri"), given("strategy"))
-    packed = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, record.alias("_record")))).alias("_all"))
+    # The number of tasks follows that of records, so what a task gathers and sorts does not grow with the input.
+    parts = max(shuffle_width(events.sparkSession), -(-events.count() // GATHERED))
+    cut = events.select(*by, F.struct(*order, record.alias("_record")).alias("_one")).repartition(parts, *by)
+    packed = cut.groupBy(*by).agg(F.array_sort(F.collect_list("_one")).alias("_all"))
     return packed.select(*by, F.transform("_all", lambda x: x["_record"]).alias("failures"))
 
 

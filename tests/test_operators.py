@@ -186,3 +186,13 @@ def test_reports(spark):
     assert report["strategy_usage"] == {"st": 2} and report["metrics"]["discovered"] == 1
     permanent = spark.createDataFrame([("navigation", "Not Found"), ("extraction", "No article element here"), ("extraction", "not found")], "stage string, m string")
     assert [r[0] for r in permanent.select(scheduler.is_permanent(F.col("stage"), F.col("m"))).collect()] == [True, True, False]
+
+
+def test_tasks_that_gather_failures_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "GATHERED", 100)
+    c = lambda x: F.lit(x)
+    events = spark.range(1200).select((F.col("id") % 300).alias("s"), F.col("id").alias("n"), c("k").alias("category"), c("r").alias("root_cause"), F.repeat(c("x"), 2100).alias("dom_snapshot"), c("").alias("resource_uri"), c("t").alias("strategy"))
+    found = metrics.failures(events, by=["s"], order=["n"])
+    assert found.rdd.getNumPartitions() == 12
+    rows = found.select("s", F.size("failures").alias("n"), F.length(F.col("failures")[0]["dom_snapshot"]).alias("cut")).collect()
+    assert len(rows) == 300 and {(r["n"], r["cut"]) for r in rows} == {(4, 2000)}
