@@ -110,7 +110,7 @@ class Files:
         return remove_file(self.root, path)
 
     def list(self, spark: SparkSession, prefix: str = "") -> DataFrame:
-        """path (below the folder), length, modified of the files whose path begins with prefix. A task lists them, and deals them to all others."""
+        """path (below the folder), length, modified of the files whose path begins with prefix. A task lists them."""
         root, within = self.root, prefix.rpartition("/")[0]  # only this folder is listed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ class Files:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], ["path", "length", "modified"])
 
         one = spark.range(1, numPartitions=1)
-        return one.mapInArrow(run, "path string, length long, modified timestamp").repartition(shuffle_width(spark), "path")
+        return one.mapInArrow(run, "path string, length long, modified timestamp")
 
     def end(self) -> None:
         """Removes the folder of unfinished files, once nothing is being written."""
@@ -182,7 +182,8 @@ class BlobStore:
                     some = [c[start : start + 64] for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.string()), pa.array([work(backend, *row) for row in zip(*some, strict=True)], kind)], ["id", name])
 
-        return rows.mapInArrow(run, f"id string, {result}")
+        # A small row may mean a large file, so rows are dealt by number; Spark would join small partitions to one.
+        return rows.repartition(shuffle_width(self.spark), F.xxhash64(rows.columns[0])).mapInArrow(run, f"id string, {result}")
 
     def metadata(self) -> DataFrame:
         """Complete media, from their sidecars."""

@@ -2,7 +2,9 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from siltworks.sources import blobs
@@ -83,3 +85,10 @@ def test_files_are_listed_by_a_task_and_dealt_to_few_partitions(spark, tmp_path)
     listed = {r["path"]: r for r in store.files("media/images/").collect()}
     assert len(listed) == 300 and listed["media/images/_m7"]["length"] == 7 and listed["media/images/_m7"]["modified"].year >= 2024
     assert store.files("media/nothing/").count() == 0
+
+
+def test_files_are_written_by_all_tasks(spark, tmp_path):
+    store = blobs.BlobStore(spark, str(tmp_path))
+    rows = spark.range(400).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("at")).groupBy("id").agg(F.max("at").alias("at"))
+    tasks = store._mapped(rows, lambda backend, media_id, at: str(TaskContext.get().partitionId()), "value string", pa.string())
+    assert tasks.select("value").distinct().count() == 4
