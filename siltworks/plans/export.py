@@ -18,7 +18,7 @@ from siltworks.operators.enrich import media_links
 from siltworks.plans import passes
 from siltworks.plans.gateways import Gateway
 from siltworks.plans.passes import Cancelled
-from siltworks.session import shuffle_width
+from siltworks.session import release, shuffle_width
 from siltworks.sources import archive
 from siltworks.sources.store import Store
 
@@ -365,7 +365,7 @@ class Coordinator:
         def serialize(page: DataFrame, number: int) -> None:
             items = page.where(later)
             parts = json_lines(items, inclusion).select("id", "line") if target == "json" else SERIALIZERS[target](items, inclusion)
-            parts.write.mode("overwrite").parquet(f"{self._stage(request_id)}/page={number}")
+            parts.write.mode("overwrite").option("compression", "zstd").parquet(f"{self._stage(request_id)}/page={number}")
 
         name, stop = f"export:{request_id}", lambda: self._cancelled(request_id)
         begun = passes.checkpoint_of(self.store, name)
@@ -376,12 +376,15 @@ class Coordinator:
                 raise Cancelled(request_id)
             facts = self.store.read("media_metadata", snapshot).where("state = 'complete'")
             ordered = present_media(rows(snapshot), facts, inclusion).repartitionByRange(shuffle_width(self.spark), "id").sortWithinPartitions("id")
-            ordered.write.mode("overwrite").parquet(self._items(request_id))
+            release(self.spark)  # what earlier writes exchanged
+            ordered.write.mode("overwrite").option("compression", "zstd").parquet(self._items(request_id))
+            release(self.spark)
         items = self.spark.read.parquet(self._items(request_id))
         report = passes.run_pass(self.store, name, lambda _: items, serialize, page_rows=page_rows, stop=stop, at=snapshot)
         if not report.completed_cleanly:
             raise RuntimeError(report.error)
         counts = items.agg(F.count_if(later).alias("exported"), F.count_if(~later).alias("skipped")).first()
+        self.store.remove_folder(self._items(request_id))  # the artifact is put together from the parts; a run without a checkpoint begins anew
         parts, included, missing = self.spark.read.parquet(self._stage(request_id)), 0, 0
         if target == "json":
             size = self.gateway.lines(parts, path)

@@ -5,8 +5,8 @@ and beside it the records of the directory with offsets from the part's start; r
 tasks are done, the parts' sizes give their offsets, other tasks write each part's piece of the directory, and the parts and pieces are joined. Attempts write
 files under names of their own, and only those of the attempt that counts are named in the commit, so a task that is lost or runs twice leaves nothing in the archive.
 
-Parts are joined by the file system where it can (concat), else copied as a stream of bytes. Tasks open files by URI through pyarrow, so folders may be in any
-store that pyarrow opens; all must be shared between the driver and the tasks.
+Parts are joined by the file system where it can (concat), else copied as a stream of bytes; parts that are to be copied lie compressed until then, and each is deleted
+when it has been copied, so beside the whole there is little. Tasks open files by URI through pyarrow, so folders may be in any store that pyarrow opens; all must be shared between the driver and the tasks.
 
 Defined results: null contents are empty; rows without a path are left out; an empty table gives an empty archive or file; sizes and offsets beyond 32 bits and more than
 65,535 entries are written as ZIP64.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from siltworks.session import shuffle_width
+from siltworks.session import release, shuffle_width
 
 # Fixed values of the format: signatures, the flag of names in UTF-8, 1980-01-01, and limits of short fields.
 LOCAL, CENTRAL, END, END_64, LOCATOR_64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -50,6 +50,8 @@ KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 BUFFER, LIMIT_OF_FIELD, ROOM = 1 << 20, 0xFFFF, 64
 #: A directory's record in a part: CRC-32, size, offset in the part, bytes of the name that follows.
 RECORD = struct.Struct("<IQQI")
+#: How records, and parts that wait for being copied, are compressed.
+PACKING = "zstd"
 
 
 @lru_cache(maxsize=64)
@@ -89,14 +91,14 @@ class Part(WriterCommitMessage):
 
 
 class PartsWriter(DataSourceWriter):
-    def __init__(self, folder: str, zipped: bool, limit: int):
-        self.folder, self.zipped, self.limit = folder, zipped, limit
+    def __init__(self, folder: str, zipped: bool, limit: int, packed: bool = False):
+        self.folder, self.zipped, self.limit, self.packing = folder, zipped, limit, PACKING if packed else None
 
     def write(self, rows: Iterator) -> Part:
         files, folder = open_folder(self.folder)
         files.create_dir(folder, recursive=True)
         name, n, at = uuid.uuid4().hex, 0, 0
-        with files.open_output_stream(f"{folder}/{name}.part", buffer_size=BUFFER) as out, files.open_output_stream(f"{folder}/{name}.records", buffer_size=BUFFER) as records:
+        with files.open_output_stream(f"{folder}/{name}.part", compression=self.packing, buffer_size=BUFFER) as out, files.open_output_stream(f"{folder}/{name}.records", compression=PACKING, buffer_size=BUFFER) as records:
             for path, some in groupby((r for r in rows if r[0] is not None), key=itemgetter(0)):
                 held, body, crc, size = [], None, 0, 0
                 try:
@@ -156,11 +158,11 @@ class BatchesWriter(DataSourceArrowWriter):
         self.parts.abort(messages)
 
 
-def _directory_piece(uri: str, name: str, base: int, limit: int) -> int:
+def _directory_piece(uri: str, name: str, base: int, limit: int, packed: bool = False) -> int:
     """Writes a part's piece of the directory; gives its size."""
     files, folder = open_folder(uri)
     size, held = 0, f"{folder}/{name}.{uuid.uuid4().hex}"
-    with files.open_input_stream(f"{folder}/{name}.records", buffer_size=BUFFER) as records, files.open_output_stream(held, buffer_size=BUFFER) as out:
+    with files.open_input_stream(f"{folder}/{name}.records", compression=PACKING, buffer_size=BUFFER) as records, files.open_output_stream(held, compression=PACKING if packed else None, buffer_size=BUFFER) as out:
         while head := records.read(RECORD.size):
             crc, length, at, width = RECORD.unpack(head)
             size += out.write(central_record(records.read(width), crc, length, base + at, limit))
@@ -168,19 +170,19 @@ def _directory_piece(uri: str, name: str, base: int, limit: int) -> int:
     return size
 
 
-def _directory_pieces(uri: str, limit: int):
+def _directory_pieces(uri: str, limit: int, packed: bool):
     """For rows (name, base) of parts: each part's piece of the directory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [_directory_piece(uri, name, base, limit) for name, base in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            sizes = [_directory_piece(uri, name, base, limit, packed) for name, base in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["size"])
 
     return run
 
 
-def _write_directory(spark: SparkSession, folder: str, limit: int) -> list[str]:
-    """The directory in pieces, one for each part and the ending, written by tasks; gives their names in order."""
+def _write_directory(spark: SparkSession, folder: str, limit: int, packed: bool = False) -> list[str]:
+    """The directory in pieces, one for each part and the ending, written by tasks; gives their names in order. The records then go."""
     files, at = open_folder(folder)
     with files.open_input_stream(f"{at}/sizes") as f:
         parts = [(name, int(n), int(size)) for name, n, size in (x.split() for x in f.read().decode().splitlines())]
@@ -188,8 +190,10 @@ def _write_directory(spark: SparkSession, folder: str, limit: int) -> list[str]:
     size = 0
     if parts:
         rows = spark.createDataFrame([(name, base) for (name, _, _), base in zip(parts, bases[:-1], strict=True)], "name string, base long").repartition(len(parts))
-        size = rows.mapInArrow(_directory_pieces(folder, limit), "size long").agg(F.sum("size")).first()[0]
-    with files.open_output_stream(f"{at}/ending") as out:
+        size = rows.mapInArrow(_directory_pieces(folder, limit, packed), "size long").agg(F.sum("size")).first()[0]
+    for name, _, _ in parts:
+        files.delete_file(f"{at}/{name}.records")
+    with files.open_output_stream(f"{at}/ending", compression=PACKING if packed else None) as out:
         out.write(ending(sum(n for _, n, _ in parts), size, bases[-1], limit))
     return [*[f"{name}.directory" for name, _, _ in parts], "ending"]
 
@@ -302,7 +306,7 @@ class OneFile(DataSource):
         return EntriesReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return BatchesWriter(PartsWriter(self.options["path"], self.options.get("zipped", "true") == "true", int(self.options.get("limit", LIMIT))))
+        return BatchesWriter(PartsWriter(self.options["path"], self.options.get("zipped", "true") == "true", int(self.options.get("limit", LIMIT)), self.options.get("packed") == "true"))
 
 
 class OneFileWritten(NamedTuple):
@@ -316,7 +320,25 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _join(spark: SparkSession, folder: str, target: str, limit: int) -> OneFileWritten:
+def _joins(spark: SparkSession, uri: str) -> bool:
+    """Whether the file system says that it can join files without copying them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).hasPathCapability(path, "fs.capability.paths.concat")
+
+
+def _copy(spark: SparkSession, files, parts: list, out, packed: bool) -> None:
+    """Appends parts to a stream; each is deleted before the next."""
+    jvm = spark._jvm
+    for p in parts:
+        part = jvm.com.github.luben.zstd.ZstdInputStream(files.open(p)) if packed else files.open(p)
+        try:
+            jvm.org.apache.commons.io.IOUtils.copyLarge(part, out)
+        finally:
+            part.close()
+        files.delete(p, False)
+
+
+def _join(spark: SparkSession, folder: str, target: str, limit: int, packed: bool) -> OneFileWritten:
     """Joins the parts that a commit has named, and an archive's directory, to one file, which then appears under its name at once."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     configuration = spark._jsc.hadoopConfiguration()
@@ -326,24 +348,24 @@ def _join(spark: SparkSession, folder: str, target: str, limit: int) -> OneFileW
     entries, *names = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
     stream.close()
     if names[-1:] == ["directory"]:
-        names[-1:] = _write_directory(spark, folder, limit)
-    parts = [path(f"{folder}/{n}") for n in names]
+        names[-1:] = _write_directory(spark, folder, limit, packed)
+    parts, copied = [path(f"{folder}/{n}") for n in names], packed
     files.create(whole, True).close()
-    try:
-        array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
-        for i, p in enumerate(parts):
-            array[i] = p
-        if parts:
-            files.concat(whole, array)
-    except Exception as error:  # most file systems cannot
-        if "UnsupportedOperation" not in type(error).__name__ + str(error):
-            raise
+    if not packed:
+        try:
+            array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
+            for i, p in enumerate(parts):
+                array[i] = p
+            if parts:
+                files.concat(whole, array)
+        except Exception as error:  # some say that they can and cannot
+            if "UnsupportedOperation" not in type(error).__name__ + str(error):
+                raise
+            copied = True
+    if copied:
         out = files.create(whole, True)
         try:
-            for p in parts:
-                part = files.open(p)
-                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out)
-                part.close()
+            _copy(spark, files, parts, out, packed)
         finally:
             out.close()
     size = files.getFileStatus(whole).getLen()
@@ -357,12 +379,13 @@ def _join(spark: SparkSession, folder: str, target: str, limit: int) -> OneFileW
 def _write(rows: DataFrame, order: list[str], target: str, zipped: bool, limit: int) -> OneFileWritten:
     spark = rows.sparkSession
     spark.dataSource.register(OneFile)
-    folder = f"{target}.parts-{uuid.uuid4().hex}"
+    folder, packed = f"{target}.parts-{uuid.uuid4().hex}", not _joins(spark, target)
     try:
         # All rows of a path go to one task, so that they can become one entry there.
         dealt = rows.repartitionByRange(shuffle_width(spark), order[0]).sortWithinPartitions(*order).select("path", "content")
-        dealt.write.format("onefile").option("zipped", str(zipped).lower()).option("limit", str(limit)).mode("append").save(folder)
-        return _join(spark, folder, target, limit)
+        dealt.write.format("onefile").option("zipped", str(zipped).lower()).option("limit", str(limit)).option("packed", str(packed).lower()).mode("append").save(folder)
+        release(spark)  # nothing that was exchanged is needed beside the whole
+        return _join(spark, folder, target, limit, packed)
     finally:
         remove(spark, folder)
 

@@ -1,6 +1,8 @@
 """Archives and joined files written by tasks, read by Python's zipfile and by the reader."""
 
+import gc
 import io
+import time
 import zipfile
 import zlib
 
@@ -85,3 +87,44 @@ def test_records_across_reads_and_large_entries(spark, tmp_path, monkeypatch):
         assert [r[:4] for r in archive._records(f, 1201)] == wanted
     found = archive.read_archive(spark, str(tmp_path / "a.zip"))
     assert found.where("crc32(content) <> crc32 OR length(content) <> size").count() == 0 and found.count() == 1201
+
+
+def test_parts_that_are_copied_lie_packed_and_go_one_by_one(spark, tmp_path, monkeypatch):
+    rows = spark.range(2000).select(F.format_string("%05d", "id").alias("path"), F.repeat(F.lit("words "), 300).cast("binary").alias("content"))
+    seen, target = [], tmp_path / "a.zip"
+    sizes = lambda: {p.name: p.stat().st_size for d in tmp_path.glob("a.zip.parts-*") for p in d.iterdir() if p.suffix in (".part", ".records", ".directory")}
+    monkeypatch.setattr(archive, "_join", lambda *x, of=archive._join: seen.append(sizes()) or of(*x))
+    monkeypatch.setattr(archive, "remove", lambda *x, of=archive.remove: seen.append(sizes()) or of(*x))
+    written = archive.write_archive(rows, str(target))
+    before, after = seen
+    assert len(before) == 8 and 10 * sum(before.values()) < written.size == target.stat().st_size and after == {}
+    with zipfile.ZipFile(target) as z:
+        assert z.testzip() is None and len(z.namelist()) == 2000 and z.read("01999") == b"words " * 300
+
+
+def test_parts_are_joined_as_they_are_where_the_file_system_joins(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "_joins", lambda *_: True)  # it says so and cannot: parts are then copied
+    rows = spark.range(300).select("id", F.concat(F.col("id").cast("string"), F.lit("\n")).cast("binary").alias("content")).repartition(7)
+    archive.write_file(rows, str(tmp_path / "f"), order="id")
+    archive.write_archive(rows.withColumn("path", F.col("id").cast("string")), str(tmp_path / "f.zip"))
+    assert (tmp_path / "f").read_text() == "".join(f"{i}\n" for i in range(300))
+    with zipfile.ZipFile(tmp_path / "f.zip") as z:
+        assert z.testzip() is None and len(z.namelist()) == 300
+
+
+def test_nothing_exchanged_lies_beside_the_whole(spark, tmp_path, monkeypatch):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    seen = []
+
+    def join(*x, of=archive._join):
+        for _ in range(50):  # files are deleted in the background
+            if "shuffle_" not in held():
+                break
+            time.sleep(0.1)
+        seen.append("shuffle_" in held())
+        return of(*x)
+
+    monkeypatch.setattr(archive, "_join", join)
+    gc.collect()
+    archive.write_archive(spark.range(5000).select(F.col("id").cast("string").alias("path"), F.lit(b"x").alias("content")), str(tmp_path / "a.zip"))
+    assert seen == [False]

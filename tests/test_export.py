@@ -169,3 +169,17 @@ def test_pages_of_a_run_read_staged_items_in_order(spark, coordinator, tmp_path,
     assert result.exported == 60 and pages[0] == "joined" and pages.count("joined") == 1 and len(pages) == 7
     assert [json.loads(x)["resourceId"] for x in (tmp_path / "x").read_text().splitlines()] == [f"{i:03d}" for i in range(60)]
     assert not list((tmp_path / "store" / "_exports").glob("*"))
+
+
+def test_staged_items_are_gone_when_the_artifact_is_put_together(spark, coordinator, tmp_path):
+    left = []
+
+    class Looking(export.OneFile):
+        def archive(self, entry_rows, path):
+            left.extend(p.name for p in (tmp_path / "store" / "_exports").glob("*/*"))
+            return super().archive(entry_rows, path)
+
+    coordinator.gateway = Looking(spark)
+    coordinator.store.save("resources", resources(spark, row("a"), row("b")))
+    result = run(coordinator, spark, tmp_path / "x.zip", target="markdown", incremental=False)
+    assert (result.exported, left) == (2, ["parts"])
