@@ -183,3 +183,20 @@ def test_staged_items_are_gone_when_the_artifact_is_put_together(spark, coordina
     coordinator.store.save("resources", resources(spark, row("a"), row("b")))
     result = run(coordinator, spark, tmp_path / "x.zip", target="markdown", incremental=False)
     assert (result.exported, left) == (2, ["parts"])
+
+
+def test_media_are_counted_before_the_artifact_lies_beside_the_exchanged_rows(spark, coordinator, tmp_path, monkeypatch):
+    order = []
+
+    class Looking(export.OneFile):
+        def archive(self, entry_rows, path):
+            order.append("archive")
+            return super().archive(entry_rows, path)
+
+    coordinator.gateway = Looking(spark)
+    coordinator.store.save("resources", resources(spark, row("a", media=("m",))))
+    coordinator.store.save("media_metadata", spark.createDataFrame([("m", "image", "m", 1, "h", "p", "complete", "t", "t", None)], schema.MEDIA_METADATA))
+    blobs = spark.createDataFrame([("m", bytearray(b"1"))], "media_id string, content binary")
+    monkeypatch.setattr(F, "count_if", lambda c, of=F.count_if: order.append("count") or of(c))
+    result = run(coordinator, spark, tmp_path / "x.zip", target="obsidian", blobs=blobs, incremental=False)
+    assert (result.media_included, result.media_missing, order) == (1, 0, [*["count"] * 4, "archive"])
